@@ -92,11 +92,11 @@ def latency_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "load_summary",
-    """WITH r AS (SELECT user_id, value, epoch_us(ts) / 1e6 AS started,
+    """WITH r AS (SELECT user_id, value, epoch_us(ts) AS started,
     CASE event_type WHEN 'error' THEN 429 WHEN 'signup' THEN 503 ELSE 200 END AS status FROM events),
-d AS (SELECT *, max(started + value / 1000) OVER w - min(started) OVER w AS duration FROM r WINDOW w AS (PARTITION BY user_id))
+d AS (SELECT *, (max(started + round(value * 1000)::BIGINT) OVER w - min(started) OVER w) / 1e6 AS duration FROM r WINDOW w AS (PARTITION BY user_id))
 SELECT user_id, count(*) AS requests, count(*) FILTER (status = 200) AS completed, count(*) FILTER (status = 429) AS rejected,
-  count(*) FILTER (status = 503) AS failed, round(any_value(duration), 2) AS duration_seconds,
+  count(*) FILTER (status = 503) AS failed, round(any_value(duration), 3) AS duration_seconds,
   round(count(*) / any_value(duration), 3) AS throughput_per_second, round(quantile_disc(value, 0.5), 3) AS p50_ms,
   round(quantile_disc(value, 0.95), 3) AS p95_ms, round(max(value), 3) AS maximum_ms FROM d GROUP BY user_id""",
 )
@@ -108,9 +108,7 @@ def load_summary(spark: SparkSession, folder: str) -> DataFrame:
         F.col("value").alias("latency_ms"),
         F.col("ts").alias("started_at"),
     )
-    return evals.load_summary(requests, ["user_id"]).withColumn(
-        "duration_seconds", F.round("duration_seconds", 2)
-    )
+    return evals.load_summary(requests, ["user_id"])
 
 
 @query(

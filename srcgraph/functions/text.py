@@ -22,11 +22,16 @@ def fold(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines of a text; a final line break does not open another line, empty text has none."""
-    parts = F.split(text, LINE_BREAK, -1)
-    trimmed = F.when(
-        F.try_element_at(parts, F.lit(-1)) == "", F.slice(parts, 1, F.size(parts) - 1)
-    ).otherwise(parts)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(trimmed)
+    last = F.right(text, F.lit(1))
+    size = F.length(text)
+    body = (
+        F.when(F.right(text, F.lit(2)) == "\r\n", F.left(text, size - 2))
+        .when(last.rlike(LINE_BREAK), F.left(text, size - 1))
+        .otherwise(text)
+    )
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(
+        F.split(body, LINE_BREAK, -1)
+    )
 
 
 def strip(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,12 +26,14 @@ def normalise(vector: Column) -> Column:
     )
 
 
+@lru_cache(maxsize=65_536)
+def _slot(token: str) -> int:
+    return int.from_bytes(hashlib.md5(token.encode()).digest()[:2], "big") % DIMENSION
+
+
 def hash_vector(text: str) -> np.ndarray:
     """Counts of identifier tokens in hashed slots: stands in for a language model offline."""
-    slots = [
-        int.from_bytes(hashlib.md5(token.lower().encode()).digest()[:2], "big") % DIMENSION
-        for token in _TOKEN.findall(text)
-    ]
+    slots = [_slot(token) for token in _TOKEN.findall(text.lower())]
     counts = np.bincount(slots, minlength=DIMENSION).astype(np.float64)
     length = np.sqrt((counts * counts).sum())
     return counts / length if length else counts

@@ -101,8 +101,9 @@ def load_summary(requests: DataFrame, keys: list[str] | None = None) -> DataFram
 
     ``requests``: status, latency_ms, started_at. Throughput counts every request.
     """
-    start = F.col("started_at").cast("timestamp").cast("double")
-    duration = F.max(start + F.col("latency_ms") / 1000) - F.min(start)
+    start = F.unix_micros(F.col("started_at").cast("timestamp"))
+    finish = start + F.round(F.col("latency_ms") * 1000).cast("bigint")
+    duration = (F.max(finish) - F.min(start)) / 1e6
     total = F.count(F.lit(1))
     return requests.groupBy(*(keys or [])).agg(
         total.alias("requests"),

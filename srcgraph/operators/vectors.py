@@ -128,11 +128,14 @@ def _against_many(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFram
     )
 
     def assign(df: DataFrame, id_column: str, own: str, other: str) -> DataFrame:
+        # Fresh column identities, since both sides may stem from one table.
         return (
-            df.join(sizes, SCOPE)
+            df.select(*[F.col(c).alias(c) for c in df.columns])
+            .join(sizes, SCOPE)
             .withColumn(own[:-1], F.pmod(F.xxhash64(id_column), F.col(own)).cast("int"))
             .withColumn(other[:-1], F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
             .drop("chunk_blocks", "query_blocks")
+            .select(*[F.col(c).alias(c) for c in (*df.columns, own[:-1], other[:-1])])
         )
 
     group = [*SCOPE, "chunk_block", "query_block"]

@@ -36,7 +36,7 @@ def with_hash(files: DataFrame) -> DataFrame:
 
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as a source file of its source's repository, revision r1."""
-    documents = table(spark, folder, "documents")
+    documents = spread(table(spark, folder, "documents"))
     return with_hash(
         documents.select(
             F.col("source").alias("repository_id"),
