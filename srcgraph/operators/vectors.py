@@ -96,10 +96,11 @@ def _best(queries: pd.DataFrame, chunks: pd.DataFrame, limit: int) -> pd.DataFra
     return pd.concat(parts, ignore_index=True)
 
 
-_HIT = "query_id string, entity_id string, score double"
+def _hit_schema(queries: DataFrame) -> str:
+    return f"query_id {queries.schema['query_id'].dataType.simpleString()}, entity_id string, score double"
 
 
-def _against_few(chunks: DataFrame, rows: list, limit: int) -> DataFrame:
+def _against_few(chunks: DataFrame, rows: list, limit: int, schema: str) -> DataFrame:
     """Few queries: they travel to the chunks, whose vectors are not shuffled."""
     wanted = pd.DataFrame([row.asDict() for row in rows])
 
@@ -110,7 +111,7 @@ def _against_few(chunks: DataFrame, rows: list, limit: int) -> DataFrame:
                 if scope in by_scope:
                     yield _best(by_scope[scope], part, limit)
 
-    return chunks.mapInPandas(score, _HIT)
+    return chunks.mapInPandas(score, schema)
 
 
 def _against_many(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
@@ -147,7 +148,7 @@ def _against_many(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFram
             return pd.DataFrame({"query_id": [], "entity_id": [], "score": []})
         return _best(q, c, limit)
 
-    return left.cogroup(right).applyInPandas(score, _HIT)
+    return left.cogroup(right).applyInPandas(score, _hit_schema(queries))
 
 
 def cosine_top_k(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
@@ -161,9 +162,9 @@ def cosine_top_k(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFrame
     query_rows = queries.select("query_id", *SCOPE, "embedding")
     few = query_rows.limit(QUERY_BLOCK + 1).collect()
     if not few:
-        hits = chunks.sparkSession.createDataFrame([], _HIT)
+        hits = chunks.sparkSession.createDataFrame([], _hit_schema(query_rows))
     elif len(few) <= QUERY_BLOCK:
-        hits = _against_few(chunk_rows, few, limit)
+        hits = _against_few(chunk_rows, few, limit, _hit_schema(query_rows))
     else:
         hits = _against_many(chunk_rows, query_rows, limit)
     return top_per(hits, ["query_id"], [F.col("score").desc(), F.col("entity_id")], limit)

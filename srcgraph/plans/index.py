@@ -36,10 +36,6 @@ class IndexRequest:
     embedder: str = "hash"
 
 
-def _stored(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    return tables.read(spark, root, name) if tables.current_version(spark, root) else None
-
-
 def _carried(stored: DataFrame | None, kept: DataFrame) -> DataFrame | None:
     """Stored rows of unchanged files under their new revision.
 
@@ -80,9 +76,10 @@ def index_revision(
     a definition elsewhere may have come, gone or become ambiguous. A repository with a file that
     does not parse keeps its stored state; only its failed job row is published.
     """
+    before = tables.Snapshot(spark, root)
     safe = textops.safe_paths(files)
     good = textops.readable(safe)
-    manifest = _stored(spark, root, "manifest")
+    manifest = before.get("manifest")
     if manifest is None:
         manifest = spark.createDataFrame([], MANIFEST)
     diff = cut_lineage(incremental.manifest_diff(manifest, good, request.mode))
@@ -97,13 +94,13 @@ def index_revision(
 
     fresh_entities = cut_lineage(resolve.distinct_entities(extract.entities(facts)))
     fresh_references = extract.references(facts)
-    entities = cut_lineage(_with(fresh_entities, _carried(_stored(spark, root, "entities"), kept)))
+    entities = cut_lineage(_with(fresh_entities, _carried(before.get("entities"), kept)))
     references = cut_lineage(
-        _with(fresh_references, _carried(_stored(spark, root, "references"), kept))
+        _with(fresh_references, _carried(before.get("references"), kept))
     )
     edges = resolve.resolve(references, entities)
 
-    stored_chunks = _stored(spark, root, "chunks")
+    stored_chunks = before.get("chunks")
     same_content = diff.filter("same_content").select(*PATH, "source_revision").join(
         revision_of.withColumnRenamed("revision", "target_revision"), "repository_id"
     )
@@ -142,23 +139,23 @@ def index_revision(
     gone = diff.filter("status = 'removed'").join(
         done.select("repository_id"), "repository_id", "left_semi"
     )
-    stored_jobs = _stored(spark, root, "jobs")
+    stored_jobs = before.get("jobs")
     published = {
         "manifest": upsert.put_manifest(manifest, entries, gone),
         "jobs": jobs if stored_jobs is None else upsert.merge_by_key(stored_jobs, jobs, ["id", *SCOPE]),
-        "revisions": _revisions(spark, root, done, request, markers),
-        "issues": _replaced(_stored(spark, root, "issues"), issues, done),
+        "revisions": _revisions(before, done, request, markers),
+        "issues": _replaced(before.get("issues"), issues, done),
     }
     for name, rows in {
         "entities": entities, "references": references, "edges": edges, "chunks": chunks,
     }.items():
-        published[name] = _replaced(_stored(spark, root, name), rows, done)
+        published[name] = _replaced(before.get(name), rows, done)
     tables.publish(spark, root, published)
     return jobs
 
 
 def _revisions(
-    spark: SparkSession, root: str, done: DataFrame, request: IndexRequest, markers: DataFrame | None
+    before: tables.Snapshot, done: DataFrame, request: IndexRequest, markers: DataFrame | None
 ) -> DataFrame:
     """Revision rows with the provenance of this job."""
     from srcgraph.sources.corpus import marker_rows
@@ -185,16 +182,19 @@ def _revisions(
         "commit_timestamp",
         F.lit(True).alias("immutable"),
     )
-    old = _stored(spark, root, "revisions")
+    old = before.get("revisions")
     if old is None:
-        old = spark.createDataFrame([], REVISIONS)
+        old = before.spark.createDataFrame([], REVISIONS)
     return upsert.upsert_revisions(old, rows)
 
 
 def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Current tables of the index by name."""
     names = ["entities", "references", "edges", "chunks", "manifest", "revisions", "jobs", "issues"]
-    return {name: tables.read(spark, root, name) for name in names}
+    snapshot = tables.Snapshot(spark, root)
+    if snapshot.version == 0:
+        raise LookupError(f"nothing published under {root}")
+    return {name: snapshot.get(name) for name in names}
 
 
 def graph_view(entities: DataFrame, revisions: DataFrame) -> DataFrame:

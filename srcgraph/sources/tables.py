@@ -46,11 +46,25 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> int
     return version
 
 
+class Snapshot:
+    """The tables of one version; a job reads all its input from the same one."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        self.version = current_version(spark, root)
+
+    def get(self, name: str) -> DataFrame | None:
+        """A stored table, or None before the first publication."""
+        if self.version == 0:
+            return None
+        return self.spark.read.parquet(f"{self.root}/version={self.version}/{name}")
+
+
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:
-    version = current_version(spark, root)
-    if version == 0:
+    table = Snapshot(spark, root).get(name)
+    if table is None:
         raise LookupError(f"nothing published under {root}")
-    return spark.read.parquet(f"{root}/version={version}/{name}")
+    return table
 
 
 def bucketed(table: DataFrame, name: str, key: str, buckets: int) -> None:

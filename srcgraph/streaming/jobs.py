@@ -39,8 +39,9 @@ def maintain(
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
-        if tables.current_version(spark, root):
-            batch = tables.read(spark, root, name).unionByName(batch)
+        stored = tables.Snapshot(spark, root).get(name)
+        if stored is not None:
+            batch = stored.unionByName(batch)
         tables.publish(spark, root, {name: bound(batch.distinct())})
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

@@ -11,7 +11,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 def spark():
     from srcgraph.session import local_session
 
-    return local_session()
+    session = local_session("8", 4)
+    # Tiny inputs: compiling plans costs more than running them. The SQL comparison keeps codegen on.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    return session
 
 
 @pytest.fixture(scope="session")
