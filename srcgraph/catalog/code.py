@@ -485,7 +485,7 @@ def _joined_lists(analysed: DataFrame) -> DataFrame:
     + f"FROM ({_rows(_ANALYSES, _ANALYSIS_COLUMNS)})",
 )
 def fact_bounds(spark: SparkSession, folder: str) -> DataFrame:
-    analysed = facts.analyses(code_index(spark, folder).facts)
+    analysed = code_index(spark, folder).analyses
     return _joined_lists(analysed).select("repository_id", "file_path", *_ANALYSIS_COLUMNS)
 
 
@@ -569,7 +569,7 @@ FROM good""",
 )
 def compare_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """The two methods of every class compared."""
-    analysed = facts.analyses(code_index(spark, folder).facts)
+    analysed = code_index(spark, folder).analyses
     key = F.struct(*[F.col(c) for c in facts.DEFINITION])
     pairs = (
         analysed.filter(F.col("kind") == "method")
@@ -602,7 +602,7 @@ _SUMMARY = (
 )
 def entity_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Summary text of the last function of every file."""
-    analysed = facts.analyses(code_index(spark, folder).facts)
+    analysed = code_index(spark, folder).analyses
     return analysed.filter(F.startswith("name", F.lit("size_"))).select(
         "repository_id", "file_path", responses.entity_summary().alias("summary")
     )
@@ -694,18 +694,16 @@ SELECT repo AS repository_id, path AS file_path, CASE WHEN broken THEN 0 ELSE 28
 )
 def file_results(spark: SparkSession, folder: str) -> DataFrame:
     index = code_index(spark, folder)
-    chunks = vectors.chunk_texts(index.entities, index.files)
     return extract.file_results(
-        index.files, index.entities, index.references, extract.parse_issues(index.facts), chunks
+        index.files, index.entities, index.references, extract.parse_issues(index.facts), index.chunks
     ).drop("revision", "content_hash")
 
 
 @query("embed_chunks")
 def embed_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Chunk vectors of the whole corpus: id, dimension and length of each."""
-    index = code_index(spark, folder)
     length = F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
-    return vectors.index_chunks(index.entities, index.files).select(
+    return code_index(spark, folder).chunks.select(
         "point_id", "repository_id", "qualified_name", F.size("embedding").alias("dimension"),
         F.round(F.sqrt(length), 3).alias("norm"),
     )

@@ -203,11 +203,11 @@ FROM (SELECT *, (len(lines) + 1) // 2 AS mid FROM files)""",
 )
 def snippet(spark: SparkSession, folder: str) -> DataFrame:
     """Three lines from the middle of every document with three lines of context."""
-    from srcgraph.functions.text import lines
-
     files = text_files(spark, folder)
-    middle = F.expr("(size(lines) + 1) div 2")
-    requests = files.withColumn("lines", lines(F.col("content"))).select(
+    breaks = F.length("content") - F.length(F.replace("content", F.lit("\n")))
+    closed = F.endswith("content", F.lit("\n")).cast("int")
+    middle = F.floor((breaks - closed + 2) / 2).cast("int")
+    requests = files.select(
         "repository_id", "revision", "file_path", middle.alias("start_line"),
         (middle + 2).alias("end_line"), F.lit(3).alias("context_lines"),
     )

@@ -464,7 +464,7 @@ def analysed_hits(spark: SparkSession, folder: str) -> DataFrame:
         "repository_id", "revision", "file_path", F.posexplode(names).alias("position", "name"),
     ).withColumn("request_id", F.concat_ws("#", "query_id", "position")).withColumn("allowed", F.lit("any"))
     located = facts.locate(facts.definitions(index.facts), requests)
-    return responses.analysed_hits(located, facts.analyses(index.facts)).select(
+    return responses.analysed_hits(located, index.analyses).select(
         "query_id", F.array_join("analyses", "|").alias("analyses"),
         F.array_join("warnings", "|").alias("warnings"), "failed",
     )

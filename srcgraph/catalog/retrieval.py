@@ -316,11 +316,10 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     from srcgraph.catalog.shared import code_index
 
     index = code_index(spark, folder)
-    chunks = vectors.index_chunks(index.entities, index.files)
     questions = index.entities.filter(F.col("kind") == "class").select(
         F.col("id").alias("query_id"), "repository_id", "revision", F.col("qualified_name").alias("query")
     )
-    found = hybrid.hybrid_search(index.entities, chunks, questions, 5)
+    found = hybrid.hybrid_search(index.entities, index.chunks, questions, 5)
     return found.select(
         "query_id", "entity_id", F.round("score", 6).alias("score"),
         F.array_join("sources", "+").alias("sources"), "rank",

@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from srcgraph.operators import extract, resolve
+from srcgraph.operators import extract, facts, resolve, vectors
 from srcgraph.session import cut_lineage
 from srcgraph.sources import adapters
 
@@ -33,6 +33,14 @@ class CodeIndex:
     def references(self) -> DataFrame:
         return cut_lineage(extract.references(self.facts))
 
+    @cached_property
+    def analyses(self) -> DataFrame:
+        return cut_lineage(facts.analyses(self.facts))
+
+    @cached_property
+    def chunks(self) -> DataFrame:
+        return cut_lineage(vectors.index_chunks(self.entities, self.files))
+
     @cached_property
     def edges(self) -> DataFrame:
         return cut_lineage(resolve.resolve(self.references, self.entities))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcgraph.session import SCOPE, top_per
+from srcgraph.session import SCOPE, cut_lineage, top_per
 
 # Definitions that a name most likely means, and the lookup bounds.
 CORE_KINDS = ["class", "function", "method", "module"]
@@ -36,52 +36,47 @@ def contains_matches(entities: DataFrame, queries: DataFrame) -> DataFrame:
     not end in one task.
     """
     term = F.lower("name")
-    # A text without pieces of the wanted length cannot match; both names are one haystack, with
-    # a separator no name contains.
-    haystack = F.lower(F.concat_ws("\n", "name", "qualified_name"))
-    pieces = entities.select(
-        *entities.columns,
-        F.explode(
-            F.array_distinct(F.concat(*[_grams(haystack, size) for size in range(1, GRAM + 1)]))
-        ).alias("piece"),
-    )
-    wanted = queries.withColumn(
-        "piece",
-        F.explode(
-            F.array_distinct(
-                F.when(F.length(term) < GRAM, F.array(term)).otherwise(_grams(term, GRAM))
-            )
-        ),
+    key = [c for c in (*SCOPE, "id") if c in entities.columns]
+    # Both names are one haystack; the separator is in no name.
+    haystack = F.lower(F.concat_ws("\0", "name", "qualified_name"))
+    wanted = cut_lineage(
+        queries.withColumn(
+            "piece",
+            F.explode(
+                F.array_distinct(
+                    F.when(F.length(term) < GRAM, F.array(term)).otherwise(_grams(term, GRAM))
+                )
+            ),
+        )
     )
-    frequency = (
-        pieces.select("piece")
-        .join(wanted.select("piece").distinct(), "piece", "left_semi")
-        .groupBy("piece")
-        .agg(F.count(F.lit(1)).alias("frequency"))
+    # Only pieces that some query has are kept, with just the columns the match needs.
+    pieces = F.array_distinct(F.concat(*[_grams(haystack, size) for size in range(1, GRAM + 1)]))
+    held = cut_lineage(
+        entities.select(*key, haystack.alias("haystack"), F.explode(pieces).alias("piece")).join(
+            wanted.select("piece").distinct(), "piece", "left_semi"
+        )
     )
+    frequency = held.groupBy("piece").agg(F.count(F.lit(1)).alias("frequency"))
     rarest = (
-        wanted.join(frequency, "piece")
+        wanted.join(frequency, "piece", "left")
         .groupBy("query_id")
         .agg(
-            F.count(F.lit(1)).alias("present"),
-            F.min(F.struct("frequency", "piece"))["piece"].alias("piece"),
+            F.min(F.struct(F.coalesce("frequency", F.lit(0)), "piece"))["piece"].alias("piece"),
             F.first(F.struct(*queries.columns)).alias("query"),
         )
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
         .select("query", "piece", "_salt")
     )
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int"))
-    renamed = [F.col(c).alias("entity_name" if c == "name" else c) for c in entities.columns]
+    salt = F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")
     needle = F.lower(F.col("query.name"))
-    return (
-        salted.select(*renamed, "piece", "_salt")
+    # A name cannot hold the separator, so a hit in the haystack is a hit in one of the names.
+    matches = (
+        held.withColumn("_salt", salt)
         .join(rarest, ["piece", "_salt"])
-        .filter(
-            F.contains(F.lower("entity_name"), needle)
-            | F.contains(F.lower("qualified_name"), needle)
-        )
-        .drop("piece", "_salt")
+        .filter(F.contains("haystack", needle))
+        .select(*key, "query")
     )
+    return entities.withColumnRenamed("name", "entity_name").join(matches, key)
 
 
 def find_entities(

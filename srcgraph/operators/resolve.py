@@ -228,9 +228,11 @@ def _corpus_candidates(unresolved: DataFrame, aliases: DataFrame) -> DataFrame:
     ).select(*REFERENCE, "option.*")
 
 
-def corpus_resolution(edges: DataFrame, entities: DataFrame) -> DataFrame:
-    """Resolve what is left across files; the first candidate with exactly one match wins."""
-    index = name_index(entities)
+def corpus_resolution(edges: DataFrame, index: DataFrame) -> DataFrame:
+    """Resolve what is left across files; the first candidate with exactly one match wins.
+
+    ``index`` is the ``name_index`` of the entities.
+    """
     unresolved = edges.filter(is_unresolved_reference())
     is_base = F.col("kind") == "INHERITS_FROM"
     strategy = F.lit(None).cast("string")
@@ -242,7 +244,7 @@ def corpus_resolution(edges: DataFrame, entities: DataFrame) -> DataFrame:
         )
     found = (
         lookup_join(
-            _corpus_candidates(unresolved, alias_map(edges)), index,
+            cut_lineage(_corpus_candidates(unresolved, alias_map(edges))), index,
             [*SCOPE, "space", "name_key"], ["file_path", "ord", "pos"],
         )
         .withColumn(
@@ -277,7 +279,7 @@ def corpus_resolution(edges: DataFrame, entities: DataFrame) -> DataFrame:
     )
 
 
-def import_dependencies(edges: DataFrame, entities: DataFrame) -> DataFrame:
+def import_dependencies(edges: DataFrame, index: DataFrame) -> DataFrame:
     """DEPENDS_ON rows for imports whose absolute name belongs to exactly one entity.
 
     The package is taken from the importing scope, so a relative import inside a function or class
@@ -290,8 +292,7 @@ def import_dependencies(edges: DataFrame, entities: DataFrame) -> DataFrame:
         .withColumn("name_key", ids.absolute_import(F.col("imported"), package))
     )
     unique = (
-        name_index(entities)
-        .filter((F.col("space") == "q") & (F.col("any_n") == 1))
+        index.filter((F.col("space") == "q") & (F.col("any_n") == 1))
         .select(*SCOPE, "space", "name_key", "any_target")
     )
     metadata = F.map_from_arrays(
@@ -314,12 +315,11 @@ def import_dependencies(edges: DataFrame, entities: DataFrame) -> DataFrame:
 def resolve(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """Local pass, corpus pass, import dependencies; ``entities`` has one row per id.
 
-    The two inputs of the corpus pass are each read several times, so they are cut from their
-    lineage instead of being computed again.
+    What the corpus pass reads several times is cut from its lineage instead of computed again.
     """
     local = cut_lineage(local_resolution(edges, entities))
-    resolved = corpus_resolution(local, entities)
-    return resolved.unionByName(import_dependencies(local, entities))
+    index = cut_lineage(name_index(entities))
+    return corpus_resolution(local, index).unionByName(import_dependencies(local, index))
 
 
 def unresolved_symbols(edges: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,38 +37,40 @@ def traverse(
     usable = (
         edges.filter(F.col("resolved") & F.col("kind").isin(*kinds))
         .select("source_id", "kind", "target_id")
-        .distinct()
         .withColumn("node", F.col(start))
     )
-    busiest = F.broadcast(
+    frontier = roots.select("root", F.col("root").alias("node")).distinct()
+    if max_depth == 1:
+        found = usable.join(frontier, "node").select("root", "source_id", "kind", "target_id")
+        return found.distinct().withColumn("depth", F.lit(1))
+    busy = cut_lineage(
         usable.groupBy("node")
         .count()
         .orderBy(F.col("count").desc(), "node")
         .limit(HOT_NODES)
         .select("node", F.lit(True).alias("hot"))
     )
-    laid_out = cut_lineage(
-        usable.join(busiest, "node", "left")
-        .withColumn(
-            "salt",
-            F.when(F.col("hot"), F.pmod(F.xxhash64(end), F.lit(SALTS)).cast("int")).otherwise(0),
-        )
+    spread = F.pmod(F.xxhash64(end), F.lit(SALTS)).cast("int")
+    # Duplicates of an edge share its node and salt, so they are dropped without another shuffle.
+    # A persisted table keeps its hash layout (a checkpoint does not), so the steps below join it in
+    # place; blocks of a lost executor are rebuilt from the edge table.
+    partitions = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid_out = (
+        usable.join(F.broadcast(busy), "node", "left")
+        .withColumn("salt", F.when(F.col("hot"), spread).otherwise(0))
         .drop("hot")
-        .repartition("node", "salt")
+        .repartition(partitions, "node", "salt")
+        .distinct()
+        .persist(StorageLevel.DISK_ONLY)
+    )
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
+        F.array(F.lit(0))
     )
-    busy = cut_lineage(busiest)
-    frontier = roots.select("root", F.col("root").alias("node")).distinct()
     visited = frontier
     steps: list[DataFrame] = []
     for depth in range(1, max_depth + 1):
         asked = frontier.join(F.broadcast(busy), "node", "left").select(
-            "root",
-            "node",
-            F.explode(
-                F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-                    F.array(F.lit(0))
-                )
-            ).alias("salt"),
+            "root", "node", F.explode(salts).alias("salt")
         )
         found = cut_lineage(
             laid_out.join(asked, ["node", "salt"]).select(
@@ -85,6 +88,7 @@ def traverse(
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
+    laid_out.unpersist()  # every step is checkpointed by now
     # A node enters the frontier once, at its least distance, so no edge appears in two steps.
     return reduce(DataFrame.unionByName, steps)
 
