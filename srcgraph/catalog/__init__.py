@@ -24,6 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def load() -> None:
     """Import every catalog module once; importing registers its queries."""
     from srcgraph.catalog import (  # noqa: F401
+        answers,
         code,
         corpus,
         evaluation,

@@ -89,7 +89,7 @@ numbered AS (SELECT *, sum(coalesce(opens::INT, 0)) OVER (PARTITION BY user_id O
 FROM numbered GROUP BY ALL""",
 )
 def sessions(spark: SparkSession, folder: str) -> DataFrame:
-    return state.sessions(table(spark, folder, "events"), "user_id", "ts", 43_200).drop("spans")
+    return state.sessions(table(spark, folder, "events"), "user_id", "ts", 43_200)
 
 
 @query("session_turns", _VISITS + "SELECT user_id, event_id, visit FROM numbered")

@@ -54,27 +54,30 @@ def scope_carry(turns: DataFrame, turns_per_bucket: int = 1_000) -> DataFrame:
     return turns
 
 
-def sessions(events: DataFrame, key: str, time: str, idle_seconds: int = SESSION_LIFE) -> DataFrame:
-    """Visits of each key: a pause of at least the idle time starts a new one.
+def _spans(events: DataFrame, key: str, time: str, idle_seconds: int) -> DataFrame:
+    """Events merged into spans of half the idle time, each with the visit it belongs to.
 
-    Events are first merged into spans of half the idle time. Two events of one span always belong
-    to one visit, so nothing is lost, and a busy key shuffles a few spans instead of its events.
+    Two events of one span always belong to one visit, so nothing is lost, and a busy key shuffles
+    a few spans instead of its events.
     """
-    spans = events.groupBy(
-        key, F.floor(seconds(time) / (idle_seconds / 2)).alias("span")
-    ).agg(F.count(F.lit(1)).alias("events"), F.min(time).alias("first"), F.max(time).alias("last"))
+    merged = events.groupBy(key, F.floor(seconds(time) / (idle_seconds / 2)).alias("span")).agg(
+        F.count(F.lit(1)).alias("events"), F.min(time).alias("first"), F.max(time).alias("last")
+    )
     order = Window.partitionBy(key).orderBy("span")
     pause = seconds("first") - F.lag(seconds("last")).over(order)
     opens = F.coalesce((pause >= idle_seconds).cast("int"), F.lit(0))
+    return merged.withColumn("opens", opens).withColumn("visit", F.sum("opens").over(order))
+
+
+def sessions(events: DataFrame, key: str, time: str, idle_seconds: int = SESSION_LIFE) -> DataFrame:
+    """Visits of each key: a pause of at least the idle time starts a new one."""
     return (
-        spans.withColumn("opens", opens)
-        .withColumn("visit", F.sum("opens").over(order))
+        _spans(events, key, time, idle_seconds)
         .groupBy(key, "visit")
         .agg(
             F.sum("events").alias("events"),
             F.min("first").alias("started_at"),
             F.max("last").alias("last_at"),
-            F.collect_set("span").alias("spans"),
         )
     )
 
@@ -83,7 +86,7 @@ def with_sessions(
     events: DataFrame, key: str, time: str, idle_seconds: int = SESSION_LIFE
 ) -> DataFrame:
     """Attach the visit number to every event."""
-    spans = sessions(events, key, time, idle_seconds).select(key, "visit", F.explode("spans").alias("span"))
+    spans = _spans(events, key, time, idle_seconds).select(key, "span", "visit")
     return (
         events.withColumn("span", F.floor(seconds(time) / (idle_seconds / 2)))
         .join(spans, [key, "span"])

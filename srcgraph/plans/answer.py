@@ -41,7 +41,7 @@ class Index:
     preferred_prefix: str = ""
 
 
-def _hits(analysed: DataFrame, index: Index) -> DataFrame:
+def _hits(analysed: DataFrame, index: Index, plans: set[str]) -> DataFrame:
     """Graph hits in order per question (query_id, position, entity columns, requested_name)."""
     named = analysed.filter(~F.col("plan").isin("discovery", "search", "index")).select(
         F.col("query_id").alias("question"), *SCOPE,
@@ -58,6 +58,8 @@ def _hits(analysed: DataFrame, index: Index) -> DataFrame:
         F.col("query_id.position").alias("position"), F.col("entity_name").alias("name"), *columns,
         F.col("query.name").alias("requested_name"),
     )
+    if not plans & {"discovery", "search"}:
+        return exact
     broad = analysed.filter(F.col("plan").isin("discovery", "search") & F.col("revision").isNotNull())
     near = hybrid.hybrid_search(
         index.entities, index.chunks, broad.select("query_id", *SCOPE, "query"), SEARCH_HITS
@@ -177,7 +179,11 @@ def answer(asked: DataFrame, index: Index) -> DataFrame:
             "plan", questions.plan_name(F.col("intent"), F.col("entities"))
         )
     )
-    hits = cut_lineage(_hits(analysed, index))
+    # At most nine plans exist; branches no question needs are not built at all.
+    traced = responses.wants_stage_trace(F.col("query"))
+    kinds = analysed.groupBy("plan").agg(F.bool_or(traced).alias("traced")).collect()
+    plans = {row.plan for row in kinds}
+    hits = cut_lineage(_hits(analysed, index, plans))
     located = cut_lineage(_located(hits, index))
     wanted = located.select(*FILE, "definition").filter(F.col("definition").isNotNull()).distinct()
     analyses = cut_lineage(
@@ -212,27 +218,8 @@ def answer(asked: DataFrame, index: Index) -> DataFrame:
         ),
     ]
 
-    walked = base.filter("plan = 'traverse' and found")
-    first = top_per(hits, ["query_id"], [F.col("position"), F.col("id")], 1)
-    roots = first.join(walked.select("query_id"), "query_id", "left_semi").select(
-        "query_id", F.col("id").alias("root")
-    )
-    relations = traverse.dependencies(index.edges, roots.select("root"), DEPTH)
-    names = index.entities.select("id", "qualified_name")
-    relations = (
-        relations.join(roots, "root")
-        .join(names.toDF("source_id", "source_name"), "source_id")
-        .join(names.toDF("target_id", "target_name"), "target_id")
-        .withColumn("position", F.struct("depth", "source_name", "kind", "target_name"))
-    )
-    outputs.append(
-        _output(
-            walked.drop("section").join(responses.relation_text(relations), "query_id", "left"), 1,
-            "graph", F.col("hits") > 0,
-            F.coalesce("section", F.lit("No matching graph relationships were found.")),
-            F.lit("A prior graph entity result is required"),
-        )
-    )
+    if "traverse" in plans:
+        outputs.append(_walked(base, hits, index))
 
     sourced = base.filter(
         F.col("found") & ~F.col("plan").isin("index", "lookup", "traverse")
@@ -261,33 +248,67 @@ def answer(asked: DataFrame, index: Index) -> DataFrame:
             F.col("warnings"),
         )
     )
-    patterned = analyst.filter("plan = 'patterns'").join(
-        _pattern_sections(hits, analysed, index), "query_id"
-    )
-    outputs.append(
-        _output(patterned, 2, "code_analyst", F.lit(True), F.col("section"), F.lit(""))
-    )
-    compared = analyst.filter("plan = 'comparison'").join(
-        _comparison_sections(located, analyses), "query_id", "left"
-    )
-    outputs.append(
-        _output(
-            compared, 2, "code_analyst", F.col("section").isNotNull(), F.col("section"),
-            F.lit("Two resolved graph entities are required for comparison"),
+    if "patterns" in plans:
+        patterned = analyst.filter("plan = 'patterns'").join(
+            _pattern_sections(hits, analysed, index), "query_id"
         )
-    )
+        outputs.append(
+            _output(patterned, 2, "code_analyst", F.lit(True), F.col("section"), F.lit(""))
+        )
+    if "comparison" in plans:
+        compared = analyst.filter("plan = 'comparison'").join(
+            _comparison_sections(located, analyses), "query_id", "left"
+        )
+        outputs.append(
+            _output(
+                compared, 2, "code_analyst", F.col("section").isNotNull(), F.col("section"),
+                F.lit("Two resolved graph entities are required for comparison"),
+            )
+        )
 
     assembled = responses.assemble(reduce(DataFrame.unionByName, outputs))
-    traced = _traces(analysed, located, analyses)
+    answered = analysed.select("query_id", "query", "intent", "plan", *SCOPE, "entities").join(
+        assembled, "query_id"
+    )
+    if not any(row.traced for row in kinds):
+        return answered
     return (
-        analysed.select("query_id", "query", "intent", "plan", *SCOPE, "entities")
-        .join(assembled, "query_id")
-        .join(traced, "query_id", "left")
+        answered.join(_traces(analysed, located, analyses), "query_id", "left")
         .withColumn("answer", F.coalesce("trace", "answer"))
         .drop("trace")
     )
 
 
+def _walked(base: DataFrame, hits: DataFrame, index: Index) -> DataFrame:
+    """Output rows of the dependency walk from each question's first hit."""
+    walked = base.filter("plan = 'traverse' and found")
+    first = top_per(hits, ["query_id"], [F.col("position"), F.col("id")], 1)
+    # An id is the same in every revision, so nodes carry their revision and walks stay inside it.
+    def node(column: str) -> Column:
+        return F.concat_ws("|", "revision", column)
+
+    roots = first.join(walked.select("query_id"), "query_id", "left_semi").select(
+        "query_id", node("id").alias("root")
+    )
+    edges = index.edges.withColumns(
+        {"source_id": node("source_id"), "target_id": node("target_id")}
+    )
+    relations = traverse.dependencies(edges, roots.select("root").distinct(), DEPTH)
+    names = index.entities.select(node("id").alias("id"), "qualified_name")
+    relations = (
+        relations.join(roots, "root")
+        .join(names.toDF("source_id", "source_name"), "source_id")
+        .join(names.toDF("target_id", "target_name"), "target_id")
+        .withColumn("position", F.struct("depth", "source_name", "kind", "target_name"))
+    )
+    return _output(
+        walked.drop("section").join(responses.relation_text(relations), "query_id", "left"), 1,
+        "graph", F.col("hits") > 0,
+        F.coalesce("section", F.lit("No matching graph relationships were found.")),
+        F.lit("A prior graph entity result is required"),
+    )
+
+
 def _traces(analysed: DataFrame, located: DataFrame, analyses: DataFrame) -> DataFrame:
     """Stage traces of the questions that ask for the request lifecycle."""
     wanted = analysed.filter(responses.wants_stage_trace(F.col("query"))).select("query_id")

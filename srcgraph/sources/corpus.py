@@ -117,21 +117,12 @@ def prefer_snapshot(
     counts only for revisions without any snapshot. ``checkouts`` has no meaningful revision.
     """
     revisions = wanted.select(*SCOPE).distinct()
-    values = [c for c in snapshots.columns if c not in (*SCOPE, "file_path")]
     exact = snapshots.join(revisions, SCOPE, "left_semi")
     fallback = checkouts.drop("revision").join(revisions, "repository_id")
-    if not per_file:
-        covered = exact.select(*SCOPE).distinct()
-        fallback = fallback.join(covered, SCOPE, "left_anti")
-        return exact.unionByName(fallback.select(*exact.columns))
-    ranked = exact.withColumn("_priority", F.lit(0)).unionByName(
-        fallback.withColumn("_priority", F.lit(1)).select(*exact.columns, "_priority")
-    )
-    return (
-        ranked.groupBy(*SCOPE, "file_path")
-        .agg(F.min_by(F.struct(*values), "_priority").alias("_kept"))
-        .select(*SCOPE, "file_path", "_kept.*")
-    )
+    # Only keys of the snapshot meet the checkout, so snapshot contents are never shuffled.
+    covered = exact.select(*SCOPE, "file_path") if per_file else exact.select(*SCOPE).distinct()
+    missing = fallback.join(covered, covered.columns, "left_anti")
+    return exact.unionByName(missing.select(*exact.columns))
 
 
 def marker_rows(markers: DataFrame) -> DataFrame:
@@ -170,10 +161,13 @@ def corpus_metadata(files: DataFrame, markers: DataFrame | None = None) -> DataF
     return totals if markers is None else totals.join(marker_rows(markers), SCOPE, "left")
 
 
-def manifest_entries(manifest: DataFrame, repository_id: str) -> DataFrame:
-    """All manifest entries of a repository (prunes to its partition)."""
-    return manifest.filter(F.col("repository_id") == repository_id)
+def manifest_entries(manifest: DataFrame, repositories: DataFrame) -> DataFrame:
+    """All manifest entries of the given repositories (column ``repository_id``)."""
+    return manifest.join(repositories.select("repository_id"), "repository_id", "left_semi")
 
 
 def manifest_entry(manifest: DataFrame, repository_id: str, file_path: str) -> DataFrame:
-    return manifest_entries(manifest, repository_id).filter(F.col("file_path") == file_path)
+    """Point lookup; prunes to the repository's partition and to row groups by path."""
+    return manifest.filter(
+        (F.col("repository_id") == repository_id) & (F.col("file_path") == file_path)
+    )
