@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from srcgraph import rules
 from srcgraph.functions import text
 from srcgraph.operators.extract import DEFINITION_TAGS
-from srcgraph.session import SCOPE
+from srcgraph.session import SCOPE, lookup_join, top_per
 
 FILE = [*SCOPE, "file_path"]
 DEFINITION = [*FILE, "definition"]
@@ -46,8 +46,6 @@ def _first_texts(facts: DataFrame, limit: int) -> DataFrame:
     Distinct texts are found with a combining aggregation, then ranked; only ``limit`` rows per
     list are ever gathered.
     """
-    from srcgraph.session import top_per
-
     distinct = facts.groupBy(*DEFINITION, "tag", "text").agg(F.min("bfs").alias("at"))
     kept = top_per(distinct, [*DEFINITION, "tag"], [F.col("at")], limit)
     return kept.groupBy(*DEFINITION, "tag").agg(
@@ -59,8 +57,6 @@ def _first_texts(facts: DataFrame, limit: int) -> DataFrame:
 
 def _decisions(facts: DataFrame) -> DataFrame:
     """First ``DECISIONS`` control-flow texts per definition by line, then text."""
-    from srcgraph.session import top_per
-
     described = facts.filter(F.col("tag") == "flow").withColumn(
         "text", F.concat(F.lit("line "), "line", F.lit(": "), "text")
     )
@@ -176,7 +172,8 @@ def locate(defined: DataFrame, requests: DataFrame) -> DataFrame:
     """Find definitions by simple or in-file name: found, missing or ambiguous per request.
 
     ``requests``: request_id, FILE, name, allowed (``class``, ``function`` or ``any``). Only
-    definitions nested directly in one another can be named.
+    definitions nested directly in one another can be named. Many requests may ask for one name, so
+    they are spread by request.
     """
     # A top-level definition has one name, a nested one two.
     named = defined.filter("chain").select(
@@ -189,7 +186,7 @@ def locate(defined: DataFrame, requests: DataFrame) -> DataFrame:
         | ((F.col("allowed") == "function") & (F.col("tag") != "class"))
     )
     hits = (
-        requests.join(named, [*FILE, "name"])
+        lookup_join(requests, named, [*FILE, "name"], ["request_id"])
         .filter(fits)
         .groupBy("request_id")
         .agg(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from srcgraph import rules
 from srcgraph.functions import text
 from srcgraph.operators.textops import readable
-from srcgraph.session import SCOPE, top_per
+from srcgraph.session import SCOPE, lookup_join, top_per
 
 # How much of each list a rendered answer shows.
 EXCERPT, PROMPT_EXCERPT, PATH_PARTS = 4_000, 1_500, 12
@@ -60,7 +60,8 @@ def verified_hits(hits: DataFrame, files: DataFrame, limit: int = VERIFIED_HITS)
         F.col("content_hash").alias("verified_hash"),
         F.greatest(F.lit(1), F.size(text.lines(F.col("content")))).alias("last_line"),
     )
-    return first.join(located, [*SCOPE, "file_path"], "left")
+    # A popular file is hit by many questions; its rows are spread by question.
+    return lookup_join(first, located, [*SCOPE, "file_path"], ["query_id", "position"], "left")
 
 
 def analysed_hits(located: DataFrame, analyses: DataFrame, limit: int = VERIFIED_HITS) -> DataFrame:

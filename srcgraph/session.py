@@ -62,7 +62,7 @@ def lookup_join(
 ) -> DataFrame:
     """N:1 join that stays even when a few keys hold most rows of ``left``.
 
-    ``index`` has at most one row per key. The ``hot_keys`` most frequent keys of ``left`` (a row
+    ``index`` has one row, or a few, per key. The ``hot_keys`` most frequent keys of ``left`` (a row
     count fixed by the argument, so broadcasting them is safe at any scale) are spread over
     ``salts`` sub-keys and their index rows are repeated once per sub-key; every other key joins
     as usual.
