@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from srcgraph.llm import mixing
+from srcgraph.llm import language, mixing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_toxicity": toxicity.op5,
+    "op8_language_id": language.op8,
     "op10_source_mixing": mixing.op10,
 }
 ORACLES: dict[str, str] = {}
