@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from srcgraph.llm import language, mixing, toxicity
+from srcgraph.llm import language, mixing, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packing": packing.op3,
     "op5_toxicity": toxicity.op5,
     "op8_language_id": language.op8,
     "op10_source_mixing": mixing.op10,
