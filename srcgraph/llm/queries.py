@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from srcgraph.llm import extraction, language, mixing, ngram_join, packing, quality, toxicity
+from srcgraph.llm import extraction, language, mixing, ngram_join, packing, quality, spotsigs, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1,
     "op3_packing": packing.op3,
     "op4_ngram_jaccard_join": ngram_join.op4,
     "op5_toxicity": toxicity.op5,
+    "op6_spotsigs": spotsigs.op6,
     "op8_language_id": language.op8,
     "op9_html_extraction": extraction.op9,
     "op10_source_mixing": mixing.op10,
