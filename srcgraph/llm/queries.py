@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from srcgraph.llm import extraction, language, mixing, ngram_join, packing, quality, spotsigs, toxicity
+from srcgraph.llm import extraction, language, licenses, mixing, ngram_join, packing, quality, spotsigs, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1,
@@ -14,10 +14,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard_join": ngram_join.op4,
     "op5_toxicity": toxicity.op5,
     "op6_spotsigs": spotsigs.op6,
+    "op7_license_scan": licenses.op7,
     "op8_language_id": language.op8,
     "op9_html_extraction": extraction.op9,
     "op10_source_mixing": mixing.op10,
 }
 ORACLES: dict[str, str] = {
+    "op7_license_scan": licenses.OP7_SQL,
     "op1_quality_rules": quality.OP1_SQL,
 }
