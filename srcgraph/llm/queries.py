@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from srcgraph.llm import extraction, language, licenses, mixing, ngram_join, packing, quality, spotsigs, toxicity
+from srcgraph.llm import extraction, language, licenses, lm_scoring, mixing, ngram_join, packing, quality, spotsigs, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1,
+    "op2_lm_scoring": lm_scoring.op2,
     "op3_packing": packing.op3,
     "op4_ngram_jaccard_join": ngram_join.op4,
     "op5_toxicity": toxicity.op5,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mixing": mixing.op10,
 }
 ORACLES: dict[str, str] = {
+    "op2_lm_scoring": lm_scoring.OP2_SQL,
     "op7_license_scan": licenses.OP7_SQL,
     "op1_quality_rules": quality.OP1_SQL,
 }
