@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcgraph.llm.common import word_count
+from srcgraph.llm.common import fresh, table, word_count
 from srcgraph.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
@@ -172,25 +172,22 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, block
 
 def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The documents as often as the mix takes them, with their columns."""
+    id_, source, size, copies, words, copy = (fresh(docs, f"mix_{c}") for c in ("id", "source", "size", "copies", "words", "copy"))
     taken = mix(docs, weights, cap).filter("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")
+        F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("size").alias(size), F.col("copies").alias(copies)
     )
-    sized = docs.withColumn("_words", word_count("text"))
     return (
-        sized.join(
+        docs.withColumn(words, word_count("text"))
+        .join(
             taken,
-            F.col("doc_id").eqNullSafe(F.col("_id"))
-            & F.col("source").eqNullSafe(F.col("_source"))
-            & (F.col("_words") == F.col("_size")),
+            F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(words) == F.col(size)),
         )
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
         .select(*docs.columns)
     )
 
 
 def op10(spark, folder: str) -> DataFrame:
-    from srcgraph.llm.common import table
-
     return (
         mix(table(spark, folder, "documents"))
         .withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))

@@ -345,6 +345,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     )
 
 
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The documents that stay: of each group the one with the least doc_id; rows without an id all stay."""
+    found = near_duplicates(docs, n, percent)
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
 def op4(spark, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), n=4, percent=85).select(
         "doc_id", F.col("n_grams").alias("n_shingles"), "component_id"

@@ -145,12 +145,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple | Non
     return *contents, *_logistic(x, np.array([y for _, y in rest]))
 
 
-def score(docs: DataFrame, model: tuple | None) -> DataFrame:
-    """The rows with ``toxicity`` from 0 to 1; needs a column text."""
+def score(docs: DataFrame, model: tuple | None, name: str = "toxicity") -> DataFrame:
+    """The rows with their toxicity from 0 to 1 as column ``name``, which they must not have; needs a column text."""
     if model is None:
-        return docs.withColumn("toxicity", F.lit(0.0))
+        return docs.withColumn(name, F.lit(0.0))
     ordinary, toxic, mean, scale, weights = model
-    schema = docs.withColumn("toxicity", F.lit(0.0)).schema
+    schema = docs.withColumn(name, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(ordinary, toxic)
@@ -158,7 +158,7 @@ def score(docs: DataFrame, model: tuple | None) -> DataFrame:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             x = np.array([scorer.features(t) for t in texts]).reshape(-1, 4)
             p = 1 / (1 + np.exp(-np.clip((x - mean) / scale @ weights[:-1] + weights[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
