@@ -161,7 +161,7 @@ def _batch_scores(places, hashes, sizes, counts: list[np.ndarray], total: int, o
     log += np.log(BACKOFF) * (history - level)
     longest = (level == order - 1).astype(np.int64)
     unseen = (others[0] <= 0).astype(np.int64)
-    sums = lambda x: np.bincount(doc, weights=x, minlength=len(sizes))
+    sums = lambda x: np.bincount(doc, weights=x, minlength=len(sizes)).astype(np.float64)
     return sums(log), sums(longest).astype(np.int64), sums(unseen).astype(np.int64)
 
 
