@@ -14,6 +14,7 @@ from srcgraph.catalog import query
 from srcgraph.catalog.shared import code_index
 from srcgraph.functions import ids
 from srcgraph.operators import extract, facts, resolve, responses, vectors
+from srcgraph.sources.adapters import CODE_TEMPLATE
 
 # e is the last line of the module docstring; all later lines of a file are counted from it.
 CODE = """
@@ -650,33 +651,35 @@ def design_pattern_text(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Definitions of a file: kind, name, first and last line counted from the module docstring's end.
+_DEFINITIONS = [
+    ("class", "C{id}", 7, 25), ("method", "C{id}.run", 12, 18), ("method", "C{id}.step", 20, 25),
+    ("function", "helper_{id}", 27, 31), ("function", "size_{size}", 33, 38),
+]
+
+
+def _body(kind: str, name: str, first: int, last: int) -> str:
+    lines = "\n".join(CODE_TEMPLATE.split("\n")[first : last + 1])
+    return (
+        f"SELECT repo, path, '{kind}' AS kind, {_expr('{module}.' + name)} AS qualified_name, "
+        f"{_expr(kind + ' {module}.' + name + chr(10) + 'File: {path}' + chr(10) + lines)} AS body FROM good"
+    )
+
+
+_BODIES = " UNION ALL ".join(_body(*row) for row in _DEFINITIONS)
+
+
 @query(
     "chunk_text",
     CODE
-    + """
+    + f"""
 SELECT repo AS repository_id, path AS file_path, kind, qualified_name, length(body) AS characters,
-       sha256(body) AS text_hash FROM (
-  SELECT repo, path, 'function' AS kind, module || '.size_' || size AS qualified_name,
-    'function ' || module || '.size_' || size || chr(10) || 'File: ' || path || chr(10)
-    || 'def size_' || size || '(y):' || chr(10)
-    || '    \"\"\"Not unique: one per file of this length.' || chr(10) || chr(10)
-    || '    Second paragraph.' || chr(10) || '    \"\"\"' || chr(10) || '    return C' || id || '(y)' AS body
-  FROM good
-  UNION ALL
-  SELECT repo, path, 'method', module || '.C' || id || '.step',
-    'method ' || module || '.C' || id || '.step' || chr(10) || 'File: ' || path || chr(10)
-    || '    async def step(self, a):' || chr(10) || '        try:' || chr(10)
-    || '            await fetch(a)' || chr(10) || '        except ValueError:' || chr(10)
-    || '            raise KeyError(a)' || chr(10) || '        return helper_' || id || '(a)'
-  FROM good)""",
+       sha256(body) AS text_hash FROM ({_BODIES})""",
 )
 def chunk_text(spark: SparkSession, folder: str) -> DataFrame:
-    """Embedding text of two of the five definitions of each file."""
+    """Embedding text of every definition of each file."""
     index = code_index(spark, folder)
-    chosen = index.entities.filter(
-        F.startswith("name", F.lit("size_")) | ((F.col("kind") == "method") & (F.col("name") == "step"))
-    )
-    return vectors.chunk_texts(chosen, index.files).select(
+    return vectors.chunk_texts(index.entities, index.files).select(
         "repository_id", "file_path", "kind", "qualified_name",
         F.length("text").cast("bigint").alias("characters"),
         F.sha2("text", 256).alias("text_hash"),
@@ -699,11 +702,24 @@ def file_results(spark: SparkSession, folder: str) -> DataFrame:
     ).drop("revision", "content_hash")
 
 
-@query("embed_chunks")
+@query(
+    "embed_chunks",
+    CODE
+    + f""", chunk AS ({_BODIES}),
+slot AS (SELECT repo, path, kind, qualified_name, ('0x' || substr(md5(token), 1, 4))::INTEGER % 64 AS slot, count(*) AS c
+  FROM (SELECT *, unnest(regexp_extract_all(lower(body), '[a-z_][a-z0-9_]*|[0-9]+')) AS token FROM chunk) GROUP BY ALL)
+SELECT repo AS repository_id, path AS file_path, kind, qualified_name, 64 AS dimension,
+  string_agg(slot || ':' || CAST(round(100 * c / length) AS INTEGER), ',' ORDER BY slot) AS vector
+FROM (SELECT *, sqrt(sum(c * c) OVER (PARTITION BY repo, path, kind, qualified_name)) AS length FROM slot) GROUP BY ALL""",
+)
 def embed_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunk vectors of the whole corpus: id, dimension and length of each."""
-    length = F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
+    """Chunk vectors of the whole corpus: every slot in use with its value in hundredths."""
+    slots = F.transform("embedding", lambda x, i: F.struct(i.alias("i"), x.cast("double").alias("x")))
+    shown = F.transform(
+        F.filter(slots, lambda s: s["x"] > 0),
+        lambda s: F.concat_ws(":", s["i"].cast("string"), F.round(s["x"] * 100).cast("int").cast("string")),
+    )
     return code_index(spark, folder).chunks.select(
-        "point_id", "repository_id", "qualified_name", F.size("embedding").alias("dimension"),
-        F.round(F.sqrt(length), 3).alias("norm"),
+        "repository_id", "file_path", "kind", "qualified_name", F.size("embedding").alias("dimension"),
+        F.array_join(shown, ",").alias("vector"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from srcgraph.catalog import query
 from srcgraph.functions import ids
 from srcgraph.operators import incremental, upsert, vectors
-from srcgraph.session import cut_lineage
+from srcgraph.session import cut_lineage, ensure_checkpoint_dir
 from srcgraph.sources.adapters import next_text_files, table, text_files
 
 REVISIONS = """
@@ -295,3 +295,57 @@ def _increments(events: DataFrame) -> DataFrame:
         F.get_json_object("props", "$.k").cast("bigint").alias("entity_count"),
         F.col("ts").alias("at"),
     )
+
+
+@query(
+    "index_job",
+    """WITH d AS (SELECT lang AS repo, count(*) AS n, count(*) FILTER (doc_id % 10 = 0) AS gone,
+    count(*) FILTER (doc_id % 10 = 1) AS changed, count(*) FILTER (doc_id % 10 = 2) AS moved FROM documents GROUP BY lang)
+SELECT repo AS repository_id, 'r1' AS revision, 'completed' AS status, n + 1 AS discovered_files, 0 AS skipped_files,
+  0 AS failed_files, 3 * (n + 1) AS entity_count, 0 AS deleted_file_count, 0 AS renamed_file_count FROM d
+UNION ALL
+SELECT repo, 'r2', CASE WHEN repo = 'fr' THEN 'failed' ELSE 'completed' END, n - gone + CASE WHEN repo = 'fr' THEN 2 ELSE 1 END,
+  n - gone - changed - moved, CASE WHEN repo = 'fr' THEN 1 ELSE 0 END, 3 * (changed + moved + 1),
+  CASE WHEN repo = 'fr' THEN 0 ELSE gone END, CASE WHEN repo = 'fr' THEN 0 ELSE moved END FROM d""",
+)
+def index_job(spark: SparkSession, folder: str) -> DataFrame:
+    """Two jobs over a file per document. The second one loses, changes and moves files; one file grows
+    over a megabyte, and one repository gets a file that is not text and fails."""
+    from uuid import uuid4
+
+    from srcgraph.plans import index
+
+    documents = table(spark, folder, "documents").select("doc_id", F.col("lang").alias("repository_id"))
+    kind = F.col("doc_id") % 10
+
+    def files(revision: str) -> DataFrame:
+        later = F.lit(revision == "r2")
+        small = documents.filter(~later | (kind != 0)).select(
+            "repository_id",
+            F.concat(F.when(later & (kind == 2), "pkg/moved").otherwise("pkg/m"), "doc_id", F.lit(".py")).alias("file_path"),
+            F.concat(
+                F.lit("def f"), "doc_id", F.lit("():\n    return "), F.when(later & (kind == 1), F.lit("-")).otherwise(F.lit("")),
+                "doc_id", F.lit("\n"),
+            ).cast("binary").alias("content"),
+        )
+        padding = F.repeat(F.lit("#" * 99 + "\n"), F.when(later, 10_001).otherwise(1))
+        repositories = documents.select("repository_id").distinct()
+        large = repositories.select(
+            "repository_id", F.lit("pkg/large.py").alias("file_path"),
+            F.concat(F.lit("def large():\n    return 0\n"), padding).cast("binary").alias("content"),
+        )
+        raw = repositories.filter(later & (F.col("repository_id") == "fr")).select(
+            "repository_id", F.lit("pkg/raw.py").alias("file_path"), F.unhex(F.lit("FFFE00")).alias("content")
+        )
+        every = small.unionByName(large).unionByName(raw).withColumn("revision", F.lit(revision))
+        return every.withColumn("content_hash", ids.content_hash(F.col("content")))
+
+    root = f"{ensure_checkpoint_dir(spark)}/index-{uuid4().hex}"
+    jobs = [
+        cut_lineage(index.index_revision(spark, root, files(revision), index.IndexRequest(f"job-{revision}")))
+        for revision in ("r1", "r2")
+    ]
+    return jobs[0].unionByName(jobs[1]).select(
+        "repository_id", "revision", "status", "discovered_files", "skipped_files", "failed_files", "entity_count",
+        "deleted_file_count", "renamed_file_count",
+    )

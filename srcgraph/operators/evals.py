@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from srcgraph.session import cut_lineage
+
 CHECKS = [
     "http_200", "partial_as_expected", "agents", "source_any", "source_all", "answer_terms", "trace",
 ]
@@ -67,21 +69,65 @@ def golden_checks(cases: DataFrame, responses: DataFrame) -> DataFrame:
     )
 
 
-def nearest_rank(column: str, fraction: float) -> Column:
-    """Value at index ceil(fraction * n) - 1 of the sorted column."""
-    return F.expr(f"percentile_disc({fraction}) WITHIN GROUP (ORDER BY {column})")
+def nearest_ranks(
+    rows: DataFrame, keys: list[str], column: str, fractions: dict[str, float]
+) -> DataFrame:
+    """Per key, for each named fraction the value at index ceil(fraction * n) - 1 of the sorted column.
+
+    Exact, and no task holds a key's values: counts per distinct value are dealt by range of
+    (key, value), each range adds up its own, and the sums of a key's earlier ranges are added.
+    """
+    counts = rows.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_n"))
+    dealt = cut_lineage(
+        counts.repartitionByRange(*keys, column).withColumn("_part", F.spark_partition_id())
+    )
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (
+        dealt.groupBy(*keys, "_part")
+        .agg(F.sum("_n").alias("_sum"))
+        .withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+        .withColumn("_all", F.sum("_sum").over(Window.partitionBy(*keys)))
+        .select(*[F.col(k).alias(f"_{k}_") for k in keys], F.col("_part").alias("_of"), "_before", "_all")
+    )
+    inside = Window.partitionBy(*keys, "_part").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("_part") == F.col("_of")
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_{key}_"))
+    upto = F.col("_inside") + F.col("_before")
+    return (
+        dealt.withColumn("_inside", F.sum("_n").over(inside))
+        .join(parts, same)
+        .groupBy(*keys)
+        .agg(
+            *[
+                F.min(F.when(upto >= F.ceil(F.col("_all") * fraction), F.col(column))).alias(name)
+                for name, fraction in fractions.items()
+            ]
+        )
+    )
+
+
+def _with_ranks(summary: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A summary per key with p50 and p95 of the latencies."""
+    names = {f"_{key}_key": key for key in keys}
+    ranks = nearest_ranks(rows, keys, "latency_ms", {"p50_ms": 0.5, "p95_ms": 0.95})
+    ranks = ranks.select(*[F.col(key).alias(name) for name, key in names.items()], "p50_ms", "p95_ms")
+    same = F.lit(True)
+    for name, key in names.items():
+        same = same & F.col(key).eqNullSafe(F.col(name))
+    return summary.join(ranks, same, "left").drop(*names)
 
 
 def summarise_latencies(results: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Minimum, p50, p95 and maximum rounded to three places; zeros when there is nothing."""
-    stats = {
-        "minimum_ms": F.min("latency_ms"),
-        "p50_ms": nearest_rank("latency_ms", 0.5),
-        "p95_ms": nearest_rank("latency_ms", 0.95),
-        "maximum_ms": F.max("latency_ms"),
-    }
-    return results.groupBy(*(keys or [])).agg(
-        *[F.coalesce(F.round(value, 3), F.lit(0.0)).alias(name) for name, value in stats.items()]
+    rows = results if keys else results.withColumn("_every", F.lit(0))
+    by = keys or ["_every"]
+    ends = rows.groupBy(*by).agg(F.min("latency_ms").alias("minimum_ms"), F.max("latency_ms").alias("maximum_ms"))
+    if not keys:
+        ends = results.agg(F.min("latency_ms").alias("minimum_ms"), F.max("latency_ms").alias("maximum_ms")).withColumn("_every", F.lit(0))
+    names = ["minimum_ms", "p50_ms", "p95_ms", "maximum_ms"]
+    return _with_ranks(ends, rows, by).select(
+        *(keys or []), *[F.coalesce(F.round(name, 3), F.lit(0.0)).alias(name) for name in names]
     )
 
 
@@ -105,17 +151,22 @@ def load_summary(requests: DataFrame, keys: list[str] | None = None) -> DataFram
     finish = start + F.round(F.col("latency_ms") * 1000).cast("bigint")
     duration = (F.max(finish) - F.min(start)) / 1e6
     total = F.count(F.lit(1))
-    return requests.groupBy(*(keys or [])).agg(
+    rows = requests if keys else requests.withColumn("_every", F.lit(0))
+    by = keys or ["_every"]
+    summary = rows.groupBy(*by).agg(
         total.alias("requests"),
         F.count_if(F.col("status") == 200).alias("completed"),
         F.count_if(F.col("status") == 429).alias("rejected"),
         F.count_if(~F.col("status").isin(200, 429)).alias("failed"),
         F.round(duration, 3).alias("duration_seconds"),
         F.round(F.try_divide(total, duration), 3).alias("throughput_per_second"),
-        F.round(nearest_rank("latency_ms", 0.5), 3).alias("p50_ms"),
-        F.round(nearest_rank("latency_ms", 0.95), 3).alias("p95_ms"),
         F.round(F.max("latency_ms"), 3).alias("maximum_ms"),
     )
+    return (
+        _with_ranks(summary, rows, by)
+        .withColumns({name: F.round(name, 3) for name in ("p50_ms", "p95_ms")})
+        .select(*(keys or []), *[c for c in summary.columns if c not in (*by, "maximum_ms")], "p50_ms", "p95_ms", "maximum_ms")
+    )
 
 
 def stream_checks(cases: DataFrame, events: DataFrame) -> DataFrame:

@@ -51,10 +51,15 @@ def enrich_provenance(evidence: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
-def verified_hits(hits: DataFrame, files: DataFrame, limit: int = VERIFIED_HITS) -> DataFrame:
-    """First hits per question joined to their file: whole-file location and hash."""
+def verified_hits(
+    hits: DataFrame, files: DataFrame, limit: int = VERIFIED_HITS, maximum_bytes: int | None = None
+) -> DataFrame:
+    """First hits per question joined to their file: whole-file location and hash.
+
+    Files of any size are verified unless a bound is given.
+    """
     first = top_per(hits, ["query_id"], [F.col("position")], limit).drop("rank")
-    located = readable(files).select(
+    located = readable(files, maximum_bytes).select(
         *SCOPE,
         "file_path",
         F.col("content_hash").alias("verified_hash"),

@@ -14,23 +14,28 @@ from srcgraph.session import SCOPE
 FILE = [*SCOPE, "file_path"]
 
 
-def readable(files: DataFrame, maximum_bytes: int = rules.MAXIMUM_FILE_BYTES) -> DataFrame:
-    """Files within the size bound whose bytes are valid UTF-8, content as text."""
+def read_problem(maximum_bytes: int | None) -> Column:
+    """Why a file's content cannot be read; null if it can. Without a bound any length can."""
     raw = F.col("content").cast("binary")
-    return files.filter((F.octet_length(raw) <= maximum_bytes) & F.is_valid_utf8(raw.cast("string"))).withColumn(
-        "content", raw.cast("string")
+    problem = F.when(~F.is_valid_utf8(raw.cast("string")), F.lit("Source file is not valid UTF-8"))
+    if maximum_bytes is None:
+        return problem
+    too_long = F.octet_length(raw) > maximum_bytes
+    return F.when(too_long, F.lit("Source file exceeds the configured size limit")).otherwise(problem)
+
+
+def readable(files: DataFrame, maximum_bytes: int | None = rules.MAXIMUM_FILE_BYTES) -> DataFrame:
+    """Files within the size bound, if there is one, whose bytes are valid UTF-8, content as text."""
+    return files.filter(read_problem(maximum_bytes).isNull()).withColumn(
+        "content", F.col("content").cast("binary").cast("string")
     )
 
 
-def unreadable(files: DataFrame, maximum_bytes: int = rules.MAXIMUM_FILE_BYTES) -> DataFrame:
+def unreadable(files: DataFrame, maximum_bytes: int | None = rules.MAXIMUM_FILE_BYTES) -> DataFrame:
     """The other files, as issue rows."""
-    raw = F.col("content").cast("binary")
-    too_long = F.octet_length(raw) > maximum_bytes
-    message = F.when(too_long, F.lit("Source file exceeds the configured size limit")).otherwise(
-        F.lit("Source file is not valid UTF-8")
-    )
-    return files.filter(too_long | ~F.is_valid_utf8(raw.cast("string"))).select(
-        *FILE, message.alias("message"), F.lit(None).cast("int").alias("line"), F.lit(True).alias("fatal")
+    problem = read_problem(maximum_bytes)
+    return files.filter(problem.isNotNull()).select(
+        *FILE, problem.alias("message"), F.lit(None).cast("int").alias("line"), F.lit(True).alias("fatal")
     )
 
 
@@ -38,7 +43,17 @@ def safe_paths(files: DataFrame) -> DataFrame:
     return files.filter(safe_relative(F.col("file_path")))
 
 
-def line_matches(files: DataFrame, query: str) -> DataFrame:
+def unsafe_paths(files: DataFrame) -> DataFrame:
+    """Files outside their repository, as issue rows; they are reported and not indexed."""
+    return files.filter(~F.coalesce(safe_relative(F.col("file_path")), F.lit(False))).select(
+        *FILE, F.lit("File path is not inside the repository").alias("message"),
+        F.lit(None).cast("int").alias("line"), F.lit(False).alias("fatal"),
+    )
+
+
+def line_matches(
+    files: DataFrame, query: str, maximum_bytes: int | None = rules.MAXIMUM_FILE_BYTES
+) -> DataFrame:
     """Every line that holds the literal ``query``, ignoring case. Whole files, no cap.
 
     Files without the query anywhere are dropped before their lines are split.
@@ -47,7 +62,7 @@ def line_matches(files: DataFrame, query: str) -> DataFrame:
         raise ValueError("search query cannot be empty")
     needle = F.lower(F.lit(query))
     return (
-        readable(files)
+        readable(files, maximum_bytes)
         .filter(F.contains(F.lower("content"), needle))
         .select(*FILE, "content_hash", F.posexplode(text.lines(F.col("content"))).alias("at", "raw"))
         .filter(F.contains(F.lower("raw"), needle))
@@ -60,15 +75,19 @@ def line_matches(files: DataFrame, query: str) -> DataFrame:
     )
 
 
-def line_search(files: DataFrame, query: str, limit: int = 20) -> DataFrame:
+def line_search(
+    files: DataFrame, query: str, limit: int = 20, maximum_bytes: int | None = rules.MAXIMUM_FILE_BYTES
+) -> DataFrame:
     """First ``limit`` matches by path and line, with a flag that the limit was reached."""
     check_limit(limit)
-    best = line_matches(files, query).orderBy("file_path", "line", *SCOPE).limit(limit)
+    best = line_matches(files, query, maximum_bytes).orderBy("file_path", "line", *SCOPE).limit(limit)
     everything = Window.partitionBy(F.lit(0))
     return best.withColumn("truncated", F.count(F.lit(1)).over(everything) >= limit)
 
 
-def snippets(files: DataFrame, requests: DataFrame) -> DataFrame:
+def snippets(
+    files: DataFrame, requests: DataFrame, maximum_bytes: int | None = rules.MAXIMUM_FILE_BYTES
+) -> DataFrame:
     """Line ranges with context. ``requests``: FILE, start_line, end_line, context_lines.
 
     Ranges are clamped to the file; requests that start after its end, are inverted, ask for more
@@ -80,7 +99,7 @@ def snippets(files: DataFrame, requests: DataFrame) -> DataFrame:
         & F.col("context_lines").between(0, 50)
         & safe_relative(F.col("file_path"))
     )
-    lined = readable(files).select(
+    lined = readable(files, maximum_bytes).select(
         *FILE, "content_hash", text.lines(F.col("content")).alias("lines")
     )
     total = F.greatest(F.lit(1), F.size("lines"))
@@ -97,14 +116,16 @@ def snippets(files: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def verify(files: DataFrame, requests: DataFrame) -> DataFrame:
+def verify(
+    files: DataFrame, requests: DataFrame, maximum_bytes: int | None = rules.MAXIMUM_FILE_BYTES
+) -> DataFrame:
     """Existence, hash, optional hash match and whole-file location per request.
 
     ``requests``: FILE, optional expected_content_hash.
     """
     if "expected_content_hash" not in requests.columns:
         requests = requests.withColumn("expected_content_hash", F.lit(None).cast("string"))
-    found = readable(files).select(
+    found = readable(files, maximum_bytes).select(
         *FILE,
         "content_hash",
         F.greatest(F.lit(1), F.size(text.lines(F.col("content")))).alias("end_line"),

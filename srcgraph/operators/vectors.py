@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,10 +16,12 @@ QUERY_BLOCK = 1_024
 CHUNK_BLOCK = 8_192
 
 
-def chunk_texts(entities: DataFrame, files: DataFrame) -> DataFrame:
-    """One text per class, function and method: heading, path, its source lines, cut to size.
+def chunk_texts(
+    entities: DataFrame, files: DataFrame, maximum_characters: int | None = MAXIMUM_CHARACTERS
+) -> DataFrame:
+    """One text per class, function and method: heading, path, its source lines.
 
-    Line ranges are gathered per file first, so each file's text moves once, not once per entity.
+    Cut to ``maximum_characters`` as the embedding model wants it; None keeps whole definitions.
     """
     key = [*SCOPE, "file_path"]
     wanted = (
@@ -36,20 +36,20 @@ def chunk_texts(entities: DataFrame, files: DataFrame) -> DataFrame:
     heading = F.concat(
         "kind", F.lit(" "), "qualified_name", F.lit("\nFile: "), "file_path", F.lit("\n")
     )
-    return (
-        wanted.join(lined, key)
-        .withColumn(
-            "text",
-            F.substring(F.concat(heading, F.array_join(span, "\n")), 1, MAXIMUM_CHARACTERS),
-        )
-        .drop("lines")
-    )
+    whole = F.concat(heading, F.array_join(span, "\n"))
+    kept = whole if maximum_characters is None else F.substring(whole, 1, maximum_characters)
+    return wanted.join(lined, key).withColumn("text", kept).drop("lines")
 
 
-def index_chunks(entities: DataFrame, files: DataFrame, embedder: str = "hash") -> DataFrame:
+def index_chunks(
+    entities: DataFrame,
+    files: DataFrame,
+    embedder: str = "hash",
+    maximum_characters: int | None = MAXIMUM_CHARACTERS,
+) -> DataFrame:
     """Chunk texts with their vector and name-based id."""
     return (
-        chunk_texts(entities, files)
+        chunk_texts(entities, files, maximum_characters)
         .withColumn("embedding", vectors.embed(F.col("text"), embedder))
         .withColumn(
             "point_id",
@@ -100,22 +100,8 @@ def _hit_schema(queries: DataFrame) -> str:
     return f"query_id {queries.schema['query_id'].dataType.simpleString()}, entity_id string, score double"
 
 
-def _against_few(chunks: DataFrame, rows: list, limit: int, schema: str) -> DataFrame:
-    """Few queries: they travel to the chunks, whose vectors are not shuffled."""
-    wanted = pd.DataFrame([row.asDict() for row in rows])
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by_scope = dict(list(wanted.groupby(SCOPE)))
-        for batch in batches:
-            for scope, part in batch.groupby(SCOPE):
-                if scope in by_scope:
-                    yield _best(by_scope[scope], part, limit)
-
-    return chunks.mapInPandas(score, schema)
-
-
-def _against_many(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """Many queries: fixed-size blocks of chunks meet fixed-size blocks of queries.
+def _block_hits(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """Fixed-size blocks of chunks meet fixed-size blocks of queries.
 
     Block counts per scope come from row counts, so no group outgrows a task however large a
     repository is.
@@ -154,19 +140,12 @@ def _against_many(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFram
 def cosine_top_k(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """Exact cosine top-k per query inside its repository and revision.
 
-    ``chunks``: SCOPE, entity_id, embedding; ``queries``: query_id, SCOPE, embedding. Up to
-    ``QUERY_BLOCK`` queries (the size is checked) are sent to the chunks; beyond that both sides
-    are cut into blocks. Scores are rounded to nine places so that equal vectors tie by id.
+    ``chunks``: SCOPE, entity_id, embedding; ``queries``: query_id, SCOPE, embedding. Any
+    number of queries takes the same plan: both sides are cut into blocks. Scores are rounded to nine places so that equal vectors tie by id.
     """
     chunk_rows = chunks.select(*SCOPE, "entity_id", "embedding")
     query_rows = queries.select("query_id", *SCOPE, "embedding")
-    few = query_rows.limit(QUERY_BLOCK + 1).collect()
-    if not few:
-        hits = chunks.sparkSession.createDataFrame([], _hit_schema(query_rows))
-    elif len(few) <= QUERY_BLOCK:
-        hits = _against_few(chunk_rows, few, limit, _hit_schema(query_rows))
-    else:
-        hits = _against_many(chunk_rows, query_rows, limit)
+    hits = _block_hits(chunk_rows, query_rows, limit)
     return top_per(hits, ["query_id"], [F.col("score").desc(), F.col("entity_id")], limit)
 
 

@@ -72,22 +72,27 @@ def index_revision(
 ) -> DataFrame:
     """Run a job and publish its tables under ``root``; returns the job rows.
 
+    Files of any size are indexed; one that is not valid UTF-8 fails its repository's job like one that
+    does not parse, and files with unsafe paths are reported as issues.
+
     Only changed files are parsed and embedded. References of every file are resolved again, since
     a definition elsewhere may have come, gone or become ambiguous. A repository with a file that
     does not parse keeps its stored state; only its failed job row is published.
     """
     before = tables.Snapshot(spark, root)
     safe = textops.safe_paths(files)
-    good = textops.readable(safe)
+    good = textops.readable(safe, None)
     manifest = before.get("manifest")
     if manifest is None:
         manifest = spark.createDataFrame([], MANIFEST)
-    diff = cut_lineage(incremental.manifest_diff(manifest, good, request.mode))
-    revision_of = good.select(*SCOPE).distinct()
+    # Every safe file is compared, so that an unreadable one counts as failed and never as removed.
+    diff = cut_lineage(incremental.manifest_diff(manifest, safe, request.mode))
+    revision_of = safe.select(*SCOPE).distinct()
 
     pending = diff.filter(~F.col("skipped") & (F.col("status") != "removed")).select(*PATH)
     facts = cut_lineage(extract.syntax_facts(good.join(pending, PATH, "left_semi")))
-    issues = extract.parse_issues(facts).unionByName(textops.unreadable(safe))
+    failures = extract.parse_issues(facts).unionByName(textops.unreadable(safe, None))
+    issues = failures.unionByName(textops.unsafe_paths(files))
     kept = diff.filter("skipped").select(*PATH, "source_revision").join(
         revision_of.withColumnRenamed("revision", "target_revision"), "repository_id"
     )
@@ -120,7 +125,7 @@ def index_revision(
     renames = incremental.rename_pairs(diff)
     results = extract.file_results(good, entities, edges, issues, chunks)
     jobs = incremental.job_status(
-        incremental.job_counters(diff, results.drop(*["revision", "content_hash"]), issues, renames)
+        incremental.job_counters(diff, results.drop(*["revision", "content_hash"]), failures, renames)
     ).join(revision_of, "repository_id")
     jobs = cut_lineage(
         jobs.select(
