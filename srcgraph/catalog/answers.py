@@ -74,11 +74,10 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
     + """, said AS (SELECT repo, id, broken, 'Show the implementation of `C' || id || '`' AS query FROM code)
 SELECT 'turn' AS log, repo AS session_id, sha256(query) AS query_hash, 'C' || id AS names, false AS partial FROM said
 UNION ALL SELECT 'audit', repo, sha256(query), '', broken FROM said
-UNION ALL SELECT 'episode', repo, sha256(query), 'C' || id, broken FROM said
-UNION ALL SELECT 'cache', '', '', '', broken FROM said""",
+UNION ALL SELECT 'episode', repo, sha256(query), 'C' || id, broken FROM said""",
 )
 def turn_log(spark: SparkSession, folder: str) -> DataFrame:
-    """State rows that the answered questions leave: user turns, audits, episodes, cache writes."""
+    """State rows that the answered questions leave: user turns, audits, episodes."""
     asked = _asked(spark, folder).withColumns(
         {
             "session_id": F.col("repository_id"),
@@ -104,9 +103,8 @@ def turn_log(spark: SparkSession, folder: str) -> DataFrame:
         rows("turn", log["turns"].filter("role = 'user'"), session, F.sha2("content", 256), names, F.lit(False)),
         rows("audit", log["audits"], session, F.col("query_hash"), nothing, F.col("partial")),
         rows("episode", log["episodes"], F.col("user_id"), F.sha2("query", 256), names, F.col("partial")),
-        rows("cache", log["cache"], nothing, nothing, nothing, ~F.col("stored")),
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(

@@ -27,15 +27,18 @@ def _grams(text: Column, size: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def contains_matches(entities: DataFrame, queries: DataFrame) -> DataFrame:
+def contains_matches(entities: DataFrame, queries: DataFrame, scoped: bool = False) -> DataFrame:
     """(query, entity) rows where the entity's name or qualified name contains the query's name.
 
+    With ``scoped`` a query meets only the entities of its own repository and revision.
+
     Inverted index instead of comparing every pair: a query looks only at entities that hold its
     rarest three-letter piece (shorter names use the name itself), then the match is verified.
-    Both sides of the piece join are spread over ``SPREAD`` sub-keys so that a common piece does
-    not end in one task.
+    The match join is spread over ``SPREAD`` sub-keys so that a common piece does not end in one task;
+    which pieces are wanted at all is decided before that.
     """
     term = F.lower("name")
+    meet = ["piece", *SCOPE] if scoped else ["piece"]
     key = [c for c in (*SCOPE, "id") if c in entities.columns]
     # Both names are one haystack; the separator is in no name.
     haystack = F.lower(F.concat_ws("\0", "name", "qualified_name"))
@@ -53,26 +56,26 @@ def contains_matches(entities: DataFrame, queries: DataFrame) -> DataFrame:
     pieces = F.array_distinct(F.concat(*[_grams(haystack, size) for size in range(1, GRAM + 1)]))
     held = cut_lineage(
         entities.select(*key, haystack.alias("haystack"), F.explode(pieces).alias("piece")).join(
-            wanted.select("piece").distinct(), "piece", "left_semi"
+            wanted.select(*meet).distinct(), meet, "left_semi"
         )
     )
-    frequency = held.groupBy("piece").agg(F.count(F.lit(1)).alias("frequency"))
+    frequency = held.groupBy(*meet).agg(F.count(F.lit(1)).alias("frequency"))
     rarest = (
-        wanted.join(frequency, "piece", "left")
-        .groupBy("query_id")
+        wanted.join(frequency, meet, "left")
+        .groupBy("query_id", *meet[1:])
         .agg(
             F.min(F.struct(F.coalesce("frequency", F.lit(0)), "piece"))["piece"].alias("piece"),
             F.first(F.struct(*queries.columns)).alias("query"),
         )
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-        .select("query", "piece", "_salt")
+        .select("query", *meet, "_salt")
     )
     salt = F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")
     needle = F.lower(F.col("query.name"))
     # A name cannot hold the separator, so a hit in the haystack is a hit in one of the names.
     matches = (
         held.withColumn("_salt", salt)
-        .join(rarest, ["piece", "_salt"])
+        .join(rarest, [*meet, "_salt"])
         .filter(F.contains("haystack", needle))
         .select(*key, "query")
     )
@@ -95,12 +98,9 @@ def find_entities(
     check_limit(limit)
     if "kind" not in queries.columns:
         queries = queries.withColumn("kind", F.lit(None).cast("string"))
-    hits = contains_matches(entities, queries).filter(
+    hits = contains_matches(entities, queries, scoped).filter(
         F.col("query.kind").isNull() | (F.col("query.kind") == F.col("kind"))
     )
-    if scoped:
-        for column in SCOPE:
-            hits = hits.filter(F.col(f"query.{column}") == F.col(column))
     name = F.col("query.name")
     closeness = (
         F.when(F.col("qualified_name") == name, 0).when(F.col("entity_name") == name, 1).otherwise(2)

@@ -349,7 +349,7 @@ def evidence(responses_made: DataFrame, hits: DataFrame, files: DataFrame) -> Da
 
 
 def turn_log(asked: DataFrame, answers: DataFrame) -> dict[str, DataFrame]:
-    """State rows that a batch of answered questions adds: turns, cache log, audits, episodes.
+    """State rows that a batch of answered questions adds: turns, audits, episodes.
 
     ``asked``: query_id, session_id, user_id, query, repository_id, revision, asked_at, turn,
     response_detail, code_examples. Bound each with the functions of ``operators.state``.
@@ -368,15 +368,6 @@ def turn_log(asked: DataFrame, answers: DataFrame) -> dict[str, DataFrame]:
             )
         ).alias("said"),
     ).select("session_id", "said.*", F.col("asked_at").alias("created_at"), "entities", *SCOPE)
-    eligible = state.cacheable(F.col("query"), F.col("repository_id"), F.col("revision"))
-    key = state.cache_key(
-        F.col("repository_id"), F.col("revision"), F.col("query"), F.col("response_detail"),
-        F.col("code_examples"),
-    )
-    cache = joined.select(
-        F.col("query_id").alias("request_id"), "asked_at", key.alias("cache_key"),
-        eligible.alias("eligible"), (~F.col("partial")).alias("stored"), "answer",
-    )
     audits = state.audit_records(
         joined.select(
             "session_id", F.col("query_id").alias("audit_id"), F.col("asked_at").alias("created_at"),
@@ -387,5 +378,5 @@ def turn_log(asked: DataFrame, answers: DataFrame) -> dict[str, DataFrame]:
         F.col("query_id").alias("episode_id"), "user_id", *SCOPE, "query", "answer",
         F.col("names").alias("entities"), "partial", F.col("asked_at").alias("created_at"),
     )
-    return {"turns": spoken, "cache": cache, "audits": audits, "episodes": episodes}
+    return {"turns": spoken, "audits": audits, "episodes": episodes}
 

@@ -1,15 +1,18 @@
-"""Stored tables: versioned parquet folders behind a pointer that moves last.
+"""Stored tables: parquet folders behind pointer rows that are appended last.
 
-Spark cannot overwrite what it is reading, and a failed job must leave the old state visible, so
-every job writes a new version of all its tables and then appends one pointer row.
+Spark cannot overwrite what it is reading, and a failed job must leave the old state visible, so a
+job writes the tables it changes to a folder of its own and then appends one pointer row that names
+them. Tables it does not name stay where they are.
 """
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_POINTER = "version bigint"
+_POINTER = "version bigint, folder string, tables array<string>, batch string"
 # Layout per table: partition columns, then the sort key whose parquet statistics serve lookups.
 LAYOUT = {
     "entities": (["repository_id"], ["qualified_name"]),
@@ -20,29 +23,39 @@ LAYOUT = {
 }
 
 
-def current_version(spark: SparkSession, root: str) -> int:
-    """Version the pointer names; 0 before the first publication."""
+def _pointers(spark: SparkSession, root: str) -> DataFrame:
+    """The pointer rows; none before the first publication."""
     try:
-        pointers = spark.read.schema(_POINTER).json(f"{root}/published")
+        return spark.read.schema(_POINTER).json(f"{root}/published")
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return 0
-    return pointers.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+        return spark.createDataFrame([], _POINTER)
+
+
+def current_version(spark: SparkSession, root: str) -> int:
+    """Newest version; 0 before the first publication."""
+    return _pointers(spark, root).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+
+
+def has_batch(spark: SparkSession, root: str, batch: str) -> bool:
+    return not _pointers(spark, root).filter(F.col("batch") == batch).isEmpty()
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> int:
-    """Write all tables as one new version and switch to it."""
+def publish(
+    spark: SparkSession, root: str, tables: dict[str, DataFrame], batch: str | None = None
+) -> int:
+    """Write the given tables to a new folder and switch to them; ``batch`` names the stream batch."""
     version = current_version(spark, root) + 1
+    folder = f"version={version}-{uuid4().hex}"
     for name, table in tables.items():
         partitions, order = LAYOUT.get(name, ([], []))
         writer = (table.sortWithinPartitions(*partitions, *order) if order else table).write
         if partitions:
             writer = writer.partitionBy(*partitions)
-        writer.mode("overwrite").parquet(f"{root}/version={version}/{name}")
-    spark.range(1).select(F.lit(version).cast("bigint").alias("version")).write.mode("append").json(
-        f"{root}/published"
-    )
+        writer.parquet(f"{root}/{folder}/{name}")
+    pointer = spark.createDataFrame([(version, folder, list(tables), batch)], _POINTER)
+    pointer.write.mode("append").json(f"{root}/published")
     return version
 
 
@@ -51,19 +64,24 @@ class Snapshot:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
-        self.version = current_version(spark, root)
+        newest = F.max_by("folder", F.struct("version", "folder"))
+        named = _pointers(spark, root).select("version", "folder", F.explode("tables").alias("name"))
+        # One row per table name.
+        found = named.groupBy("name").agg(newest.alias("folder"), F.max("version").alias("version")).collect()
+        self.folders = {row["name"]: row["folder"] for row in found}
+        self.version = max((row["version"] for row in found), default=0)
 
     def get(self, name: str) -> DataFrame | None:
-        """A stored table, or None before the first publication."""
-        if self.version == 0:
+        """A stored table as last published, or None if it never was."""
+        if name not in self.folders:
             return None
-        return self.spark.read.parquet(f"{self.root}/version={self.version}/{name}")
+        return self.spark.read.parquet(f"{self.root}/{self.folders[name]}/{name}")
 
 
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:
     table = Snapshot(spark, root).get(name)
     if table is None:
-        raise LookupError(f"nothing published under {root}")
+        raise LookupError(f"no table {name} published under {root}")
     return table
 
 

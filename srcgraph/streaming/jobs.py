@@ -33,15 +33,18 @@ def maintain(
 ) -> DataStreamWriter:
     """Keep a bounded table (last turns, audits, episodes, preferences) current from a stream.
 
-    Each batch publishes bound(stored rows + new rows). Bounding keeps the newest rows per key, so
-    a batch that is replayed after a failure gives the same table.
+    Each batch publishes bound(stored rows + new rows); other tables under ``root`` stay. The batch is
+    named in the pointer row, so one that is replayed after a failure changes nothing.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
+        mark = f"{name}/{checkpoint}/{batch_id}"
+        if tables.has_batch(spark, root, mark):
+            return
         stored = tables.Snapshot(spark, root).get(name)
         if stored is not None:
             batch = stored.unionByName(batch)
-        tables.publish(spark, root, {name: bound(batch.distinct())})
+        tables.publish(spark, root, {name: bound(batch)}, mark)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
