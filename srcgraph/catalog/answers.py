@@ -71,13 +71,17 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "turn_log",
     CODE
-    + """, said AS (SELECT repo, id, broken, 'Show the implementation of `C' || id || '`' AS query FROM code)
-SELECT 'turn' AS log, repo AS session_id, sha256(query) AS query_hash, 'C' || id AS names, false AS partial FROM said
-UNION ALL SELECT 'audit', repo, sha256(query), '', broken FROM said
-UNION ALL SELECT 'episode', repo, sha256(query), 'C' || id, broken FROM said""",
+    + f""", said AS (SELECT repo, id, broken, 'Show the implementation of `C' || id || '`' AS query,
+    CASE WHEN broken THEN 'No matching graph entity was found.'
+      ELSE {_FOUND} || chr(10) || chr(10) || {_expr(_ANSWER)} END AS answer FROM code)
+SELECT 'user turn' AS log, repo AS session_id, sha256(query) AS query_hash, 'C' || id AS names, false AS partial FROM said
+UNION ALL SELECT 'assistant turn', repo, sha256(answer), 'C' || id, false FROM said
+UNION ALL SELECT 'audit', repo, sha256(query), 'graph,repository,code_analyst', broken FROM said
+UNION ALL SELECT 'episode', repo, sha256(query), 'C' || id, broken FROM said
+UNION ALL SELECT 'episode answer', repo, sha256(answer), 'C' || id, broken FROM said""",
 )
 def turn_log(spark: SparkSession, folder: str) -> DataFrame:
-    """State rows that the answered questions leave: user turns, audits, episodes."""
+    """State rows that the answered questions leave: turns of both roles, audits, episodes."""
     asked = _asked(spark, folder).withColumns(
         {
             "session_id": F.col("repository_id"),
@@ -89,22 +93,22 @@ def turn_log(spark: SparkSession, folder: str) -> DataFrame:
         }
     )
     log = answering.turn_log(asked, _answers(spark, folder))
-    nothing = F.lit("")
 
-    def rows(name: str, frame: DataFrame, session, digest, names, partial) -> DataFrame:
+    def rows(name, frame: DataFrame, session, digest, names, partial) -> DataFrame:
         return frame.select(
-            F.lit(name).alias("log"), session.alias("session_id"), digest.alias("query_hash"),
+            name.alias("log"), session.alias("session_id"), digest.alias("query_hash"),
             names.alias("names"), partial.alias("partial"),
         )
 
     names = F.array_join("entities", ",")
     session = F.col("session_id")
     parts = [
-        rows("turn", log["turns"].filter("role = 'user'"), session, F.sha2("content", 256), names, F.lit(False)),
-        rows("audit", log["audits"], session, F.col("query_hash"), nothing, F.col("partial")),
-        rows("episode", log["episodes"], F.col("user_id"), F.sha2("query", 256), names, F.col("partial")),
+        rows(F.concat("role", F.lit(" turn")), log["turns"], session, F.sha2("content", 256), names, F.lit(False)),
+        rows(F.lit("audit"), log["audits"], session, F.col("query_hash"), F.array_join("planned_agents", ","), F.col("partial")),
+        rows(F.lit("episode"), log["episodes"], F.col("user_id"), F.sha2("query", 256), names, F.col("partial")),
+        rows(F.lit("episode answer"), log["episodes"], F.col("user_id"), F.sha2("answer", 256), names, F.col("partial")),
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query(

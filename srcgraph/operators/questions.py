@@ -127,6 +127,15 @@ def plan_name(intent_name: Column, entities: Column) -> Column:
     )
 
 
+def planned_agents(plan: Column) -> Column:
+    """Agents of a plan's stages in order, each once."""
+    chosen = None
+    for name, rows in rules.STAGES.items():
+        value = F.array(*[F.lit(agent) for agent in dict.fromkeys(row[0] for row in rows)])
+        chosen = F.when(plan == name, value) if chosen is None else chosen.when(plan == name, value)
+    return F.coalesce(chosen, F.array().cast("array<string>"))
+
+
 def stages(analysed: DataFrame) -> DataFrame:
     """One row per (question, stage) from the fixed stage lists."""
     plan = plan_name(F.col("intent"), F.col("entities"))

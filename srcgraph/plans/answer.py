@@ -354,7 +354,7 @@ def turn_log(asked: DataFrame, answers: DataFrame) -> dict[str, DataFrame]:
     ``asked``: query_id, session_id, user_id, query, repository_id, revision, asked_at, turn,
     response_detail, code_examples. Bound each with the functions of ``operators.state``.
     """
-    made = answers.select("query_id", "intent", "answer", "partial", "agents_used", "entities")
+    made = answers.select("query_id", "plan", "intent", "answer", "partial", "agents_used", "entities")
     joined = asked.join(made, "query_id").withColumn(
         "names", F.transform("entities", lambda e: e["name"])
     )
@@ -371,7 +371,9 @@ def turn_log(asked: DataFrame, answers: DataFrame) -> dict[str, DataFrame]:
     audits = state.audit_records(
         joined.select(
             "session_id", F.col("query_id").alias("audit_id"), F.col("asked_at").alias("created_at"),
-            "query", *SCOPE, "intent", F.col("agents_used").alias("successful_agents"), "partial",
+            "query", *SCOPE, "intent", questions.planned_agents(F.col("plan")).alias("planned_agents"),
+            F.col("agents_used").alias("successful_agents"), "partial",
+            *[F.col(c) for c in ("cache_hit",) if c in asked.columns],
         )
     )
     episodes = joined.select(

@@ -9,6 +9,20 @@ FOLDER = "/root/testdata/sf0.001"
 catalog.load()
 
 
+@pytest.fixture(autouse=True)
+def checked_plans(spark, monkeypatch):
+    """Every plan that is checkpointed on the way is free of cross joins too."""
+    kind = type(spark.range(1))
+    checkpoint = kind.checkpoint
+
+    def checked(frame, *args, **kwargs):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan, plan
+        return checkpoint(frame, *args, **kwargs)
+
+    monkeypatch.setattr(kind, "checkpoint", checked)
+
+
 @pytest.fixture(scope="module")
 def database():
     return connect(FOLDER)
