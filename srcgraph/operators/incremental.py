@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from datetime import datetime
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcgraph import rules
 from srcgraph.functions import ids
-from srcgraph.session import SCOPE, cut_lineage, ranked_within
+from srcgraph.session import SCOPE, cut_lineage, ranked_within, running_last
 
 PATH = ["repository_id", "file_path"]
 CLAIM_LIFE = 604_800  # fixed value: seconds a job claim holds
@@ -203,30 +202,53 @@ def index_identity(requests: DataFrame) -> DataFrame:
     return requests.withColumn("identity", F.sha2(parts, 256))
 
 
+def _next_claims(times: DataFrame, life: int) -> DataFrame:
+    """(identity, at, next): the first request that would claim anew after a claim at ``at``.
+
+    Times are cut into buckets one claim long, so a claim lapses in the bucket after its own: the next
+    request is the first one there after the lapse, or else the first of the next bucket with any.
+    """
+    bucket = F.floor(F.col("at") / life)
+    placed = times.select("identity", "at", bucket.alias("bucket"), F.col("at").alias("seen"), F.lit(None).cast("long").alias("of"))
+    lapses = times.select(
+        "identity", (F.col("at") + life).alias("at"), (bucket + 1).alias("bucket"), F.lit(None).cast("long").alias("seen"), F.col("at").alias("of")
+    )
+    ahead = Window.partitionBy("identity", "bucket").orderBy("at", F.col("of").asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing)
+    inside = placed.unionByName(lapses).withColumn("inside", F.first("seen", ignorenulls=True).over(ahead)).filter("of IS NOT NULL")
+    buckets = (
+        placed.groupBy("identity", "bucket").agg(F.min("at").alias("least"))
+        .unionByName(lapses.select("identity", "bucket", F.lit(None).cast("long").alias("least")))
+        .groupBy("identity", "bucket")
+        .agg(F.min("least").alias("least"))
+    )
+    later = Window.partitionBy("identity").orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
+    after = buckets.withColumn("later", F.first("least", ignorenulls=True).over(later)).drop("least")
+    return inside.join(after, ["identity", "bucket"]).select("identity", F.col("of").alias("at"), F.coalesce("inside", "later").alias("next"))
+
+
 def claim_jobs(requests: DataFrame, life: int = CLAIM_LIFE) -> DataFrame:
     """The job each request ends up with: the first request of its identity within ``life``.
 
     ``requests``: identity, job_id, created_at. A claim is not prolonged; the first request after
-    it lapses claims anew. One aggregation per claim period, with partial sums before the shuffle.
+    it lapses claims anew. From an identity's first request the claims are reached along next claims,
+    twice as many in every round, so their number of rounds is the logarithm of the longest chain.
     """
-    remaining = requests
-    settled: list[DataFrame] = []
-    while True:
-        first = remaining.groupBy("identity").agg(
-            F.min(F.struct("created_at", "job_id")).alias("claim")
-        )
-        lapsed = F.col("created_at").cast("timestamp").cast("double") >= (
-            F.col("claim.created_at").cast("timestamp").cast("double") + life
-        )
-        matched = cut_lineage(remaining.join(first, "identity").withColumn("lapsed", lapsed))
-        settled.append(
-            matched.filter(~F.col("lapsed"))
-            .withColumn("claimed_job_id", F.col("claim.job_id"))
-            .drop("claim", "lapsed")
-        )
-        remaining = matched.filter("lapsed").drop("claim", "lapsed")
-        if remaining.isEmpty():
-            return reduce(DataFrame.unionByName, settled)
+    micros = F.unix_micros(F.col("created_at").cast("timestamp"))
+    timed = requests.withColumn("_at", micros)
+    times = cut_lineage(timed.groupBy("identity", F.col("_at").alias("at")).agg(F.min("job_id").alias("job")))
+    hop = cut_lineage(_next_claims(times, life * 1_000_000).filter("next IS NOT NULL"))
+    claims = times.groupBy("identity").agg(F.min("at").alias("at"))
+    while not hop.isEmpty():
+        reached = claims.join(hop, ["identity", "at"]).select("identity", F.col("next").alias("at"))
+        claims = cut_lineage(claims.unionByName(reached).distinct())
+        onward = hop.select("identity", F.col("at").alias("next"), F.col("next").alias("onward"))
+        hop = cut_lineage(hop.join(onward, ["identity", "next"]).select("identity", "at", F.col("onward").alias("next")))
+    held = claims.join(times, ["identity", "at"]).select("identity", F.col("at").alias("_at"), F.col("job").alias("_job"))
+    marked = timed.join(held, ["identity", "_at"], "left")
+    claimed = running_last(
+        marked, ["identity"], ["_at"], F.floor(F.col("_at") / (life * 1_000_000)), F.col("_job"), "claimed_job_id"
+    )
+    return claimed.drop("_at", "_job")
 
 
 def fail_interrupted(jobs: DataFrame, now: datetime) -> DataFrame:
