@@ -54,6 +54,31 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+_HELD: dict = {}
+
+
+def held(name: object, make):
+    """In a Python worker: what ``make`` gives, kept for later tasks of the same operator.
+
+    A worker holds one such thing at a time, so the memory of a pipeline's stages does not add up.
+    """
+    if name not in _HELD:
+        release()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def release() -> None:
+    """In a Python worker: drop what earlier operators kept, and give unused memory back."""
+    import gc
+
+    import pyarrow
+
+    _HELD.clear()
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcgraph.llm.common import fold, table
+from srcgraph.llm.common import fold, release, table
 
 SAMPLE = 300
 SAMPLE_CHARS = 20_000
@@ -247,6 +247,7 @@ def predict(docs: DataFrame, model: tuple | None, names: tuple[str, str] = ("lan
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by vocabulary and languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         known = _Words(shared.value)
         langs, prior = shared.value[0], shared.value[3]
         for batch in batches:

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcgraph.llm.common import shuffle_partitions, staged, table
+from srcgraph.llm.common import release, shuffle_partitions, staged, table
 from srcgraph.llm.components import components
 from srcgraph.session import ranked_within
 
@@ -40,6 +40,7 @@ MEMO = 300_000
 BATCH_DOCS, BATCH_GRAMS = 8_192, 1_000_000
 BLOCK_CHARS = 4_000_000
 LONG_LIST, TILE, COLUMNS = 64, 128, 8_192
+KEY_BYTES = 6
 
 _M = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
 
@@ -76,14 +77,16 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
 _ROWS = "block long, batch long, a binary, b binary, c binary, ids array<long>"
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Bytes of equal rank together, so that the shuffle's compression finds runs."""
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+def planes(values: np.ndarray, size: int) -> bytes:
+    """The low ``size`` bytes of each value, bytes of equal rank together: compression finds runs there."""
+    return values.astype("<u8").view(np.uint8).reshape(len(values), 8)[:, :size].T.tobytes()
 
 
-def _unplanes(data: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+def unplanes(data: bytes, size: int) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(size, -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, :size] = raw.T
+    return out.reshape(-1).view("<u8")
 
 
 def _record(rows: list[tuple]) -> pa.RecordBatch:
@@ -93,7 +96,7 @@ def _record(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def incidence(docs: DataFrame, n: int, blocks: int) -> DataFrame:
-    """Packed blocks: ``a`` hashes, ``b`` rows of the batch. One more row per batch, with a block of its
+    """Packed blocks: ``a`` hashes (``KEY_BYTES`` below those of the block), ``b`` rows of the batch. One more row per batch, with a block of its
     own, holds its documents: ``a`` set keys, ``b`` set sizes, ``c`` the row of each id in ``ids``."""
     bits = np.uint64(max(1, (blocks - 1).bit_length()))
 
@@ -111,9 +114,10 @@ def incidence(docs: DataFrame, n: int, blocks: int) -> DataFrame:
         order = np.argsort(every, kind="stable")
         every, owner = every[order], owner[order]
         edges = np.searchsorted(every >> (np.uint64(64) - bits), np.arange(2 ** int(bits) + 1, dtype=np.uint64))
+        rest = (every << bits) >> np.uint64(64 - 8 * KEY_BYTES)
         for k in np.flatnonzero(np.diff(edges)):
             at = slice(edges[k], edges[k + 1])
-            rows.append((int(k), batch, _planes(every[at].astype("<u8")), _planes(owner[at].astype("<u2")), None, None))
+            rows.append((int(k), batch, planes(rest[at], KEY_BYTES), planes(owner[at], 2), None, None))
             if len(rows) >= 256:
                 yield _record(rows)
                 rows = []
@@ -121,6 +125,7 @@ def incidence(docs: DataFrame, n: int, blocks: int) -> DataFrame:
             yield _record(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         known, batch = _WordHashes(), TaskContext.get().partitionId() << 24
         sets: dict[bytes, np.ndarray] = {}
         place: dict[bytes, int] = {}
@@ -151,8 +156,8 @@ def shared_grams(blocks: DataFrame, header_from: int) -> DataFrame:
         if key[0].as_py() >= header_from:
             return rows
         batches = rows.column("batch").to_pylist()
-        hashes = [_unplanes(x, "<u8") for x in rows.column("a").to_pylist()]
-        owners = [_unplanes(x, "<u2") for x in rows.column("b").to_pylist()]
+        hashes = [unplanes(x, KEY_BYTES) for x in rows.column("a").to_pylist()]
+        owners = [unplanes(x, 2) for x in rows.column("b").to_pylist()]
         sizes = [len(h) for h in hashes]
         every, owner = np.concatenate(hashes), np.concatenate(owners)
         piece = np.repeat(np.arange(len(sizes)), sizes)
@@ -162,7 +167,7 @@ def shared_grams(blocks: DataFrame, header_from: int) -> DataFrame:
         every, owner, piece, df = every[some], owner[some], piece[some], df[some]
         edges = np.searchsorted(piece, np.arange(len(sizes) + 1))
         out = [
-            (key[0].as_py(), batches[k], every[at].astype("<u8").tobytes(), owner[at].astype("<u2").tobytes(), df[at].astype("<u4").tobytes(), None)
+            (key[0].as_py(), batches[k], planes(every[at], KEY_BYTES), planes(owner[at], 2), planes(df[at], 4), None)
             for k in np.flatnonzero(np.diff(edges))
             for at in [slice(edges[k], edges[k + 1])]
         ]
@@ -193,8 +198,12 @@ def sets_of_batches(parts: DataFrame, percent: int, header_from: int) -> DataFra
         for i, k in zip(ids, place):
             members[k].append(i)
         body = [i for i in range(len(block)) if i != at]
-        join = lambda x, kind: np.concatenate([np.frombuffer(x[i], kind) for i in body] or [np.zeros(0, kind)])
-        gram, owner, df = join(a, "<u8"), join(b, "<u2"), join(c, "<u4")
+        join = lambda x, size: np.concatenate([unplanes(x[i], size) for i in body] or [np.zeros(0, np.uint64)])
+        rest, owner, df = join(a, KEY_BYTES), join(b, 2), join(c, 4)
+        # The block gives the first bits of a hash, so that equal n-grams are equal everywhere.
+        of_block = np.repeat(block[body].astype(np.uint64), [len(a[i]) // KEY_BYTES for i in body])
+        bits = np.uint64(header_from.bit_length() - 1)
+        gram = (of_block << (np.uint64(64) - bits)) | ((rest << np.uint64(64 - 8 * KEY_BYTES)) >> bits)
         order = np.lexsort((gram, df, owner))
         gram, owner = gram[order], owner[order]
         edges = np.searchsorted(owner, np.arange(len(keys) + 1))

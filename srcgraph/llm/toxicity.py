@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcgraph.llm.common import fold, table
+from srcgraph.llm.common import fold, release, table
 
 SAMPLE = 1500
 SAMPLE_CHARS = 20_000
@@ -153,6 +153,7 @@ def score(docs: DataFrame, model: tuple | None, name: str = "toxicity") -> DataF
     schema = docs.withColumn(name, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         scorer = _Scorer(ordinary, toxic)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
