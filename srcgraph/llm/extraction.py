@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcgraph.llm.common import table
+from srcgraph.llm.common import staged, table
 
 #: A subtree is template on this many pages of different text at least, and this share of the host's.
 MIN_PAGES, MIN_SHARE = 5, 0.5
@@ -208,7 +208,7 @@ def subtrees(pages: DataFrame) -> DataFrame:
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, subtrees): what recurs on many pages of the host."""
-    seen = subtrees(pages).groupBy("host", "subtree", "page_text").agg(F.bool_or("inside").alias("inside"))
+    seen = staged(subtrees(pages).groupBy("host", "subtree", "page_text").agg(F.bool_or("inside").alias("inside")))
     counts = seen.groupBy("host", "subtree").agg(F.count("*").alias("n"), F.bool_or("inside").alias("inside"))
     sizes = seen.groupBy("host", "page_text").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("pages"))
     enough = F.when(
@@ -219,7 +219,9 @@ def templates(pages: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every page."""
-    found = templates(pages).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # Written first, so that Spark knows its size: a small list travels to the pages, a large one is
+    # joined by salted host.
+    found = staged(templates(pages)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = pages.select("page_id", "url", "html", _host().alias("host")).withColumn(
         "_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
     )
