@@ -124,9 +124,12 @@ def measured(docs: DataFrame) -> DataFrame:
 def ordered(docs: DataFrame, listed: list[Rule], sample: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules by rejections per second on a sample of at most ``sample`` rows, the best first.
 
-    The sample is the rows with the smallest hash of their text; each rule is timed over it alone.
+    A hash of the text lets about twice the sample through, wherever it lies; each rule is timed over
+    the sample alone.
     """
-    chosen = measured(docs.select("text").orderBy(F.xxhash64("text"), "text").limit(sample)).cache()
+    share = min(1.0, 2 * sample / max(1, docs.count()))
+    draw = F.pmod(F.xxhash64("text"), F.lit(2**40))
+    chosen = measured(docs.select("text").filter(draw < int(share * 2**40)).limit(sample)).cache()
     try:
         total = chosen.count()
         gains = {}
