@@ -6,9 +6,8 @@ lines of all files. Terms of no template weigh like a term never seen. A file's
 template most like one of its passages, at ``THRESHOLD`` or more. A file without one takes that of the
 nearest directory above it whose license file has one.
 
-Only lines that hold a template term (common words are no terms) have any likeness at all, so all
-others are dropped before they are cut into rows; template weights, whose number is fixed here, are
-broadcast. Directories, not files, are joined to their ancestors.
+Passages that cannot reach the threshold, by a bound that needs no weights, are dropped where they are
+read; template weights, whose number is fixed here, are broadcast. Directories, not files, are joined to their ancestors.
 
 Defined results: null and empty texts have no license of their own but inherit; a null path is in no
 directory; equal likeness goes to the license that sorts first, and equal license files to the path
@@ -18,10 +17,13 @@ ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcgraph.llm.common import table, whole
+from srcgraph.llm.common import let, table, whole
 from srcgraph.session import cut_lineage
 
 THRESHOLD = 0.6
@@ -64,36 +66,51 @@ def _terms(text):
 
 
 def _template_terms() -> list[str]:
-    import re
-
     found = {t for _, text in TEMPLATES for t in re.split(_NOT_TERM, text.lower()) if t}
     return sorted(found - set(COMMON))
 
 
-def _idf(lines, df):
-    return F.log((1 + lines) / (1 + df)) + 1
+def _idf(lines: int, df: int) -> float:
+    return math.log((1 + lines) / (1 + df)) + 1
+
+
+def _can_reach(line: Column, known: list[str]) -> Column:
+    """False where a passage cannot reach the threshold whatever the weights are.
+
+    No term weighs more than one of no template. So the part of the squared length that lies in
+    template terms is at most V / (V + others), with V the sum of their squared counts; the likeness
+    is at most its root.
+    """
+    def part(terms: Column) -> Column:
+        mine = F.filter(terms, lambda t: t.isin(known))
+        squares = F.aggregate(
+            F.array_distinct(mine), F.lit(0), lambda sum_, t: sum_ + F.power(F.size(F.filter(mine, lambda u: u == t)), 2).cast("int")
+        )
+        return squares * (1 - THRESHOLD**2) >= (F.size(terms) - F.size(mine)) * THRESHOLD**2 - 1e-9
+
+    telling = F.exists(_terms(line), lambda t: t.isin(known))
+    return telling & let(F.filter(_terms(line), lambda t: ~t.isin(COMMON)), part)
 
 
 def own_licenses(files: DataFrame) -> DataFrame:
     """(file, license, score): the best template of each file that reaches the threshold; ``files`` has file and text."""
     spark = files.sparkSession
     known = _template_terms()
-    lines = files.select("file", F.posexplode(F.split(whole("text"), "\n")).alias("at", "line")).filter(F.trim("line") != "")
-    listed = lines.select("file", "at", "line", F.array_distinct(F.filter(_terms(F.col("line")), lambda t: t.isin(known))).alias("telling"))
-    total = F.lit(lines.count())
-    some = cut_lineage(listed.filter(F.size("telling") > 0))
-    frequency = some.select(F.explode("telling").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    # One row per template term: fixed by the table above.
-    every = spark.createDataFrame([(t,) for t in known], "term string").join(frequency, "term", "left")
-    weights = cut_lineage(every.select("term", _idf(total, F.coalesce("df", F.lit(0))).alias("idf")))
+    text = whole("text")
+    each = F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("at"), line.alias("line")))
+    lines = files.select("file", F.inline(each)).filter(F.trim("line") != "")
+    # Every line counts once under the empty term: that is their number.
+    told = F.array_append(F.array_distinct(F.filter(_terms(F.col("line")), lambda t: t.isin(known))), F.lit(""))
+    counts = {r["term"]: r["count"] for r in lines.select(F.explode(told).alias("term")).groupBy("term").count().collect()}  # a row per template term
+    total = counts.get("", 0)
+    weights = spark.createDataFrame([(t, _idf(total, counts.get(t, 0))) for t in known], "term string, idf double")
     notices = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(TEMPLATES)], "template int, license string, notice string")
     counted = notices.select("template", "license", F.explode(_terms(F.col("notice"))).alias("term")).filter(~F.col("term").isin(COMMON))
     vectors = counted.groupBy("template", "license", "term").agg(F.count("*").alias("tf")).join(F.broadcast(weights), "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = vectors.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     vectors = vectors.join(norms, "template").select("template", "license", "term", (F.col("w") / F.col("norm")).alias("w"))
 
-    texts = files.join(some.select("file").distinct(), "file", "left_semi").select("file", F.lit(-1).alias("at"), whole("text").alias("line"))
-    passages = some.select("file", "at", "line").union(texts)
+    passages = lines.union(files.select("file", F.lit(-1).alias("at"), text.alias("line"))).filter(_can_reach(F.col("line"), known))
     terms = (
         passages.select("file", "at", F.explode(_terms(F.col("line"))).alias("term"))
         .filter(~F.col("term").isin(COMMON))
@@ -101,8 +118,8 @@ def own_licenses(files: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("tf"))
     )
     weighted = cut_lineage(
-        terms.join(F.broadcast(weights.select("term", "idf")), "term", "left")
-        .select("file", "at", "term", (F.col("tf") * F.coalesce(F.col("idf"), _idf(total, F.lit(0)))).alias("w"))
+        terms.join(F.broadcast(weights), "term", "left")
+        .select("file", "at", "term", (F.col("tf") * F.coalesce(F.col("idf"), F.lit(_idf(total, 0)))).alias("w"))
     )
     lengths = weighted.groupBy("file", "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     products = (
