@@ -27,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcgraph.llm.common import staged, table
+from srcgraph.llm.common import held, release, staged, table
 
 WINDOW = 4096
 END = 2
-MEMO = 300_000
+MEMO = 600_000
 TOKENIZER = "word_bpe_49k.json"
 
 PIECES = (
@@ -46,9 +46,14 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class _Ids(dict):
-    """Ids of runs without white space. This vocabulary drops white space and never joins across it,
-    so the ids of a text are those of its runs; the runs seen so far are kept, up to a bound."""
+class _Ids:
+    """Ids of runs without white space. This vocabulary drops white space and case and never joins across
+    white space, so the ids of a text are those of its runs in lower case.
+
+    Runs seen so far are kept: ``known`` has the newest, ``old`` those before, each up to a bound, so
+    that frequent runs stay. New runs are encoded many at a time, with a special token between them
+    that no run contains.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,22 +62,70 @@ class _Ids(dict):
         tokenizer = Tokenizer.from_file(path)
         if tokenizer.get_vocab_size() > 65_536:
             raise ValueError("ids are kept as 16-bit integers")
-        self.encode = tokenizer.encode_batch
+        self.encode = tokenizer.encode_batch_fast
+        self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _learn(self, runs: list[bytes]) -> None:
+        between = min(self.special)
+        for i in range(0, len(runs), 2_000):
+            part = runs[i : i + 2_000]
+            text = between.join([r.decode("utf-8", "replace") for r in part])
+            if text.count(between) >= len(part) or any(s in text for s in self.special if s != between):
+                for run in part:
+                    (found,) = self.encode([run.decode("utf-8", "replace")], add_special_tokens=False)
+                    self.known[run] = np.array(found.ids, dtype="<u4").tobytes()
+                continue
+            (found,) = self.encode([text], add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4")
+            data, cuts = ids.tobytes(), (4 * np.flatnonzero(ids == self.special[between])).tolist()
+            start = 0
+            for run, end in zip(part, [*cuts, len(data)], strict=True):
+                self.known[run] = data[start:end]
+                start = end + 4
+
+    def _meet(self, runs: set[bytes]) -> None:
+        """Make all of the runs known."""
+        if len(self.known) + len(runs) > MEMO:
+            self.old, self.known = self.known, {}
+        fresh = runs.difference(self.known)
+        again = fresh.intersection(self.old)
+        self.known.update((r, self.old[r]) for r in again)
+        self._learn(list(fresh - again))
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers, the end token last."""
+        out: list[list[bytes]] = []
+        waiting: list[tuple[int, list[bytes]]] = []
+        held = 0
+
+        def settle() -> None:
+            self._meet(set().union(*(runs for _, runs in waiting)))
+            ids = self.known.__getitem__
+            for k, runs in waiting:
+                out[k].append(b"".join(map(ids, runs)))
+            waiting.clear()
+
+        for k, text in enumerate(texts):
+            out.append([])
+            data = (text or "").encode("utf-8", "surrogatepass")
+            # A special token's name counts only as it is written.
+            runs = (data if b"<|" in data else data.lower()).split()
+            for i in range(0, len(runs), 50_000):
+                waiting.append((k, runs[i : i + 50_000]))
+                held += len(waiting[-1][1])
+                if held >= 100_000:
+                    settle()
+                    held = 0
+        settle()
+        return [b"".join([*parts, _END]) for parts in out]
 
     def text(self, text: str | None) -> bytes:
-        """Ids as little-endian 32-bit integers, the end token last."""
-        out, runs = [], (text or "").encode("utf-8", "surrogatepass").split()
-        for i in range(0, len(runs), 20_000):
-            part = runs[i : i + 20_000]
-            if len(self) + len(part) > MEMO:
-                self.clear()
-            fresh = list({r for r in part if r not in self})
-            if fresh:
-                for run, found in zip(fresh, self.encode([r.decode("utf-8", "replace") for r in fresh], add_special_tokens=False)):
-                    self[run] = np.array(found.ids, dtype="<u4").tobytes()
-            out.append(b"".join(map(self.__getitem__, part)))
-        out.append(np.array([END], dtype="<u4").tobytes())
-        return b"".join(out)
+        return self.texts([text])[0]
+
+
+_END = np.array([END], dtype="<u4").tobytes()
 
 
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
@@ -80,11 +133,11 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
     schema = "row long, part int, doc_id long, source string, tokens long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, part, row = _Ids(path), TaskContext.get().partitionId(), 0
+        ids, part, row = held(("ids", path), lambda: _Ids(path)), TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)
-                found = [np.frombuffer(ids.text(t), dtype="<u4") for t in piece.column(1).to_pylist()]
+                found = [np.frombuffer(t, dtype="<u4") for t in ids.texts(piece.column(1).to_pylist())]
                 n = len(found)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -172,35 +225,41 @@ def taken(m: int, path: list[tuple[int, int, bool]]) -> tuple[int, int]:
     return earlier, m
 
 
+def _window_at(x: int, first: int, last: int, guess: int, own) -> int:
+    """The first window from ``first`` on after which more than ``x`` tokens of the queue are taken."""
+    low = high = max(first, min(last, guess))
+    step = 1
+    while high < last and own(high + 1)[1] <= x:
+        low, high, step = high + 1, min(last, high + step), step * 2
+    step = 1
+    while low > first and own(low)[1] > x:
+        low, high, step = max(first, low - step), low, step * 2
+    while low < high:
+        middle = (low + high) // 2
+        if own(middle + 1)[1] > x:
+            high = middle
+        else:
+            low = middle + 1
+    return low
+
+
 def _pieces(at: int, n: int, queue: int, total: int, path: list, window: int) -> Iterator[tuple[int, int, int, int]]:
     """(start, length, sequence, offset) of each piece of a document that begins at ``at``."""
     last = (total - 1) // window
     own = lambda w: taken(min(w * window, total), path)
+    w = _window_at(at, 0, last, at * total // (queue * window), own)
+    here, after = own(w), own(w + 1)
     start = 0
-    guess = at * total // (queue * window)
-    low, high = max(0, min(last, guess - 2)), min(last, guess + 2)
-    step = 2
-    while low > 0 and own(low)[1] > at:
-        low, step = max(0, low - step), step * 2
-    step = 2
-    while high < last and own(high + 1)[1] <= at:
-        high, step = min(last, high + step), step * 2
-    while start < n:
-        # The first window whose share reaches beyond the next token.
-        while low < high:
-            middle = (low + high) // 2
-            if own(middle + 1)[1] > at + start:
-                high = middle
-            else:
-                low = middle + 1
-        (earlier, before), (earlier_next, until) = own(low), own(low + 1)
-        length = min(n - start, until - at - start)
-        yield start, length, low, earlier_next - earlier + at + start - before
+    while True:
+        length = min(n - start, after[1] - at - start)
+        yield start, length, w, after[0] - here[0] + at + start - here[1]
         start += length
-        low = min(last, low + 1)
-        high, step = low, 1
-        while start < n and high < last and own(high + 1)[1] <= at + start:
-            high, step = min(last, high + step), step * 2
+        if start == n:
+            return
+        w, here, after = w + 1, after, own(w + 2)
+        if after[1] <= at + start:  # a small queue has no turn in most windows
+            w = _window_at(at + start, w, last, w, own)
+            here, after = own(w), own(w + 1)
 
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
@@ -215,18 +274,21 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        paths: dict[str | None, list] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                rows = batch.slice(at, 512).to_pylist()
+                part = batch.slice(at, 512)
+                docs_, sources, data, ats, queues_, totals = (part.column(k).to_pylist() for k in range(1, 7))
                 out: list[list] = [[] for _ in range(8)]
-                for r in rows:
-                    ids = np.frombuffer(r["ids"], dtype="<u2").astype("<u4")
-                    steps = [(s["of_node"], s["of_left"], s["right"]) for s in r["path"] or ()]
-                    for start, length, sequence, offset in _pieces(r["at"], len(ids), r["queue"], r["all_tokens"], steps, window):
-                        values = (
-                            r["doc_id"], r["source"], start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids), sequence, offset,
-                        )
-                        for column, value in zip(out, values):
+                for k, source in enumerate(sources):
+                    if source not in paths:
+                        paths[source] = [(s["of_node"], s["of_left"], s["right"]) for s in part.column(7)[k].as_py() or ()]
+                    ids = np.frombuffer(data[k], dtype="<u2").astype("<u4")
+                    raw, n = ids.tobytes(), len(ids)
+                    for start, length, sequence, offset in _pieces(ats[k], n, queues_[k], totals[k], paths[source], window):
+                        crc = zlib.crc32(raw[4 * start : 4 * (start + length)])
+                        for column, value in zip(out, (docs_[k], source, start, length, crc, n, sequence, offset)):
                             column.append(value)
                 kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6]
                 yield pa.RecordBatch.from_arrays(
@@ -237,6 +299,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
     return (
         tokens.select("row", "doc_id", "source", "ids")
         .join(placed, "row")
+        .select("row", "doc_id", "source", "ids", "at", "queue", "all_tokens", "path")
         .mapInArrow(run, PIECES)
     )
 
