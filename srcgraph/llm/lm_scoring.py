@@ -3,8 +3,8 @@
 Each task turns batches of documents into sorted distinct n-grams of order 1 to ``ORDER`` with their
 counts in the batch, cut by hash range. The n-gram count tables are partitioned by that hash: one
 group per order and range adds up the counts of all batches and answers every batch with the corpus
-counts of its n-grams, in their order. Each batch then joins its own n-grams, exploded to positions, to
-those counts and sums the logarithms per document.
+counts of its n-grams, in their order. A second scan sends each batch's words to its counts; there the
+n-grams, exploded to positions, are joined to them and their logarithms summed per document.
 
 Counts are left-one-out: a document's own occurrences do not count for it. With c the counts of the
 others, a word w after (u, v) scores c(uvw) / c(uv) if c(uvw) > 0, else 0.4 times c(vw) / c(v) if
@@ -22,7 +22,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,16 +69,26 @@ def _ngrams(words: np.ndarray, doc: np.ndarray, order: int) -> tuple[np.ndarray,
     return ends, h
 
 
-def packed(docs: DataFrame, order: int, blocks: int) -> DataFrame:
-    """Rows per order, hash range and batch: ``a`` n-gram keys, ``b`` counts. One more row per batch, with
-    a block of its own, holds its documents: ``a`` words as places in ``b``, ``c`` words per id of ``ids``."""
+def packed(docs: DataFrame, order: int, blocks: int, texts: bool) -> DataFrame:
+    """Rows per order, hash range and batch: ``a`` n-gram keys, ``b`` counts. With ``texts`` instead one
+    row per batch: ``a`` words as places in the hashes ``b``, ``c`` words per id of ``ids``.
+
+    Both read the same splits in the same order, so their batches are the same.
+    """
     bits = np.uint64(blocks.bit_length() - 1)
 
     def pack(batch: int, vocabulary: dict[bytes, int], words: list[np.ndarray], ids: list[int]) -> Iterator[pa.RecordBatch]:
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), dtype=np.uint64, count=len(vocabulary))
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         places = np.concatenate(words) if words else np.zeros(0, np.int64)
-        rows = [(order * blocks + batch % blocks, batch, _planes(places, 4), hashes.tobytes(), sizes.astype("<u4").tobytes(), ids)]
+        if texts:
+            # Frequent words get small places, whose upper bytes compress away.
+            often = np.argsort(-np.bincount(places, minlength=len(hashes)), kind="stable")
+            rank = np.empty(len(often), np.int64)
+            rank[often] = np.arange(len(often))
+            yield _record([(-1, batch, _planes(rank[places], 4), hashes[often].tobytes(), sizes.astype("<u4").tobytes(), ids)])
+            return
+        rows = []
         text, doc = hashes[places], np.repeat(np.arange(len(sizes)), sizes)
         for k in range(1, order + 1):
             keys, counts = np.unique(_ngrams(text, doc, k)[1], return_counts=True)
@@ -95,11 +104,13 @@ def packed(docs: DataFrame, order: int, blocks: int) -> DataFrame:
             yield _record(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batch, held = TaskContext.get().partitionId() << 24, 0
+        batch, held = 0, 0
         vocabulary: dict[bytes, int] = {}
         words: list[np.ndarray] = []
         ids: list[int] = []
         for record in batches:
+            if batch == 0 and record.num_rows:
+                batch = (record.column(2)[0].as_py() + 1) << 24
             for at in range(0, record.num_rows, 256):
                 piece = record.slice(at, 256)
                 for doc, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
@@ -114,15 +125,14 @@ def packed(docs: DataFrame, order: int, blocks: int) -> DataFrame:
         if ids:
             yield from pack(batch, vocabulary, words, ids)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _ROWS)
+    # The partition of the scan, which stays the same wherever the plan is used.
+    return docs.select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().alias("part")).mapInArrow(run, _ROWS)
 
 
-def counted(rows: DataFrame, header_from: int) -> DataFrame:
+def counted(rows: DataFrame) -> DataFrame:
     """The same rows with the corpus counts in ``b`` and without keys."""
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         block = key[0].as_py()
-        if block >= header_from:
-            return rows
         keys = [_unplanes(x, KEY_BYTES) for x in rows.column("a").to_pylist()]
         counts = np.concatenate([_unplanes(x, 4) for x in rows.column("b").to_pylist()])
         names, inverse = np.unique(np.concatenate(keys), return_inverse=True)
@@ -144,7 +154,9 @@ def _batch_scores(places, hashes, sizes, counts: list[np.ndarray], total: int, o
     others = []
     for k in range(1, order + 1):
         ends, h = _ngrams(words, doc, k)
-        _, inverse = np.unique(h, return_inverse=True)
+        names, inverse = np.unique(h, return_inverse=True)
+        if len(names) != len(counts[k - 1]):
+            raise RuntimeError("the two scans of the documents gave different batches")
         _, pair, own = np.unique(doc[ends] * (len(counts[k - 1]) + 1) + inverse, return_inverse=True, return_counts=True)
         left = np.zeros(n, dtype=np.float64)
         left[ends] = counts[k - 1][inverse].astype(np.float64) - own[pair]
@@ -171,12 +183,11 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     total = docs.agg(F.sum(word_count("text"))).first()[0] or 0
     wanted = max(2 * shuffle_partitions(spark), total // BLOCK_WORDS, 2)
     blocks = 1 << (wanted - 1).bit_length()
-    header_from = order * blocks
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         block = np.array(rows.column("block").to_pylist())
         a, b, c = (rows.column(x).to_pylist() for x in "abc")
-        (head,) = np.flatnonzero(block >= header_from)
+        (head,) = np.flatnonzero(block < 0)
         places = _unplanes(a[head], 4).astype(np.int64)
         hashes, sizes = np.frombuffer(b[head], "<u8"), np.frombuffer(c[head], "<u4").astype(np.int64)
         ids = rows.column("ids")[int(head)].as_py()
@@ -190,7 +201,8 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
             names=["doc_id", "n_words", "log_score", "found_longest", "unseen_words"],
         )
 
-    return counted(packed(docs, order, blocks), header_from).groupBy("batch").applyInArrow(run, SCORES)
+    counts = counted(packed(docs, order, blocks, texts=False))
+    return counts.unionByName(packed(docs, order, blocks, texts=True)).groupBy("batch").applyInArrow(run, SCORES)
 
 
 def op2(spark, folder: str) -> DataFrame:
