@@ -6,6 +6,9 @@ lines of all files. Terms of no template weigh like a term never seen. A file's
 template most like one of its passages, at ``THRESHOLD`` or more. A file without one takes that of the
 nearest directory above it whose license file has one.
 
+Version numbers carry no weight but decide what a passage can be: one that names license versions is
+not like a template of another version, however alike the words.
+
 Passages that cannot reach the threshold, by a bound that needs no weights, are dropped where they are
 read; template weights, whose number is fixed here, are broadcast. Directories, not files, are joined to their ancestors.
 
@@ -59,6 +62,8 @@ COMMON = (
     "0 1 2 3 4 5 10"
 ).split()
 _NOT_TERM = "[^a-z0-9]+"
+#: What marks a version named by a passage among its terms; no term starts so.
+_VERSION = "="
 
 
 def _terms(text):
@@ -70,6 +75,25 @@ def _template_terms() -> list[str]:
     return sorted(found - set(COMMON))
 
 
+def _version_pattern() -> str:
+    """A version number beside a template term on its line, as in "version 2", "GPL-2.0", "GPLv2" or "License, v. 2.0"."""
+    before = "|".join(sorted(_template_terms() + ["by", "v"], key=lambda t: (-len(t), t)))
+    return rf"(?<![a-z0-9])(?:{before})(?:[ \t,:(/_.-]+|(?=v))(?:v\.?[ \t]*|version[ \t]*)?([0-9]{{1,2}}(?:\.[0-9]+)*)(?![a-z0-9])"
+
+
+_TRAILING = r"(\.0)+$"
+
+
+def _template_version(notice: str) -> str | None:
+    found = re.search(_version_pattern(), notice.lower())
+    return found and _VERSION + re.sub(_TRAILING, "", found[1])
+
+
+def _versions(text: Column) -> Column:
+    found = F.regexp_extract_all(F.lower(text), F.lit(_version_pattern()), F.lit(1))
+    return F.transform(found, lambda v: F.concat(F.lit(_VERSION), F.regexp_replace(v, _TRAILING, "")))
+
+
 def _idf(lines: int, df: int) -> float:
     return math.log((1 + lines) / (1 + df)) + 1
 
@@ -108,27 +132,33 @@ def own_licenses(files: DataFrame) -> DataFrame:
     counted = notices.select("template", "license", F.explode(_terms(F.col("notice"))).alias("term")).filter(~F.col("term").isin(COMMON))
     vectors = counted.groupBy("template", "license", "term").agg(F.count("*").alias("tf")).join(F.broadcast(weights), "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = vectors.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    vectors = vectors.join(norms, "template").select("template", "license", "term", (F.col("w") / F.col("norm")).alias("w"))
+    versions = spark.createDataFrame([(k, _template_version(text)) for k, (_, text) in enumerate(TEMPLATES)], "template int, version string")
+    vectors = (
+        vectors.join(norms, "template").join(versions, "template")
+        .select("template", "license", "version", "term", (F.col("w") / F.col("norm")).alias("w"))
+    )
 
     passages = lines.union(files.select("file", F.lit(-1).alias("at"), text.alias("line"))).filter(_can_reach(F.col("line"), known))
     terms = (
-        passages.select("file", "at", F.explode(_terms(F.col("line"))).alias("term"))
+        passages.select("file", "at", F.explode(F.concat(_terms(F.col("line")), _versions(F.col("line")))).alias("term"))
         .filter(~F.col("term").isin(COMMON))
         .groupBy("file", "at", "term")
         .agg(F.count("*").alias("tf"))
     )
-    weighted = cut_lineage(
-        terms.join(F.broadcast(weights), "term", "left")
-        .select("file", "at", "term", (F.col("tf") * F.coalesce(F.col("idf"), F.lit(_idf(total, 0)))).alias("w"))
+    is_version = F.startswith("term", F.lit(_VERSION))
+    weight = F.when(is_version, 0.0).otherwise(F.col("tf") * F.coalesce(F.col("idf"), F.lit(_idf(total, 0))))
+    weighted = cut_lineage(terms.join(F.broadcast(weights), "term", "left").select("file", "at", "term", weight.alias("w")))
+    lengths = weighted.groupBy("file", "at").agg(
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), F.collect_set(F.when(is_version, F.col("term"))).alias("named")
     )
-    lengths = weighted.groupBy("file", "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     products = (
         weighted.withColumnRenamed("w", "mine")
         .join(F.broadcast(vectors), "term")
-        .groupBy("file", "at", "template", "license")
+        .groupBy("file", "at", "template", "license", "version")
         .agg(F.sum(F.col("mine") * F.col("w")).alias("product"))
     )
-    scored = products.join(lengths, ["file", "at"]).select("file", "license", F.round(F.col("product") / F.col("length"), 6).alias("score"))
+    fits = F.col("version").isNull() | (F.size("named") == 0) | F.array_contains("named", F.col("version"))
+    scored = products.join(lengths, ["file", "at"]).filter(fits).select("file", "license", F.round(F.col("product") / F.col("length"), 6).alias("score"))
     best = scored.filter(F.col("score") >= THRESHOLD).groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best"))
     return best.select("file", "best.license", (-F.col("best.minus")).alias("score"))
 

@@ -336,6 +336,26 @@ def test_license_inheritance(spark):
     assert licenses.scan(files.limit(0)).count() == 0
 
 
+def test_license_versions(spark):
+    texts = {
+        "SPDX-License-Identifier: GPL-2.0": "GPL-2.0", "// SPDX-License-Identifier: GPL-3.0": "GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only": "GPL-3.0",
+        "SPDX-License-Identifier: BSD-2-Clause": "BSD-2-Clause", "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
+        "This program is licensed under the GNU General Public License, version 3": "GPL-3.0",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "3 files of 2019\n10 more\nThis program is licensed under the GNU General Public License, version 3.0": "GPL-3.0",
+        "Licensed under CC BY 4.0": "CC-BY-4.0", "Licensed under CC BY 3.0": None, "Released under the MIT License, 2 of 3": "MIT",
+        "To the extent possible under law the author has waived all copyright, CC0 Universal Public Domain Dedication": "CC0-1.0",
+        "Licensed under the GNU Lesser General Public License, version 2.1": None,
+    }
+    files = spark.createDataFrame([(i, f"{i}/LICENSE", t) for i, t in enumerate(texts)] + [(99, "1/a.txt", "x")], "file long, path string, text string")
+    got = {r.file: r.license for r in licenses.scan(files).collect()}
+    assert {t: got[i] for i, t in enumerate(texts)} == texts
+    assert got[99] == "GPL-3.0"
+    for name, notice in licenses.TEMPLATES:
+        if name[-1].isdigit() and name[-2] == ".":
+            assert licenses._template_version(notice) == "=" + name.rsplit("-", 1)[1].removesuffix(".0"), notice
+
+
 def page_text(source):
     return "\n\n".join(t for t, _ in extraction._Page(source).content())
 
