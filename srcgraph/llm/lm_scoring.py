@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,6 @@ ORDER = 3
 BACKOFF = 0.4
 BATCH_DOCS, BATCH_WORDS = 20_000, 1_000_000
 BLOCK_WORDS = 4_000_000
-KEY_BYTES = 5
 
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _ROWS = "block long, batch long, a binary, b binary, c binary, ids array<long>"
@@ -39,17 +39,31 @@ SCORES = "doc_id long, n_words long, log_score double, found_longest long, unsee
 
 
 def _planes(values: np.ndarray, size: int) -> bytes:
-    """The low ``size`` bytes of each value, bytes of equal rank together: compression finds runs there."""
-    return values.astype("<u8").view(np.uint8).reshape(len(values), 8)[:, :size].T.tobytes()
+    """The low ``size`` bytes of each value, bytes of equal rank together: compression finds runs and frequent values there."""
+    return zstandard.ZstdCompressor(level=1).compress(values.astype("<u8").view(np.uint8).reshape(len(values), 8)[:, :size].T.tobytes())
 
 
 def _unplanes(data: bytes, size: int) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(size, -1)
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1)
     out = np.zeros((raw.shape[1], 8), np.uint8)
     out[:, :size] = raw.T
     return out.reshape(-1).view("<u8")
 
 
+def _keys(sorted_keys: np.ndarray, size: int) -> bytes:
+    """Sorted keys as steps from one to the next, which need about as many bits less as there are keys in powers of two."""
+    return _planes(np.diff(sorted_keys, prepend=np.uint64(0)), size)
+
+
+def _unkeys(data: bytes, size: int) -> np.ndarray:
+    return np.cumsum(_unplanes(data, size), dtype=np.uint64)
+
+
+def key_bytes(blocks: int) -> int:
+    """Bytes for the bits of a 64-bit hash below those that give its block: two n-grams are one only if their whole hashes are."""
+    return (64 - (blocks.bit_length() - 1) + 7) // 8
+
+
 def _record(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
     columns = zip(*rows) if rows else [[]] * 6
@@ -93,10 +107,10 @@ def packed(docs: DataFrame, order: int, blocks: int, texts: bool) -> DataFrame:
         for k in range(1, order + 1):
             keys, counts = np.unique(_ngrams(text, doc, k)[1], return_counts=True)
             edges = np.searchsorted(keys >> (np.uint64(64) - bits), np.arange(blocks + 1, dtype=np.uint64))
-            rest = (keys << bits) >> np.uint64(64 - 8 * KEY_BYTES)
+            rest = keys & ((np.uint64(1) << (np.uint64(64) - bits)) - np.uint64(1))
             for b in np.flatnonzero(np.diff(edges)):
                 at = slice(edges[b], edges[b + 1])
-                rows.append(((k - 1) * blocks + int(b), batch, _planes(rest[at], KEY_BYTES), _planes(counts[at], 4), None, None))
+                rows.append(((k - 1) * blocks + int(b), batch, _keys(rest[at], key_bytes(blocks)), _planes(counts[at], 4), None, None))
                 if len(rows) >= 256:
                     yield _record(rows)
                     rows = []
@@ -129,11 +143,13 @@ def packed(docs: DataFrame, order: int, blocks: int, texts: bool) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().alias("part")).mapInArrow(run, _ROWS)
 
 
-def counted(rows: DataFrame) -> DataFrame:
+def counted(rows: DataFrame, blocks: int) -> DataFrame:
     """The same rows with the corpus counts in ``b`` and without keys."""
+    size = key_bytes(blocks)
+
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         block = key[0].as_py()
-        keys = [_unplanes(x, KEY_BYTES) for x in rows.column("a").to_pylist()]
+        keys = [_unkeys(x, size) for x in rows.column("a").to_pylist()]
         counts = np.concatenate([_unplanes(x, 4) for x in rows.column("b").to_pylist()])
         names, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.zeros(len(names), dtype=np.uint64)
@@ -201,7 +217,7 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
             names=["doc_id", "n_words", "log_score", "found_longest", "unseen_words"],
         )
 
-    counts = counted(packed(docs, order, blocks, texts=False))
+    counts = counted(packed(docs, order, blocks, texts=False), blocks)
     return counts.unionByName(packed(docs, order, blocks, texts=True)).groupBy("batch").applyInArrow(run, SCORES)
 
 

@@ -113,6 +113,18 @@ def test_lm_scores_edges(odd, empty):
     assert rows[4].log_score == pytest.approx(math.log(2 / (total - 2)))
 
 
+def test_lm_keys_carry_the_whole_hash(spark, monkeypatch):
+    # Hashes of a block that differ in their lowest bit only are two n-grams.
+    monkeypatch.setattr(lm_scoring, "_ngrams", lambda words, doc, order: (np.arange(len(words)), np.arange(len(words), dtype=np.uint64) % 5 + np.uint64(2**61)))
+    docs = spark.createDataFrame([(1, "a b c d e a b c d e"), (2, "a b c")], "doc_id long, text string").coalesce(1)
+    for blocks in (2, 64, 8192):
+        rows = lm_scoring.packed(docs, 1, blocks, texts=False).collect()
+        keys = [int(k) for r in rows for k in lm_scoring._unkeys(r.a, lm_scoring.key_bytes(blocks))]
+        counts = [int(c) for r in rows for c in lm_scoring._unplanes(r.b, 4)]
+        assert [k % 8 for k in keys] == [0, 1, 2, 3, 4] and counts == [3, 3, 3, 2, 2]
+        assert sorted(lm_scoring._ngrams("x" * 5, None, 1)[1].tolist()) == [(rows[0].block << (64 - blocks.bit_length() + 1)) + k for k in keys]
+
+
 def unpacked(pieces, docs, window):
     tokenizer = __import__("tokenizers").Tokenizer.from_file(packing.tokenizer_path())
     encode = lambda t: np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [2], dtype="<u4")
