@@ -22,10 +22,10 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language: those without a letter go, and where no language is likelier than all others."""
+    """Documents in a known language: those without a letter go; all stay where no language could be learned."""
     names = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
-    found = language.predict(docs, language.fit(docs), names)
-    return found.filter((F.col(names[0]) != "und") & (F.col(names[1]) >= 0.5)).select(*docs.columns)
+    model = language.fit(docs)
+    return docs if model is None else language.predict(docs, model, names).filter(F.col(names[0]) != "und").select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcgraph.llm.common import release, shuffle_partitions, staged, table
+from srcgraph.llm.common import fresh, release, shuffle_partitions, staged, table
 from srcgraph.llm.components import components
 from srcgraph.session import ranked_within
 
@@ -355,11 +355,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay: of each group the one with the least doc_id; rows without an id all stay."""
-    found = near_duplicates(docs, n, percent)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """The documents that stay: of each group one row of the least doc_id; rows without an id come after those with one.
+
+    Rows are told apart by a number of their own, so different texts of one doc_id are different documents.
+    Texts without n-grams are copies of each other only under the same doc_id.
+    """
+    row = fresh(docs, "row")
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), n, percent)
+    groups = found.withColumnRenamed("doc_id", row).join(numbered.select(row, "doc_id"), row)
+    bare = F.when((F.col("n_grams") == 0) & F.col("doc_id").isNotNull(), F.col("doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", row)).alias("first")
+    kept = groups.groupBy(bare.alias("bare"), F.when(bare.isNull(), F.col("component_id")).alias("component")).agg(first).select(F.col(f"first.{row}").alias(row))
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def op4(spark, folder: str) -> DataFrame:

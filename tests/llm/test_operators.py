@@ -428,3 +428,24 @@ def test_pipeline_against_brute_force(spark):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == want
     pieces = pipeline.run(spark, FOLDER).collect()
     assert pieces and all(p.length > 0 for p in pieces)
+
+
+def test_pipeline_keeps_what_is_no_copy(spark):
+    import corpus_pipeline as pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b), (None, c), (None, c + " end"), (3, ""), (3, ""), (4, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter((r.doc_id, r.text) for r in pipeline.without_copies(spark, docs, FOLDER).collect())
+    assert kept in [Counter([(1, a), (1, b), (None, x), (3, ""), (4, None), (None, "")]) for x in (c, c + " end")]
+
+
+def test_pipeline_language_drops_no_clean_text(spark, monkeypatch):
+    import corpus_pipeline as pipeline
+
+    docs = spark.createDataFrame([(1, "one two", None), (2, "three", None)], "doc_id long, text string, lang string")
+    assert pipeline.with_language(spark, docs, FOLDER).count() == 2
+    predict = lambda docs, model, names: docs.withColumns({names[0]: F.expr("if(doc_id = 1, 'en', 'und')"), names[1]: F.lit(0.3)})
+    monkeypatch.setattr(language, "fit", lambda docs: ())
+    monkeypatch.setattr(language, "predict", predict)
+    assert [r.doc_id for r in pipeline.with_language(spark, docs, FOLDER).collect()] == [1]
