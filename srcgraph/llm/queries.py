@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from srcgraph.llm import extraction, language, licenses, lm_scoring, mixing, ngram_join, packing, quality, spotsigs, toxicity
+from srcgraph.llm import (
+    decontamination, extraction, language, licenses, lm_scoring, mixing, ngram_join, packing, quality, spotsigs, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1,
@@ -19,9 +21,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": language.op8,
     "op9_html_extraction": extraction.op9,
     "op10_source_mixing": mixing.op10,
+    "op11_decontamination": decontamination.op11,
 }
 ORACLES: dict[str, str] = {
     "op2_lm_scoring": lm_scoring.OP2_SQL,
     "op7_license_scan": licenses.OP7_SQL,
     "op1_quality_rules": quality.OP1_SQL,
+    "op11_decontamination": decontamination.OP11_SQL,
 }
