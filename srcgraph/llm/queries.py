@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from srcgraph.llm import (
-    decontamination, extraction, language, licenses, lm_scoring, mixing, ngram_join, packing, quality, spotsigs, toxicity,
+    decontamination, extraction, hard_negatives, language, licenses, lm_scoring, mixing, ngram_join, packing, quality, spotsigs, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,10 +22,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": extraction.op9,
     "op10_source_mixing": mixing.op10,
     "op11_decontamination": decontamination.op11,
+    "op12_hard_negatives": hard_negatives.op12,
 }
 ORACLES: dict[str, str] = {
     "op2_lm_scoring": lm_scoring.OP2_SQL,
     "op7_license_scan": licenses.OP7_SQL,
     "op1_quality_rules": quality.OP1_SQL,
     "op11_decontamination": decontamination.OP11_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
 }
