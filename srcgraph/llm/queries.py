@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from srcgraph.llm import (
-    decontamination, extraction, hard_negatives, language, licenses, lm_scoring, mixing, ngram_join, packing, quality, spotsigs, toxicity,
+    decontamination, extraction, hard_negatives, language, licenses, lm_scoring, merkle, mixing, ngram_join, packing, quality, spotsigs, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mixing": mixing.op10,
     "op11_decontamination": decontamination.op11,
     "op12_hard_negatives": hard_negatives.op12,
+    "op13_merkle_manifest": merkle.op13,
 }
 ORACLES: dict[str, str] = {
     "op2_lm_scoring": lm_scoring.OP2_SQL,
@@ -30,4 +31,5 @@ ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.OP1_SQL,
     "op11_decontamination": decontamination.OP11_SQL,
     "op12_hard_negatives": hard_negatives.OP12_SQL,
+    "op13_merkle_manifest": merkle.OP13_SQL,
 }
