@@ -152,15 +152,16 @@ def _hand_down(kept: list[str]):
     return run
 
 
-def _downwards(rounds: list[DataFrame], starts: DataFrame) -> DataFrame:
-    """Rows of the lowest round with the proof of each. ``starts`` (tree, subroot, proof) has the proofs of the tops."""
+def _downwards(rounds: list[DataFrame], starts: DataFrame | None) -> DataFrame:
+    """Rows of the lowest round with the proof of each. ``starts`` (tree, subroot, proof) has the proofs of the tops; None: they are empty."""
     above = None
     for k in range(len(rounds) - 1, -1, -1):
         nodes = _block(rounds[k])
         kept = [c for c in nodes.columns if c != "block"]
         # The trees that end with this round begin their way back here; the others come from the round above.
         ending = nodes.filter(f"idx = 0 and height <= {LEVELS}").select("tree")
-        begun = starts.join(ending, "tree").select("tree", F.lit(0).cast("long").alias("block"), "subroot", "proof")
+        begun = ending.select("tree", F.lit(b"").alias("subroot"), F.lit(b"").alias("proof")) if starts is None else starts.join(ending, "tree")
+        begun = begun.select("tree", F.lit(0).cast("long").alias("block"), "subroot", "proof")
         given = begun if above is None else begun.unionByName(above.select("tree", F.col("idx").alias("block"), "subroot", "proof"))
         schema = nodes.select(*kept).schema
 
@@ -195,7 +196,6 @@ def manifest(docs: DataFrame, leaf: Column, source: str = "source", key: str = "
 
     ``leaf`` is the digest of a row as hex text; leaves of a ``source`` ascend by ``key``.
     """
-    spark = docs.sparkSession
     keep = keep or {}
     own = {f"kept_{k}": c for k, c in enumerate(keep.values())}
     leaves = docs.select(
@@ -207,15 +207,13 @@ def manifest(docs: DataFrame, leaf: Column, source: str = "source", key: str = "
     tops = staged(tops)
     count = trees.count()
     top_nodes = tops.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("idx"), _height(F.lit(count)).alias("height"), "digest")
-    nothing = F.lit(b"")
     if count > 1:
         top_rounds, root = _upwards(staged(top_nodes))
         root = root.first()["digest"]
-        first = spark.range(1).select(F.lit(0).cast("long").alias("tree"), nothing.alias("subroot"), nothing.alias("proof"))
-        starts = _downwards(top_rounds, first).select(F.col("idx").alias("tree"), F.col("digest").alias("subroot"), "proof")
+        starts = _downwards(top_rounds, None).select(F.col("idx").alias("tree"), F.col("digest").alias("subroot"), "proof")
     else:
         root = (tops.first() or {"digest": b""})["digest"]
-        starts = tops.select("tree", F.col("digest").alias("subroot"), nothing.alias("proof"))
+        starts = tops.select("tree", F.col("digest").alias("subroot"), F.lit(b"").alias("proof"))
     starts = staged(starts)
     columns = ["key", "digest", *own, "subroot", "proof"]
     found = placed.filter("height = 0").join(starts, "tree").select(*columns)
