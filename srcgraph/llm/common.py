@@ -70,6 +70,7 @@ def held(name: object, make):
 
 def release() -> None:
     """In a Python worker: drop what earlier operators kept, and give unused memory back."""
+    import ctypes
     import gc
 
     import pyarrow
@@ -77,6 +78,10 @@ def release() -> None:
     _HELD.clear()
     gc.collect()
     pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: freed memory stays with the worker
 
 
 def let(value: Column, body) -> Column:

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ BATCH_DOCS, BATCH_GRAMS = 8_192, 1_000_000
 BLOCK_CHARS = 4_000_000
 LONG_LIST, TILE, COLUMNS = 64, 128, 8_192
 KEY_BYTES = 6
+#: Bits of a row number for the place in its file.
+PLACE_BITS = 36
 
 _M = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
 
@@ -346,22 +349,42 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     groups = joined.groupBy("label").agg(F.min("least").alias("group_least"))
     grouped = joined.join(groups, "label").select("set_key", "group_least")
     final = own.join(grouped, "set_key", "left").select("set_key", F.coalesce("group_least", "least").alias("component"))
-    rows = classes.select("set_key", "n", F.explode("ids").alias("doc_id"))
-    return rows.join(final, "set_key").select(
+    # Ids are unfolded after the join: a set of many copies is one row per batch until then.
+    rows = classes.select("set_key", "n", "ids").join(final, "set_key").select("n", "component", F.explode("ids").alias("doc_id"))
+    return rows.select(
         "doc_id",
         F.col("n").cast("long").alias("n_grams"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
     )
 
 
-def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+def _numbered(docs: DataFrame, row: str, stored: bool) -> DataFrame:
+    """``docs`` with a number per row that is the same on every read.
+
+    Rows of a stored table are numbered by their file and their place in it, others are written once with their numbers.
+    """
+    file, at = fresh(docs, "file"), fresh(docs, "at")
+    if stored:
+        try:
+            placed = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
+        except AnalysisException:
+            stored = False
+    if not stored:
+        return staged(docs.withColumn(row, F.monotonically_increasing_id()))
+    files = ranked_within(placed.select(file).distinct().withColumn("every", F.lit(0)), ["every"], [file])
+    numbers = staged(files.select(file, F.col("rank").cast("long").alias(row)))
+    return placed.join(numbers, file).withColumn(row, F.shiftleft(row, PLACE_BITS) + F.col(at)).drop(file, at)
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, stored: bool = False) -> DataFrame:
     """The documents that stay: of each group one row of the least doc_id; rows without an id come after those with one.
 
     Rows are told apart by a number of their own, so different texts of one doc_id are different documents.
-    Texts without n-grams are copies of each other only under the same doc_id.
+    Texts without n-grams are copies of each other only under the same doc_id. ``stored`` says that ``docs`` are
+    rows of a table of files, each at most once; then they are not written again.
     """
     row = fresh(docs, "row")
-    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()))
+    numbered = _numbered(docs, row, stored)
     found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), n, percent)
     groups = found.withColumnRenamed("doc_id", row).join(numbered.select(row, "doc_id"), row)
     bare = F.when((F.col("n_grams") == 0) & F.col("doc_id").isNotNull(), F.col("doc_id"))

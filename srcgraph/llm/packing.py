@@ -31,7 +31,7 @@ from srcgraph.llm.common import held, release, staged, table
 
 WINDOW = 4096
 END = 2
-MEMO = 600_000
+MEMO = 300_000
 TOKENIZER = "word_bpe_49k.json"
 
 PIECES = (
