@@ -30,7 +30,7 @@ def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by the Jaccard similarity of five-word shingles, 0.8 or more."""
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, stored=True)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
