@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from srcgraph import rules
 from srcgraph.functions import text
+from srcgraph.operators.cells import Cells
 from srcgraph.operators.lookup import check_limit, find_entities
 from srcgraph.operators.vectors import search
 from srcgraph.session import SCOPE, top_per
@@ -79,12 +80,13 @@ def hybrid_search(
     limit: int = 10,
     rank_before_filter: bool = False,
     embedder: str = "hash",
+    index: Cells | None = None,
 ) -> DataFrame:
     """Fuse name matches with vector matches for questions (query_id, SCOPE, query).
 
     Name matches are ranked inside the question's repository and revision. With
     ``rank_before_filter`` they are ranked over the whole corpus first and then filtered, which
-    leaves gaps in the ranks.
+    leaves gaps in the ranks. With ``index`` the chunks are searched by their stored cells.
     """
     check_limit(limit)
     names = questions.withColumnRenamed("query", "name")
@@ -95,7 +97,7 @@ def hybrid_search(
         & (F.col("query.revision") == F.col("revision"))
     )
     expanded = questions.withColumn("query", expand_query(F.col("query")))
-    near = search(chunks, expanded, min(max(limit * 8, 50), 100), embedder).drop("rank")
+    near = search(chunks, expanded, min(max(limit * 8, 50), 100), embedder, index).drop("rank")
     described = (
         near.join(expanded, "query_id")
         .join(chunks.select(*SCOPE, "entity_id", "qualified_name", "text"), [*SCOPE, "entity_id"])

@@ -1,20 +1,51 @@
-"""Bounded graph traversal as an iterated frontier join, all roots at once."""
+"""Bounded graph traversal as a bit-parallel frontier join, 64 roots to a row."""
 
 from __future__ import annotations
 
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcgraph.session import cut_lineage
+from srcgraph.session import cut_lineage, sized_broadcast
 
 # Edge kinds that count as dependencies, and the depth bounds.
 DEPENDENCY_KINDS = ["DEPENDS_ON", "CALLS", "IMPORTS", "INHERITS_FROM"]
 MAX_DEPTH = 5
-HOT_NODES = 256
-SALTS = 32
+ROOTS = 64
+#: Edges of one node that stay together; a node with more is spread over as many sub-keys as it takes.
+EDGES_TOGETHER = 10_000
+
+
+def _laid_out(usable: DataFrame, end: str) -> tuple[DataFrame, DataFrame]:
+    """Edges laid out by (node, salt), each once, and the nodes that have several salts (node, salts)."""
+    degrees = usable.groupBy("node").agg(F.ceil(F.count("*") / EDGES_TOGETHER).cast("int").alias("salts"))
+    hubs = sized_broadcast(cut_lineage(degrees.filter("salts > 1")))
+    partitions = int(usable.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Duplicates of an edge share its node and salt, so they are dropped without another shuffle.
+    # A persisted table keeps its hash layout (a checkpoint does not), so every step joins it in
+    # place; blocks of a lost executor are rebuilt from the edge table.
+    edges = (
+        usable.join(hubs, "node", "left")
+        .withColumn("salt", F.pmod(F.xxhash64(end), F.coalesce("salts", F.lit(1))).cast("int"))
+        .drop("salts")
+        .repartition(partitions, "node", "salt")
+        .distinct()
+        .persist(StorageLevel.DISK_ONLY)
+    )
+    return edges, hubs
+
+
+def _at_edges(edges: DataFrame, hubs: DataFrame, frontier: DataFrame) -> DataFrame:
+    """Frontier rows beside the edges of their node; a hub is asked once per block of roots and salt."""
+    salts = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+    asked = frontier.join(hubs, "node", "left").withColumn("salt", F.explode(salts)).drop("salts")
+    return edges.join(asked, ["node", "salt"])
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
 
 
 def traverse(
@@ -27,9 +58,12 @@ def traverse(
     """Edges within ``max_depth`` steps of each root, each once with its least depth.
 
     ``edges``: source_id, kind, target_id, resolved; ``roots``: root. Edges to external symbols
-    are not followed or returned. The edge table is laid out by its start node once (its busiest
-    nodes spread over sub-keys); after that each step moves only the frontier. Steps are cut from
-    their lineage, and the walk ends when a step finds nothing new.
+    are not followed or returned.
+
+    Roots are numbered and 64 of them share a frontier row (node, block, bits). A step joins the rows
+    with the edges of their nodes and ORs the bits per node reached, first in each task, so roots that
+    meet go on as one row. Bits a node has had before are taken out; the walk ends when none are
+    left. Only at the end are the edges of all steps joined with their bits and unfolded per root.
     """
     if not 1 <= max_depth <= MAX_DEPTH:
         raise ValueError(f"depth must be between 1 and {MAX_DEPTH}")
@@ -39,58 +73,34 @@ def traverse(
         .select("source_id", "kind", "target_id")
         .withColumn("node", F.col(start))
     )
-    frontier = roots.select("root", F.col("root").alias("node")).distinct()
-    if max_depth == 1:
-        found = usable.join(frontier, "node").select("root", "source_id", "kind", "target_id")
-        return found.distinct().withColumn("depth", F.lit(1))
-    busy = cut_lineage(
-        usable.groupBy("node")
-        .count()
-        .orderBy(F.col("count").desc(), "node")
-        .limit(HOT_NODES)
-        .select("node", F.lit(True).alias("hot"))
+    number = F.monotonically_increasing_id()
+    numbered = cut_lineage(roots.select("root").filter("root IS NOT NULL").distinct().select("root", number.alias("number"))).select(
+        "root", F.floor(F.col("number") / ROOTS).alias("block"), (F.col("number") % ROOTS).cast("int").alias("place")
     )
-    spread = F.pmod(F.xxhash64(end), F.lit(SALTS)).cast("int")
-    # Duplicates of an edge share its node and salt, so they are dropped without another shuffle.
-    # A persisted table keeps its hash layout (a checkpoint does not), so the steps below join it in
-    # place; blocks of a lost executor are rebuilt from the edge table.
-    partitions = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid_out = (
-        usable.join(F.broadcast(busy), "node", "left")
-        .withColumn("salt", F.when(F.col("hot"), spread).otherwise(0))
-        .drop("hot")
-        .repartition(partitions, "node", "salt")
-        .distinct()
-        .persist(StorageLevel.DISK_ONLY)
-    )
-    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    visited = frontier
-    steps: list[DataFrame] = []
-    for depth in range(1, max_depth + 1):
-        asked = frontier.join(F.broadcast(busy), "node", "left").select(
-            "root", "node", F.explode(salts).alias("salt")
+    laid_out, hubs = _laid_out(usable, end)
+    frontier = numbered.select(F.col("root").alias("node"), "block", _bit(F.col("place")).alias("bits"))
+    steps = [frontier]
+    while len(steps) < max_depth:
+        reached = (
+            _at_edges(laid_out, hubs, frontier)
+            .groupBy(F.col(end).alias("node"), "block")
+            .agg(F.bit_or("bits").alias("bits"))
         )
-        found = cut_lineage(
-            laid_out.join(asked, ["node", "salt"]).select(
-                "root", "source_id", "kind", "target_id", F.lit(depth).alias("depth")
-            )
-        )
-        steps.append(found)
-        if depth == max_depth:
-            break
+        before = reduce(DataFrame.unionByName, steps).groupBy("node", "block").agg(F.bit_or("bits").alias("had"))
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long"))))
         frontier = cut_lineage(
-            found.select("root", F.col(end).alias("node"))
-            .distinct()
-            .join(visited, ["root", "node"], "left_anti")
+            reached.join(before, ["node", "block"], "left").select("node", "block", fresh.alias("bits")).filter("bits <> 0")
         )
         if frontier.isEmpty():
             break
-        visited = visited.unionByName(frontier)
-    laid_out.unpersist()  # every step is checkpointed by now
-    # A node enters the frontier once, at its least distance, so no edge appears in two steps.
-    return reduce(DataFrame.unionByName, steps)
+        steps.append(frontier)
+    # A node has a root's bit in one step only, its least distance, so no edge appears twice for a root.
+    walked = reduce(DataFrame.unionByName, [s.withColumn("depth", F.lit(k)) for k, s in enumerate(steps, 1)])
+    found = _at_edges(laid_out, hubs, walked).join(sized_broadcast(numbered), "block")
+    found = found.filter(F.call_function("shiftrightunsigned", "bits", "place").bitwiseAND(1) == 1)
+    found = cut_lineage(found.select("root", "source_id", "kind", "target_id", "depth"))
+    laid_out.unpersist()
+    return found
 
 
 def dependencies(edges: DataFrame, roots: DataFrame, max_depth: int = 1) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Chunk vectors: text, embedding, exact cosine top-k, carry-forward."""
+"""Chunk vectors: text, embedding, cosine top-k (exact or by stored cells), carry-forward."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcgraph.functions import ids, text, vectors
+from srcgraph.operators import cells
+from srcgraph.operators.cells import Cells
 from srcgraph.session import SCOPE, top_per
 
 SEARCHABLE_KINDS = ["class", "function", "method"]  # fixed values
@@ -100,32 +102,32 @@ def _hit_schema(queries: DataFrame) -> str:
     return f"query_id {queries.schema['query_id'].dataType.simpleString()}, entity_id string, score double"
 
 
-def _block_hits(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """Fixed-size blocks of chunks meet fixed-size blocks of queries.
+def _block_hits(chunks: DataFrame, queries: DataFrame, limit: int, keys: list[str]) -> DataFrame:
+    """Fixed-size blocks of chunks meet fixed-size blocks of queries of the same ``keys``.
 
-    Block counts per scope come from row counts, so no group outgrows a task however large a
-    repository is.
+    Block counts per key come from row counts, so no group outgrows a task however large a
+    repository or a cell is.
     """
 
     def block_counts(df: DataFrame, size: int, name: str) -> DataFrame:
-        return df.groupBy(*SCOPE).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+        return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
 
     sizes = block_counts(chunks, CHUNK_BLOCK, "chunk_blocks").join(
-        block_counts(queries, QUERY_BLOCK, "query_blocks"), SCOPE
+        block_counts(queries, QUERY_BLOCK, "query_blocks"), keys
     )
 
     def assign(df: DataFrame, id_column: str, own: str, other: str) -> DataFrame:
         # Fresh column identities, since both sides may stem from one table.
         return (
             df.select(*[F.col(c).alias(c) for c in df.columns])
-            .join(sizes, SCOPE)
+            .join(sizes, keys)
             .withColumn(own[:-1], F.pmod(F.xxhash64(id_column), F.col(own)).cast("int"))
             .withColumn(other[:-1], F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
             .drop("chunk_blocks", "query_blocks")
             .select(*[F.col(c).alias(c) for c in (*df.columns, own[:-1], other[:-1])])
         )
 
-    group = [*SCOPE, "chunk_block", "query_block"]
+    group = [*keys, "chunk_block", "query_block"]
     left = assign(queries, "query_id", "query_blocks", "chunk_blocks").groupBy(*group)
     right = assign(chunks, "entity_id", "chunk_blocks", "query_blocks").groupBy(*group)
 
@@ -137,21 +139,29 @@ def _block_hits(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     return left.cogroup(right).applyInPandas(score, _hit_schema(queries))
 
 
-def cosine_top_k(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """Exact cosine top-k per query inside its repository and revision.
+def cosine_top_k(chunks: DataFrame, queries: DataFrame, limit: int, index: Cells | None = None) -> DataFrame:
+    """Cosine top-k per query inside its repository and revision.
 
     ``chunks``: SCOPE, entity_id, embedding; ``queries``: query_id, SCOPE, embedding. Any
-    number of queries takes the same plan: both sides are cut into blocks. Scores are rounded to nine places so that equal vectors tie by id.
+    number of queries takes the same plan: both sides are cut into blocks. Without ``index`` all chunks of
+    a repository are compared and the result is exact. With it, ``chunks`` also have the cell they were stored
+    with, and a query meets the chunks of the cells it asks. Scores are rounded to nine places so that equal
+    vectors tie by id.
     """
-    chunk_rows = chunks.select(*SCOPE, "entity_id", "embedding")
+    keys = list(SCOPE) if index is None else [*SCOPE, "cell"]
+    chunk_rows = chunks.select(*keys, "entity_id", "embedding")
     query_rows = queries.select("query_id", *SCOPE, "embedding")
-    hits = _block_hits(chunk_rows, query_rows, limit)
+    if index is not None:
+        query_rows = cells.asked(query_rows, index).select("query_id", *keys, "embedding")
+    hits = _block_hits(chunk_rows, query_rows, limit, keys)
     return top_per(hits, ["query_id"], [F.col("score").desc(), F.col("entity_id")], limit)
 
 
-def search(chunks: DataFrame, questions: DataFrame, limit: int, embedder: str = "hash") -> DataFrame:
+def search(
+    chunks: DataFrame, questions: DataFrame, limit: int, embedder: str = "hash", index: Cells | None = None
+) -> DataFrame:
     """Embed questions (query_id, SCOPE, query) and search; blank questions give nothing."""
     asked = questions.filter(text.strip(F.col("query")) != "").withColumn(
         "embedding", vectors.embed(F.col("query"), embedder)
     )
-    return cosine_top_k(chunks, asked, limit)
+    return cosine_top_k(chunks, asked, limit, index)

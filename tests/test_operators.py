@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from srcgraph.functions import ids, text
 from srcgraph.functions.vectors import hash_vector
-from srcgraph.operators import evals, hybrid, lookup, responses, state, stats, textops, traverse, upsert, vectors
+from srcgraph.operators import cells, evals, hybrid, lookup, responses, state, stats, textops, traverse, upsert, vectors
 from srcgraph.session import ranked_within, running_last
 from srcgraph.sources import corpus, suites
 
@@ -182,6 +182,28 @@ def test_find_entity_by_brute_force(spark):
         assert got.get(query, []) == [i for _, _, i in want], name
 
 
+def test_cells_find_what_exact_search_finds(spark, monkeypatch):
+    """Clustered vectors need few cells for the wanted recall, all cells give the exact result, a hot cell is cut to blocks."""
+    monkeypatch.setattr(vectors, "CHUNK_BLOCK", 40)
+    chooser = np.random.default_rng(3)
+    centres = chooser.normal(size=(10, 16)) * 4
+    kinds = np.where(np.arange(900) % 3 == 0, 0, chooser.integers(0, 10, 900))
+    rows = [(f"r{i % 2}", "one", f"c{i:04d}", (centres[k] + chooser.normal(size=16)).tolist()) for i, k in enumerate(kinds)]
+    rows += [("r0", "one", "none", None), ("r0", "one", "zero", [0.0] * 16)]
+    frame = spark.createDataFrame(rows, "repository_id string, revision string, entity_id string, embedding array<double>")
+    queries = frame.filter("embedding IS NOT NULL").select(F.col("entity_id").alias("query_id"), "repository_id", "revision", "embedding").filter("substring(entity_id, 5, 1) = '0'")
+    index = cells.fit(frame, 12)
+    stored = cells.assign(frame, index).cache()
+    pairs = lambda found: {(r.query_id, r.entity_id) for r in found.collect()}
+    exact = pairs(vectors.cosine_top_k(frame.filter("embedding IS NOT NULL"), queries, 5))
+    assert pairs(vectors.cosine_top_k(stored, queries, 5, index)) == exact
+    fewer = cells.measured(index, stored, queries, 5)
+    assert fewer.probes < index.probes / 2
+    assert len(exact & pairs(vectors.cosine_top_k(stored, queries, 5, fewer))) >= 0.9 * len(exact)
+    assert cells.fit(frame.limit(0)) is None
+    assert cells.measured(index, stored, queries.limit(0), 5) == index
+
+
 def test_traversal_in_a_cycle_with_a_hot_node(spark):
     pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "hub")] + [("hub", f"x{i}") for i in range(400)] + [("x1", "y"), ("y", "z"), ("a", "b")]
     edges = spark.createDataFrame([(s, "CALLS", t, t != "z") for s, t in pairs], "source_id string, kind string, target_id string, resolved boolean")
@@ -199,6 +221,28 @@ def test_traversal_in_a_cycle_with_a_hot_node(spark):
         traverse.dependencies(edges, roots, 6)
 
 
+def test_traversal_with_many_roots_and_a_spread_hub(spark, monkeypatch):
+    """Three blocks of roots, a hub that holds a third of the edges on several sub-keys, both directions."""
+    monkeypatch.setattr(traverse, "EDGES_TOGETHER", 7)
+    chance = random.Random(5)
+    pairs = {(f"n{chance.randrange(150)}", f"n{chance.randrange(150)}") for _ in range(400)} | {("hub", f"n{i}") for i in range(150)} | {(f"n{i}", "hub") for i in range(0, 150, 30)}
+    edges = spark.createDataFrame([(s, k, t, True) for s, t in pairs for k in ("CALLS", "IMPORTS")], "source_id string, kind string, target_id string, resolved boolean")
+    names = [f"n{i}" for i in range(140)] + ["nowhere"]
+    roots = spark.createDataFrame([(n,) for n in names + names[:9] + [None]], "root string")
+    for incoming in (False, True):
+        got = [tuple(r) for r in traverse.traverse(edges, roots, ["CALLS", "IMPORTS"], 3, incoming).select("root", "source_id", "kind", "target_id", "depth").collect()]
+        want = set()
+        near = [(t, s) if incoming else (s, t) for s, t in pairs]
+        for root in names:
+            distance, layer = {root: 0}, {root}
+            for d in (1, 2):
+                layer = {t for s, t in near if s in layer and t not in distance}
+                distance |= dict.fromkeys(layer, d)
+            for (s, t), (source, target) in zip(near, pairs):
+                want |= {(root, source, k, target, distance[s] + 1) for k in ("CALLS", "IMPORTS") if s in distance}
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_bounded_query_flags_truncation(spark):
     frame = spark.range(3).orderBy("id")
     assert [(r.id, r.truncated) for r in stats.bounded_query(frame, 2).collect()] == [(0, True), (1, True)]
