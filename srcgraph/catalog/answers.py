@@ -44,7 +44,7 @@ def _answers(spark: SparkSession, folder: str) -> DataFrame:
     """Answered once per session, like the other tables of the index."""
     index = code_index(spark, folder)
     if "answers" not in vars(index):
-        tables = answering.Index(index.files, index.entities, index.edges, index.chunks, index.facts)
+        tables = answering.Index(index.files, index.entities, index.edges, index.chunks, index.facts, pieces=index.pieces)
         index.answers = cut_lineage(answering.answer(_asked(spark, folder), tables))
     return index.answers
 

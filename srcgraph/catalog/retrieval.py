@@ -347,7 +347,7 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     questions = index.entities.filter(F.col("kind") == "class").select(
         F.col("id").alias("query_id"), "repository_id", "revision", F.col("qualified_name").alias("query")
     )
-    found = hybrid.hybrid_search(index.entities, index.chunks, questions, 5)
+    found = hybrid.hybrid_search(index.entities, index.chunks, questions, 5, pieces=index.pieces)
     return found.select(
         "query_id", "entity_id", F.round("score", 6).alias("score"),
         F.array_join("sources", "+").alias("sources"), "rank",

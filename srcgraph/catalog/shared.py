@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from srcgraph.operators import extract, facts, resolve, vectors
+from srcgraph.operators import extract, facts, postings, resolve, vectors
 from srcgraph.session import cut_lineage
 from srcgraph.sources import adapters
 
@@ -29,6 +29,10 @@ class CodeIndex:
     def entities(self) -> DataFrame:
         return cut_lineage(resolve.distinct_entities(extract.entities(self.facts)))
 
+    @cached_property
+    def pieces(self) -> postings.PieceIndex:
+        return postings.build(self.entities)
+
     @cached_property
     def references(self) -> DataFrame:
         return cut_lineage(extract.references(self.facts))

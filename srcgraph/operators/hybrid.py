@@ -9,6 +9,7 @@ from srcgraph import rules
 from srcgraph.functions import text
 from srcgraph.operators.cells import Cells
 from srcgraph.operators.lookup import check_limit, find_entities
+from srcgraph.operators.postings import PieceIndex
 from srcgraph.operators.vectors import search
 from srcgraph.session import SCOPE, top_per
 
@@ -81,17 +82,19 @@ def hybrid_search(
     rank_before_filter: bool = False,
     embedder: str = "hash",
     index: Cells | None = None,
+    pieces: PieceIndex | None = None,
 ) -> DataFrame:
     """Fuse name matches with vector matches for questions (query_id, SCOPE, query).
 
     Name matches are ranked inside the question's repository and revision. With
     ``rank_before_filter`` they are ranked over the whole corpus first and then filtered, which
-    leaves gaps in the ranks. With ``index`` the chunks are searched by their stored cells.
+    leaves gaps in the ranks. With ``index`` the chunks are searched by their stored cells; ``pieces`` is the
+    stored piece index of the entities.
     """
     check_limit(limit)
     names = questions.withColumnRenamed("query", "name")
     exact = find_entities(
-        entities, names, min(limit * 2, 100), scoped=not rank_before_filter
+        entities, names, min(limit * 2, 100), scoped=not rank_before_filter, index=pieces
     ).filter(
         (F.col("query.repository_id") == F.col("repository_id"))
         & (F.col("query.revision") == F.col("revision"))

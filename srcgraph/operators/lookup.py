@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcgraph.session import SCOPE, cut_lineage, top_per
+from srcgraph.operators import postings
+from srcgraph.operators.postings import PieceIndex
+from srcgraph.session import SCOPE, top_per
 
 # Definitions that a name most likely means, and the lookup bounds.
 CORE_KINDS = ["class", "function", "method", "module"]
 LIMITS = (1, 100)
-GRAM = 3
-SPREAD = 8
 
 
 def check_limit(limit: int, bounds: tuple[int, int] = LIMITS) -> None:
@@ -19,67 +19,19 @@ def check_limit(limit: int, bounds: tuple[int, int] = LIMITS) -> None:
         raise ValueError(f"limit must be between {bounds[0]} and {bounds[1]}")
 
 
-def _grams(text: Column, size: int) -> Column:
-    starts = F.sequence(F.lit(1), F.length(text) - F.lit(size - 1))
-    return F.when(
-        F.length(text) >= size,
-        F.transform(starts, lambda start: F.substr(text, start, F.lit(size))),
-    ).otherwise(F.array().cast("array<string>"))
+def contains_matches(index: PieceIndex, queries: DataFrame, scoped: bool = False) -> DataFrame:
+    """(query, SCOPE, id, entity_name, qualified_name, kind) where a name of the entity contains the query's name.
 
-
-def contains_matches(entities: DataFrame, queries: DataFrame, scoped: bool = False) -> DataFrame:
-    """(query, entity) rows where the entity's name or qualified name contains the query's name.
-
-    With ``scoped`` a query meets only the entities of its own repository and revision.
-
-    Inverted index instead of comparing every pair: a query looks only at entities that hold its
-    rarest three-letter piece (shorter names use the name itself), then the match is verified.
-    The match join is spread over ``SPREAD`` sub-keys so that a common piece does not end in one task;
-    which pieces are wanted at all is decided before that.
+    With ``scoped`` a query meets only the entities of its own repository and revision. A query looks only
+    at entities that hold its rarest pieces (see ``postings``), then the match is verified.
     """
-    term = F.lower("name")
-    meet = ["piece", *SCOPE] if scoped else ["piece"]
-    key = [c for c in (*SCOPE, "id") if c in entities.columns]
-    # Both names are one haystack; the separator is in no name.
-    haystack = F.lower(F.concat_ws("\0", "name", "qualified_name"))
-    wanted = cut_lineage(
-        queries.withColumn(
-            "piece",
-            F.explode(
-                F.array_distinct(
-                    F.when(F.length(term) < GRAM, F.array(term)).otherwise(_grams(term, GRAM))
-                )
-            ),
-        )
-    )
-    # Only pieces that some query has are kept, with just the columns the match needs.
-    pieces = F.array_distinct(F.concat(*[_grams(haystack, size) for size in range(1, GRAM + 1)]))
-    held = cut_lineage(
-        entities.select(*key, haystack.alias("haystack"), F.explode(pieces).alias("piece")).join(
-            wanted.select(*meet).distinct(), meet, "left_semi"
-        )
-    )
-    frequency = held.groupBy(*meet).agg(F.count(F.lit(1)).alias("frequency"))
-    rarest = (
-        wanted.join(frequency, meet, "left")
-        .groupBy("query_id", *meet[1:])
-        .agg(
-            F.min(F.struct(F.coalesce("frequency", F.lit(0)), "piece"))["piece"].alias("piece"),
-            F.first(F.struct(*queries.columns)).alias("query"),
-        )
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-        .select("query", *meet, "_salt")
-    )
-    salt = F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")
-    needle = F.lower(F.col("query.name"))
-    # A name cannot hold the separator, so a hit in the haystack is a hit in one of the names.
-    matches = (
-        held.withColumn("_salt", salt)
-        .join(rarest, [*meet, "_salt"])
-        .filter(F.contains("haystack", needle))
-        .select(*key, "query")
+    names = index.names.withColumnRenamed("name", "entity_name")
+    return (
+        postings.candidates(index, queries, scoped)
+        .join(names, [*SCOPE, "number"])
+        .filter(F.contains(postings.haystack("entity_name"), F.lower("query.name")))
+        .drop("number")
     )
-    return entities.withColumnRenamed("name", "entity_name").join(matches, key)
 
 
 def find_entities(
@@ -88,9 +40,13 @@ def find_entities(
     limit: int = 20,
     scoped: bool = False,
     revisions: DataFrame | None = None,
+    index: PieceIndex | None = None,
 ) -> DataFrame:
     """Case-insensitive substring lookup, exact names first, at most ``limit`` rows per query.
 
+    ``index`` is the stored piece index of the entities, built here if there is none. Only the chosen rows
+    are joined with the wide entities.
+
     ``queries``: query_id, name, optional kind; with ``scoped`` also repository_id and revision.
     Rank 1 is a qualified name equal to the query, then an equal simple name, then the rest by
     qualified name and id.
@@ -98,7 +54,9 @@ def find_entities(
     check_limit(limit)
     if "kind" not in queries.columns:
         queries = queries.withColumn("kind", F.lit(None).cast("string"))
-    hits = contains_matches(entities, queries, scoped).filter(
+    if index is None:
+        index = postings.build(entities)
+    hits = contains_matches(index, queries, scoped).filter(
         F.col("query.kind").isNull() | (F.col("query.kind") == F.col("kind"))
     )
     name = F.col("query.name")
@@ -110,6 +68,10 @@ def find_entities(
         ["query_id"],
         [F.col("closeness"), F.col("qualified_name"), F.col("id")],
         limit,
+    ).drop("entity_name", "qualified_name", "kind")
+    key = [c for c in (*SCOPE, "id") if c in entities.columns]
+    ranked = entities.withColumnRenamed("name", "entity_name").join(
+        ranked.drop(*[c for c in SCOPE if c not in key]), key
     )
     if revisions is not None:
         snapshot = [c for c in revisions.columns if c not in SCOPE]

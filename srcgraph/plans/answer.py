@@ -22,6 +22,7 @@ from srcgraph.operators import (
     state,
     traverse,
 )
+from srcgraph.operators.postings import PieceIndex
 from srcgraph.session import SCOPE, cut_lineage, top_per
 
 FILE = [*SCOPE, "file_path"]
@@ -31,7 +32,7 @@ CANDIDATES, SEARCH_HITS, DEPTH, ANALYSED, ANSWER = 10, 10, 3, 6, 5_000
 
 @dataclass(frozen=True)
 class Index:
-    """Tables a question is answered from (see plans.index); ``facts`` are the syntax facts."""
+    """Tables a question is answered from (see plans.index); ``facts`` are the syntax facts, ``pieces`` the stored name index."""
 
     files: DataFrame
     entities: DataFrame
@@ -39,6 +40,7 @@ class Index:
     chunks: DataFrame
     facts: DataFrame
     preferred_prefix: str = ""
+    pieces: PieceIndex | None = None
 
 
 def _hits(analysed: DataFrame, index: Index, plans: set[str]) -> DataFrame:
@@ -51,7 +53,7 @@ def _hits(analysed: DataFrame, index: Index, plans: set[str]) -> DataFrame:
         F.struct("question", "position").alias("query_id"), *SCOPE,
         F.col("mention.name").alias("name"),
     )
-    found = lookup.find_entities(index.entities, queries, CANDIDATES, scoped=True)
+    found = lookup.find_entities(index.entities, queries, CANDIDATES, scoped=True, index=index.pieces)
     columns = ["id", "kind", "qualified_name", "file_path", "start_line", "end_line"]
     exact = lookup.select_entities(found, index.preferred_prefix).select(
         F.col("query_id.question").alias("query_id"), *SCOPE,
@@ -62,7 +64,7 @@ def _hits(analysed: DataFrame, index: Index, plans: set[str]) -> DataFrame:
         return exact
     broad = analysed.filter(F.col("plan").isin("discovery", "search") & F.col("revision").isNotNull())
     near = hybrid.hybrid_search(
-        index.entities, index.chunks, broad.select("query_id", *SCOPE, "query"), SEARCH_HITS
+        index.entities, index.chunks, broad.select("query_id", *SCOPE, "query"), SEARCH_HITS, pieces=index.pieces
     )
     described = (
         near.join(broad.select("query_id", *SCOPE), "query_id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from srcgraph import rules
 from srcgraph.functions import ids
-from srcgraph.operators import extract, incremental, resolve, textops, upsert, vectors
+from srcgraph.operators import extract, incremental, postings, resolve, textops, upsert, vectors
 from srcgraph.session import SCOPE, cut_lineage
 from srcgraph.sources import tables
 
@@ -151,8 +151,10 @@ def index_revision(
         "revisions": _revisions(before, done, request, markers),
         "issues": _replaced(before.get("issues"), issues, done),
     }
+    # The names of a completed revision are numbered anew; those of other revisions keep their postings.
+    pieces = postings.build(entities.join(done, SCOPE, "left_semi"))
     for name, rows in {
-        "entities": entities, "references": references, "edges": edges, "chunks": chunks,
+        "names": pieces.names, "postings": pieces.postings, "entities": entities, "references": references, "edges": edges, "chunks": chunks,
     }.items():
         published[name] = _replaced(before.get(name), rows, done)
     tables.publish(spark, root, published)
@@ -195,7 +197,7 @@ def _revisions(
 
 def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Current tables of the index by name."""
-    names = ["entities", "references", "edges", "chunks", "manifest", "revisions", "jobs", "issues"]
+    names = ["names", "postings", "entities", "references", "edges", "chunks", "manifest", "revisions", "jobs", "issues"]
     snapshot = tables.Snapshot(spark, root)
     if snapshot.version == 0:
         raise LookupError(f"nothing published under {root}")
