@@ -1,4 +1,4 @@
-"""Indexing job: a scanned revision plus the stored tables give the next version of the tables."""
+"""Indexing job: a scanned revision plus the stored tables give the new partitions of the tables."""
 
 from __future__ import annotations
 
@@ -55,14 +55,6 @@ def _with(rows: DataFrame, more: DataFrame | None) -> DataFrame:
     return rows if more is None else rows.unionByName(more.select(*rows.columns))
 
 
-def _replaced(stored: DataFrame | None, rows: DataFrame, done: DataFrame) -> DataFrame:
-    """Stored rows of other revisions plus the new rows of the revisions that were completed."""
-    fresh = rows.join(done, SCOPE, "left_semi").select(*rows.columns)
-    if stored is None:
-        return fresh
-    return stored.join(done, SCOPE, "left_anti").select(*rows.columns).unionByName(fresh)
-
-
 def index_revision(
     spark: SparkSession,
     root: str,
@@ -79,10 +71,16 @@ def index_revision(
     a definition elsewhere may have come, gone or become ambiguous. A repository with a file that
     does not parse keeps its stored state; only its failed job row is published.
     """
-    before = tables.Snapshot(spark, root)
     safe = textops.safe_paths(files)
     good = textops.readable(safe, None)
-    manifest = before.get("manifest")
+    repositories = cut_lineage(safe.select("repository_id").distinct())
+
+    def stored(name: str) -> DataFrame | None:
+        """Stored rows of the job's repositories in all their revisions."""
+        rows = tables.get(spark, root, name, repositories if tables.LAYOUT[name][0] == tables.REPOSITORY else None)
+        return rows if rows is None else rows.join(repositories, "repository_id", "left_semi")
+
+    manifest = stored("manifest")
     if manifest is None:
         manifest = spark.createDataFrame([], MANIFEST)
     # Every safe file is compared, so that an unreadable one counts as failed and never as removed.
@@ -99,13 +97,13 @@ def index_revision(
 
     fresh_entities = cut_lineage(resolve.distinct_entities(extract.entities(facts)))
     fresh_references = extract.references(facts)
-    entities = cut_lineage(_with(fresh_entities, _carried(before.get("entities"), kept)))
+    entities = cut_lineage(_with(fresh_entities, _carried(stored("entities"), kept)))
     references = cut_lineage(
-        _with(fresh_references, _carried(before.get("references"), kept))
+        _with(fresh_references, _carried(stored("references"), kept))
     )
     edges = resolve.resolve(references, entities)
 
-    stored_chunks = before.get("chunks")
+    stored_chunks = stored("chunks")
     same_content = diff.filter("same_content").select(*PATH, "source_revision").join(
         revision_of.withColumnRenamed("revision", "target_revision"), "repository_id"
     )
@@ -144,25 +142,58 @@ def index_revision(
     gone = diff.filter("status = 'removed'").join(
         done.select("repository_id"), "repository_id", "left_semi"
     )
-    stored_jobs = before.get("jobs")
-    published = {
-        "manifest": upsert.put_manifest(manifest, entries, gone),
-        "jobs": jobs if stored_jobs is None else upsert.merge_by_key(stored_jobs, jobs, ["id", *SCOPE]),
-        "revisions": _revisions(before, done, request, markers),
-        "issues": _replaced(before.get("issues"), issues, done),
-    }
-    # The names of a completed revision are numbered anew; those of other revisions keep their postings.
-    pieces = postings.build(entities.join(done, SCOPE, "left_semi"))
-    for name, rows in {
-        "names": pieces.names, "postings": pieces.postings, "entities": entities, "references": references, "edges": edges, "chunks": chunks,
-    }.items():
-        published[name] = _replaced(before.get(name), rows, done)
-    tables.publish(spark, root, published)
+    _publish(
+        spark, root, request, done,
+        {"entities": entities, "references": references, "edges": edges, "chunks": chunks, "issues": issues},
+    )
+    _publish_state(spark, root, request, done, jobs, upsert.put_manifest(manifest, entries, gone), markers)
     return jobs
 
 
+def _publish(spark: SparkSession, root: str, request: IndexRequest, done: DataFrame, rows: dict[str, DataFrame]) -> None:
+    """Replace the completed revisions in every table of rows, and bring the graph up to date.
+
+    Everything is computed before the first table is replaced. A job that dies on the way is run again: the
+    state tables, which say what a reader may see, are written last.
+    """
+    fresh = {name: cut_lineage(frame.join(done, SCOPE, "left_semi")) for name, frame in rows.items()}
+    # The names of a completed revision are numbered anew; those of other revisions keep their postings.
+    pieces = postings.build(fresh["entities"])
+    fresh |= {"names": pieces.names, "postings": pieces.postings}
+    repositories = done.select("repository_id").distinct()
+    made = upsert.graph_entities(fresh["entities"].withColumn("ord", F.lit(0)))
+    stored = tables.get(spark, root, "graph_entities", repositories)
+    graph = cut_lineage(upsert.upsert_entities(made.limit(0) if stored is None else stored, made))
+    symbols = resolve.unresolved_symbols(fresh["edges"])
+    known = tables.get(spark, root, "external", repositories)
+    external = cut_lineage(upsert.upsert_external(symbols.limit(0) if known is None else known, symbols))
+    links = upsert.graph_edges(fresh["edges"])
+    fresh["graph_edges"] = cut_lineage(upsert.upsert_edges(links.limit(0), links, graph, external))
+    member = ids.revision_id(F.col("repository_id"), F.col("revision"))
+    fresh["memberships"] = fresh["entities"].select(*SCOPE, F.col("id").alias("entity_id"), member.alias("revision_id")).distinct()
+    for name, frame in fresh.items():
+        tables.replace(spark, root, name, frame, done, request.job_id)
+    tables.replace(spark, root, "graph_entities", graph, done, request.job_id)
+    tables.replace(spark, root, "external", external, done, request.job_id)
+
+
+def _publish_state(
+    spark: SparkSession, root: str, request: IndexRequest, done: DataFrame, jobs: DataFrame, manifest: DataFrame, markers: DataFrame | None
+) -> None:
+    """Manifest and revisions of the completed repositories, and last the job rows of all of them."""
+    state = {
+        "manifest": cut_lineage(manifest.join(done.select("repository_id"), "repository_id", "left_semi")),
+        "revisions": cut_lineage(_revisions(spark, root, done, request, markers)),
+    }
+    stored = tables.get(spark, root, "jobs", jobs)
+    every = cut_lineage(jobs if stored is None else upsert.merge_by_key(stored, jobs, ["id", *SCOPE]))
+    for name, frame in state.items():
+        tables.replace(spark, root, name, frame, done, request.job_id)
+    tables.replace(spark, root, "jobs", every, jobs, request.job_id)
+
+
 def _revisions(
-    before: tables.Snapshot, done: DataFrame, request: IndexRequest, markers: DataFrame | None
+    spark: SparkSession, root: str, done: DataFrame, request: IndexRequest, markers: DataFrame | None
 ) -> DataFrame:
     """Revision rows with the provenance of this job."""
     from srcgraph.sources.corpus import marker_rows
@@ -189,19 +220,24 @@ def _revisions(
         "commit_timestamp",
         F.lit(True).alias("immutable"),
     )
-    old = before.get("revisions")
+    old = tables.get(spark, root, "revisions", done)
     if old is None:
-        old = before.spark.createDataFrame([], REVISIONS)
+        old = spark.createDataFrame([], REVISIONS)
     return upsert.upsert_revisions(old, rows)
 
 
 def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Current tables of the index by name."""
-    names = ["names", "postings", "entities", "references", "edges", "chunks", "manifest", "revisions", "jobs", "issues"]
-    snapshot = tables.Snapshot(spark, root)
-    if snapshot.version == 0:
+    """Current tables of the index by name; tables of rows hold the revisions that were completed."""
+    found = {name: tables.get(spark, root, name) for name in tables.LAYOUT}
+    if found["jobs"] is None:
         raise LookupError(f"nothing published under {root}")
-    return {name: snapshot.get(name) for name in names}
+    if found["revisions"] is None:
+        return {name: frame for name, frame in found.items() if frame is not None}
+    complete = found["revisions"].select("repository_id", F.col("sha").alias("revision"))
+    return {
+        name: frame.join(complete, SCOPE, "left_semi") if tables.LAYOUT[name][0] == SCOPE else frame
+        for name, frame in found.items()
+    }
 
 
 def graph_view(entities: DataFrame, revisions: DataFrame) -> DataFrame:

@@ -1,90 +1,101 @@
-"""Stored tables: parquet folders behind pointer rows that are appended last.
+"""Stored tables: parquet folders whose partitions are replaced one scope at a time.
 
-Spark cannot overwrite what it is reading, and a failed job must leave the old state visible, so a
-job writes the tables it changes to a folder of its own and then appends one pointer row that names
-them. Tables it does not name stay where they are.
+A scope is a repository, or a repository and revision. Spark's dynamic partition overwrite rewrites the
+partitions of the scopes a job has rows for and leaves all others where they are, so a job on one
+repository writes nothing else. Each partition has one mark row with the batch that wrote it last: it
+replaces partitions that have become empty and tells a replayed stream batch from a new one.
 """
 
 from __future__ import annotations
 
-from uuid import uuid4
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_POINTER = "version bigint, folder string, tables array<string>, batch string"
-# Layout per table: partition columns, then the sort key whose parquet statistics serve lookups.
+from srcgraph.session import SCOPE
+
+REPOSITORY = SCOPE[:1]
+# Per table: the columns of its scope, then the order inside files, whose parquet statistics serve lookups.
 LAYOUT = {
-    "entities": (["repository_id"], ["qualified_name"]),
-    "edges": (["repository_id", "revision"], ["source_id"]),
-    "raw_edges": (["repository_id", "revision"], ["file_path"]),
-    "chunks": (["repository_id", "revision"], ["file_path"]),
-    "manifest": (["repository_id"], ["file_path"]),
+    "entities": (SCOPE, ["qualified_name"]),
+    "references": (SCOPE, ["file_path"]),
+    "edges": (SCOPE, ["source_id"]),
+    "chunks": (SCOPE, ["file_path"]),
+    "names": (SCOPE, ["number"]),
+    "postings": (SCOPE, ["piece", "block"]),
+    "issues": (SCOPE, []),
+    "graph_edges": (SCOPE, ["source_id"]),
+    "memberships": (SCOPE, ["entity_id"]),
+    "graph_entities": (REPOSITORY, ["id"]),
+    "external": (REPOSITORY, ["id"]),
+    "manifest": (REPOSITORY, ["file_path"]),
+    "revisions": (REPOSITORY, []),
+    "jobs": (REPOSITORY, []),
 }
+PART, BATCH, LIVE = "_part", "_batch", "_live"
+
+
+def part(columns: list[str]) -> Column:
+    """Name of a scope's partition: always text, whatever the values look like."""
+    values = F.concat_ws("\0", *[F.coalesce(F.col(c).cast("string"), F.lit("\1")) for c in columns])
+    return F.concat(F.lit("p"), F.substring(F.sha2(values.cast("binary"), 256), 1, 32))
 
 
-def _pointers(spark: SparkSession, root: str) -> DataFrame:
-    """The pointer rows; none before the first publication."""
+def _stored(spark: SparkSession, root: str, name: str) -> DataFrame | None:
     try:
-        return spark.read.schema(_POINTER).json(f"{root}/published")
-    except Exception as error:
+        return spark.read.parquet(f"{root}/{name}")
+    except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return spark.createDataFrame([], _POINTER)
-
-
-def current_version(spark: SparkSession, root: str) -> int:
-    """Newest version; 0 before the first publication."""
-    return _pointers(spark, root).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
-
+        return None
 
-def has_batch(spark: SparkSession, root: str, batch: str) -> bool:
-    return not _pointers(spark, root).filter(F.col("batch") == batch).isEmpty()
 
+def get(spark: SparkSession, root: str, name: str, scopes: DataFrame | None = None) -> DataFrame | None:
+    """The rows of a stored table, or None if nothing was ever written; of ``scopes`` alone if given.
 
-def publish(
-    spark: SparkSession, root: str, tables: dict[str, DataFrame], batch: str | None = None
-) -> int:
-    """Write the given tables to a new folder and switch to them; ``batch`` names the stream batch."""
-    version = current_version(spark, root) + 1
-    folder = f"version={version}-{uuid4().hex}"
-    for name, table in tables.items():
-        partitions, order = LAYOUT.get(name, ([], []))
-        writer = (table.sortWithinPartitions(*partitions, *order) if order else table).write
-        if partitions:
-            writer = writer.partitionBy(*partitions)
-        writer.parquet(f"{root}/{folder}/{name}")
-    pointer = spark.createDataFrame([(version, folder, list(tables), batch)], _POINTER)
-    pointer.write.mode("append").json(f"{root}/published")
-    return version
-
-
-class Snapshot:
-    """The tables of one version; a job reads all its input from the same one."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        newest = F.max_by("folder", F.struct("version", "folder"))
-        named = _pointers(spark, root).select("version", "folder", F.explode("tables").alias("name"))
-        # One row per table name.
-        found = named.groupBy("name").agg(newest.alias("folder"), F.max("version").alias("version")).collect()
-        self.folders = {row["name"]: row["folder"] for row in found}
-        self.version = max((row["version"] for row in found), default=0)
-
-    def get(self, name: str) -> DataFrame | None:
-        """A stored table as last published, or None if it never was."""
-        if name not in self.folders:
-            return None
-        return self.spark.read.parquet(f"{self.root}/{self.folders[name]}/{name}")
+    The scopes are joined on the partition column, so Spark prunes the partitions of all others.
+    """
+    stored = _stored(spark, root, name)
+    if stored is None:
+        return None
+    if scopes is not None:
+        stored = stored.join(scopes.select(part(LAYOUT[name][0]).alias(PART)).distinct(), PART, "left_semi")
+    return stored.filter(LIVE).drop(PART, BATCH, LIVE)
 
 
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:
-    table = Snapshot(spark, root).get(name)
+    table = get(spark, root, name)
     if table is None:
-        raise LookupError(f"no table {name} published under {root}")
+        raise LookupError(f"no table {name} under {root}")
     return table
 
 
+def replace(
+    spark: SparkSession, root: str, name: str, rows: DataFrame, scopes: DataFrame, batch: str = "",
+    layout: tuple[list[str], list[str]] | None = None,
+) -> None:
+    """Make ``rows`` the content of the partitions of ``scopes``; both are computed before anything is replaced."""
+    columns, order = layout or LAYOUT[name]
+    marks = scopes.select(part(columns).alias(PART)).distinct()
+    live = rows.withColumn(PART, part(columns)).withColumn(LIVE, F.lit(True))
+    body = live.unionByName(marks.withColumn(LIVE, F.lit(False)), allowMissingColumns=True).withColumn(BATCH, F.lit(batch))
+    # By range, so that a large scope is spread over tasks and a small one is one file.
+    (
+        body.repartitionByRange(PART, *order)
+        .sortWithinPartitions(PART, *order)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(PART)
+        .parquet(f"{root}/{name}")
+    )
+
+
+def written_by(spark: SparkSession, root: str, name: str, batch: str) -> DataFrame | None:
+    """Partitions that ``batch`` wrote last."""
+    stored = _stored(spark, root, name)
+    return None if stored is None else stored.filter(~F.col(LIVE) & (F.col(BATCH) == batch)).select(PART)
+
+
 def bucketed(table: DataFrame, name: str, key: str, buckets: int) -> None:
     """Save as a catalog table bucketed by its key, so later joins on the key need no shuffle."""
     table.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)

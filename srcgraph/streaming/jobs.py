@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from srcgraph.operators import incremental
+from srcgraph.session import cut_lineage
 from srcgraph.sources import tables
 
 
@@ -29,22 +31,32 @@ def progress(increments: DataFrame) -> DataFrame:
 
 
 def maintain(
-    stream: DataFrame, root: str, name: str, bound: Callable[[DataFrame], DataFrame], checkpoint: str
+    stream: DataFrame, root: str, name: str, bound: Callable[[DataFrame], DataFrame], checkpoint: str, key: list[str], buckets: int = 64
 ) -> DataStreamWriter:
     """Keep a bounded table (last turns, audits, episodes, preferences) current from a stream.
 
-    Each batch publishes bound(stored rows + new rows); other tables under ``root`` stay. The batch is
-    named in the pointer row, so one that is replayed after a failure changes nothing.
+    Rows are stored in ``buckets`` partitions by ``key``, the columns within which ``bound`` works. A batch reads and
+    replaces only the buckets it has rows for: each becomes bound(stored rows + new rows). A bucket names
+    the batch that wrote it last, so a batch that is replayed after a failure leaves finished buckets alone.
     """
+    layout = (["_bucket"], key)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
-        mark = f"{name}/{checkpoint}/{batch_id}"
-        if tables.has_batch(spark, root, mark):
+        mark = f"{checkpoint}/{batch_id}"
+        rows = batch.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
+        touched = rows.select("_bucket").distinct()
+        finished = tables.written_by(spark, root, name, mark)
+        if finished is not None:
+            touched = touched.withColumn(tables.PART, tables.part(["_bucket"])).join(finished, tables.PART, "left_anti").drop(tables.PART)
+        touched = cut_lineage(touched)
+        if touched.isEmpty():
             return
-        stored = tables.Snapshot(spark, root).get(name)
+        stored = tables.get(spark, root, name)
         if stored is not None:
-            batch = stored.unionByName(batch)
-        tables.publish(spark, root, {name: bound(batch)}, mark)
+            rows = stored.unionByName(rows)
+        rows = rows.join(touched, "_bucket", "left_semi").drop("_bucket")
+        kept = bound(rows).withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
+        tables.replace(spark, root, name, cut_lineage(kept), touched, mark, layout)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

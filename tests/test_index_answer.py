@@ -5,7 +5,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from srcgraph.operators import extract, questions
+from srcgraph.operators import extract, questions, upsert
+from srcgraph.operators.postings import PieceIndex
 from srcgraph.plans import answer as answering
 from srcgraph.plans import index as indexing
 from srcgraph.sources import tables
@@ -97,6 +98,45 @@ def test_failed_job_publishes_only_its_row(spark, make_files, indexed):
     assert {r.id: r.status for r in tables.read(spark, root, "jobs").collect()}["job3"] == "failed"
 
 
+def test_graph_tables_have_unique_keys_and_known_ends(spark, indexed):
+    current = indexing.load(spark, indexed[0])
+    edges, entities, external = current["graph_edges"], current["graph_entities"], current["external"]
+    assert edges.count() > 0 and upsert.duplicate_keys(edges, upsert.EDGE_KEY).isEmpty()
+    assert upsert.duplicate_keys(entities, ["id"]).isEmpty()
+    ends = entities.select("id").unionByName(external.select("id"))
+    assert edges.join(entities, edges["source_id"] == entities["id"], "left_anti").isEmpty()
+    assert edges.join(ends, edges["target_id"] == ends["id"], "left_anti").isEmpty()
+    latest = {r.qualified_name: r.latest_revision for r in entities.filter("kind = 'function'").collect()}
+    assert latest["app.old.gone"] == "one" and latest["app.extra.helper"] == "two"
+    assert current["memberships"].filter("revision = 'two'").count() == current["entities"].filter("revision = 'two'").count()
+
+
+def test_job_writes_only_its_own_partitions(spark, make_files, tmp_path):
+    def written(name):
+        rows = spark.read.parquet(f"{root}/{name}").select("_part", "_batch", "_metadata.file_path").distinct().collect()
+        return {(r._part, r._batch, r.file_path) for r in rows}
+
+    root = str(tmp_path)
+    both = make_files(FIRST).unionByName(make_files(FIRST, repository="other"))
+    indexing.index_revision(spark, root, both, request(1))
+    before = {name: written(name) for name in ("edges", "manifest", "graph_entities", "postings", "jobs")}
+    indexing.index_revision(spark, root, make_files(SECOND, revision="two"), request(2))
+    for name, files in before.items():
+        after = written(name)
+        assert len({p for p, _, _ in after - files}) == 1, name
+        kept = {p for p, _, _ in files} - {p for p, _, _ in files - after}
+        assert len(kept) == (2 if name in ("edges", "postings") else 1), name
+
+
+def test_revision_that_became_empty_is_replaced(spark, make_files, tmp_path):
+    root = str(tmp_path)
+    indexing.index_revision(spark, root, make_files({"a.py": "def f():\n    pass\n", "b.py": "x = 1\n"}), request(1))
+    assert tables.read(spark, root, "chunks").count() == 1
+    indexing.index_revision(spark, root, make_files({"b.py": "x = 1\n"}), request(2))
+    assert tables.read(spark, root, "chunks").count() == 0
+    assert {r.file_path for r in tables.read(spark, root, "manifest").collect()} == {"b.py"}
+
+
 QUESTIONS = [
     (0, "Find `Shop`"),
     (1, "Show the implementation of Shop and Base"),
@@ -116,6 +156,7 @@ def test_answers(spark, make_files, indexed):
     index = answering.Index(
         files=files, entities=current["entities"].filter(here), edges=current["edges"].filter(here),
         chunks=current["chunks"].filter(here), facts=extract.syntax_facts(files),
+        pieces=PieceIndex(current["names"].filter(here), current["postings"].filter(here)),
     )
     asked = spark.createDataFrame(
         [(i, q, "demo", "two") for i, q in QUESTIONS],

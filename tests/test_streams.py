@@ -122,7 +122,7 @@ def test_progress(spark, stream, tmp_path):
 def test_maintained_table_equals_batch(spark, stream, tmp_path):
     root = str(tmp_path / "state")
     writer = jobs.maintain(
-        stream(turns(), SCHEMA), root, "turns", state.turn_window, str(tmp_path / "check")
+        stream(turns(), SCHEMA), root, "turns", state.turn_window, str(tmp_path / "check"), ["session_id"], 3
     )
     assert writer.trigger(availableNow=True).start().awaitTermination(120)
     stored = tables.read(spark, root, "turns").select("session_id", "turn")
