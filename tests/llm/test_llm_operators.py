@@ -449,3 +449,13 @@ def test_pipeline_language_drops_no_clean_text(spark, monkeypatch):
     monkeypatch.setattr(language, "fit", lambda docs: ())
     monkeypatch.setattr(language, "predict", predict)
     assert [r.doc_id for r in pipeline.with_language(spark, docs, FOLDER).collect()] == [1]
+
+
+def test_rows_of_a_stored_table_need_no_second_copy(spark, odd, tmp_path):
+    """Numbers by file and place choose the same rows as numbers that are written, over several files."""
+    odd.unionByName(odd.withColumn("source", F.lit("later"))).repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    plain, stored = ngram_join.one_of_each(docs), ngram_join.one_of_each(docs, stored=True)
+    key = lambda rows: sorted([(r.doc_id, r.text) for r in rows.collect()], key=str)
+    assert stored.columns == docs.columns and key(stored) == key(plain)
+    assert key(ngram_join.one_of_each(odd, stored=True)) == key(ngram_join.one_of_each(odd))
