@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcgraph.catalog import query
 from srcgraph.operators import textops
 from srcgraph.sources import corpus
+from srcgraph.session import ensure_checkpoint_dir
 from srcgraph.sources.adapters import table, text_files
 
 FILES = """
@@ -34,6 +37,7 @@ def _placed_files(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("r1").alias("revision"),
         F.concat(place, F.col("doc_id"), suffix).alias("file_path"),
         F.octet_length("text").cast("bigint").alias("length"),
+        F.col("text").alias("content"),
     )
 
 
@@ -50,11 +54,17 @@ def corpus_metadata(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "corpus_scan",
     """SELECT source AS repository_id,
-  CASE WHEN source = 'src4' THEN 'venvs/' ELSE 'pkg/' END || doc_id || '.py' AS file_path
+  CASE WHEN source = 'src4' THEN 'venvs/' ELSE 'pkg/' END || doc_id || '.py' AS file_path,
+  strlen(text)::BIGINT AS length, sha256(text) AS content_hash
   FROM documents WHERE source NOT IN ('src0', 'src1', 'src2', 'src3') AND lang = 'en'""",
 )
 def corpus_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus.source_files(_placed_files(spark, folder)).select("repository_id", "file_path")
+    """Every document is written as a file, in kept and ignored folders, and the folder is scanned."""
+    place = f"{ensure_checkpoint_dir(spark)}/scan-{uuid.uuid4().hex}"
+    corpus.write_folder(_placed_files(spark, folder).withColumn("revision", F.lit(None).cast("string")), place)
+    return corpus.source_files(corpus.scan_folder(spark, place)).select(
+        "repository_id", "file_path", "length", "content_hash"
+    )
 
 
 @query(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from srcgraph import rules
 from srcgraph.functions import text
 from srcgraph.operators.questions import has_reference
-from srcgraph.session import running_last, top_per
+from srcgraph.session import lookup_join, running_last, top_per
 
 # Bounds and lives (seconds) of each kind of state.
 TURNS, ENTITIES = 10, 20
@@ -208,26 +208,33 @@ def remember(answers: DataFrame, maximum: int = EPISODES) -> DataFrame:
 def recall(episodes: DataFrame, questions: DataFrame, limit: int = RECALLED) -> DataFrame:
     """Best earlier episodes of the same user and repository by shared terms.
 
-    Score is shared terms over all terms of both. ``episodes`` is the bounded memory of
-    ``remember``, so a question meets at most fifty rows and the join is on (user, repository).
+    Score is shared terms over all terms of both. Each remembered term has one posting row per user and
+    repository, and a question meets the rows of its own terms only, so it never sees episodes that
+    share nothing with it; frequent terms of a user with many questions are spread.
     """
+    scope = ["user_id", "repository_id"]
     remembered = episodes.select(
-        "user_id",
-        "repository_id",
-        "episode_id",
-        "created_at",
-        text.words(F.concat_ws(" ", "query", F.array_join("entities", " "))).alias("their_terms"),
-    )
-    asked = questions.select(
-        "query_id", "user_id", "repository_id", text.words(F.col("query")).alias("own_terms")
-    )
-    shared = F.size(F.array_intersect("own_terms", "their_terms"))
-    union = F.size("own_terms") + F.size("their_terms") - F.col("shared")
-    scored = (
-        asked.join(remembered, ["user_id", "repository_id"])
-        .withColumn("shared", shared)
-        .filter(F.col("shared") > 0)
-        .withColumn("score", F.col("shared") / union)
-    )
+        *scope, "episode_id", "created_at",
+        text.words(F.concat_ws(" ", "query", F.array_join("entities", " "))).alias("terms"),
+    )
+    # At most as many episodes per row as a user's memory holds.
+    postings = (
+        remembered.withColumn("theirs", F.size("terms"))
+        .withColumn("term", F.explode("terms"))
+        .groupBy(*scope, "term")
+        .agg(F.collect_list(F.struct("episode_id", "created_at", "theirs")).alias("found"))
+    )
+    own = text.words(F.col("query"))
+    asked = questions.select("query_id", *scope, F.size(own).alias("own"), F.explode(own).alias("term"))
+    shared = (
+        lookup_join(asked, postings, [*scope, "term"], ["query_id"])
+        .select("query_id", *scope, "own", F.inline("found"))
+        .groupBy("query_id", *scope, "own", "episode_id", "created_at", "theirs")
+        .agg(F.count(F.lit(1)).alias("shared"))
+    )
+    scored = shared.select(
+        *scope, "query_id", "episode_id", "created_at", "shared",
+        (F.col("shared") / (F.col("own") + F.col("theirs") - F.col("shared"))).alias("score"),
+    )
     order = [F.col("score").desc(), F.col("created_at").desc(), F.col("episode_id").desc()]
     return top_per(scored, ["query_id"], order, limit)

@@ -50,13 +50,10 @@ def index_chunks(
     maximum_characters: int | None = MAXIMUM_CHARACTERS,
 ) -> DataFrame:
     """Chunk texts with their vector and name-based id."""
-    return (
-        chunk_texts(entities, files, maximum_characters)
-        .withColumn("embedding", vectors.embed(F.col("text"), embedder))
-        .withColumn(
-            "point_id",
-            ids.vector_id(F.col("repository_id"), F.col("revision"), F.col("entity_id")),
-        )
+    chunks = chunk_texts(entities, files, maximum_characters)
+    return vectors.with_embedding(chunks, "text", embedder).withColumn(
+        "point_id",
+        ids.vector_id(F.col("repository_id"), F.col("revision"), F.col("entity_id")),
     )
 
 

@@ -298,6 +298,61 @@ def test_recall_scope_and_episode_rules(spark):
     assert [r.episode_id for r in state.recall(memory, asked).orderBy("rank").collect()] == [1, 2]
 
 
+def test_recall_of_a_user_with_most_rows_is_the_best_of_all_pairs(spark):
+    vocabulary = [f"term{k}" for k in range(12)]
+    pick = lambda seed, n: {vocabulary[(seed * 7 + k * k) % 12] for k in range(n)}
+    memory = [(f"e{k}", "hot" if k % 3 else f"u{k % 5}", "r", " ".join(sorted(pick(k, 1 + k % 5))), ["x"], k) for k in range(60)]
+    asked = [(f"q{k}", "hot" if k % 2 else f"u{k % 5}", "r", " ".join(sorted(pick(k + 3, k % 6)))) for k in range(80)]
+    asked += [("none", None, "r", "term1"), ("null", "hot", "r", None)]
+    expected = set()
+    for query, user, _, words in asked:
+        own, scores = set((words or "").split()), []
+        for episode, theirs, _, remembered, _, made in memory:
+            shared = own & set(remembered.split())
+            if user == theirs and shared:
+                scores.append((len(shared) / len(own | set(remembered.split())), made, episode))
+        expected |= {(query, e, rank, round(score, 9)) for rank, (score, _, e) in enumerate(sorted(scores, reverse=True)[:3], 1)}
+    episodes = spark.createDataFrame(memory, "episode_id string, user_id string, repository_id string, query string, entities array<string>, created_at int")
+    questions = spark.createDataFrame(asked, "query_id string, user_id string, repository_id string, query string")
+    got = {(r.query_id, r.episode_id, r["rank"], round(r.score, 9)) for r in state.recall(episodes, questions).collect()}
+    assert got == expected and len(got) > 100
+
+
+def test_a_model_sees_each_text_once_and_is_loaded_once_a_worker(spark, tmp_path):
+    seen = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        import numpy as np
+
+        def model(texts):
+            with open(f"{seen}/{os.getpid()}-{uuid.uuid4().hex}", "w") as out:
+                out.write("\n".join(texts))
+            return np.array([[len(t), t.count("a")] for t in texts], dtype=np.float32)
+
+        open(f"{seen}/loaded-{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return model
+
+    functions = vectors.vectors
+    functions.EMBEDDERS["counting"] = functions.model_embedder("counting", load, rows=3)
+    try:
+        rows = [(k, "a" * (k % 7) if k % 3 else "common a") for k in range(90)] + [(90, None), (91, "")]
+        made = functions.with_embedding(spark.createDataFrame(rows, "id int, text string"), "text", "counting")
+        for _ in range(2):
+            got = {r.id: r.embedding for r in made.collect()}
+        assert got == {k: t if t is None else [len(t), t.count("a")] for k, t in rows}
+        assert made.columns == ["id", "text", "embedding"]
+    finally:
+        del functions.EMBEDDERS["counting"]
+    calls = [p for p in tmp_path.iterdir() if not p.name.startswith("loaded-")]
+    texts = [t for p in calls for t in p.read_text().split("\n")]
+    assert sorted(texts) == sorted({t for _, t in rows if t is not None})
+    loads = [p.name.split("-")[1] for p in tmp_path.iterdir() if p.name.startswith("loaded-")]
+    assert len(loads) == len(set(loads))
+
+
 @pytest.mark.parametrize(
     ("answer", "used", "status", "resolved"),
     [
@@ -358,7 +413,7 @@ def test_folder_scan_keeps_package_markers(spark, tmp_path):
         target = tmp_path / name
         target.parent.mkdir(parents=True, exist_ok=True)
         target.write_bytes(body)
-    files = corpus.source_files(corpus.scan_folder(spark, str(tmp_path), slices=3))
+    files = corpus.source_files(corpus.scan_folder(spark, str(tmp_path)))
     got = sorted((r.origin, r.file_path, r.length) for r in files.collect())
     assert got == [
         ("checkout", "pkg/__init__.py", 0), ("checkout", "pkg/a.py", 2), ("checkout", "pkg/bad.py", 2),
@@ -374,6 +429,29 @@ def test_folder_scan_keeps_package_markers(spark, tmp_path):
     assert [r.message for r in textops.unreadable(files).collect()] == ["Source file is not valid UTF-8"]
 
 
+def test_folder_listing_prunes_and_takes_bytes_into_account(spark, tmp_path):
+    rows = [
+        ("a", None, "x/.git/c.py", "1"), ("a", None, "x/__pycache__/d.py", "2"), ("a", None, "x/y/z/e.py", "33"),
+        ("a", None, "_f.py", ""), ("a", ".r", "g.py", "444"), (".b", None, "h.py", "5"), ("a", "r", "x/venv/i.py", "6"),
+    ]
+    files = spark.createDataFrame(rows, "repository_id string, revision string, file_path string, content string")
+    corpus.write_folder(files, f"file:{tmp_path}")
+    (tmp_path / "a" / "revisions" / "loose.py").write_text("no revision")
+    (tmp_path / "a" / "x" / "loop").symlink_to(tmp_path / "a")
+    got = corpus.list_folder(spark, str(tmp_path))
+    assert sorted((r.repository_id, r.revision or "", r.file_path, r.length) for r in got.collect()) == [
+        (".b", "", "h.py", 1), ("a", "", "_f.py", 0), ("a", "", "x/y/z/e.py", 2), ("a", ".r", "g.py", 3),
+    ]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1b")
+    try:
+        read = corpus.scan_folder(spark, str(tmp_path))
+        assert read.rdd.getNumPartitions() >= 6 and read.count() == 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert corpus.list_folder(spark, str(tmp_path), ".none").count() == 0
+
+
 def test_line_search_limit_and_flag(spark, make_files):
     files = make_files({"b.py": "One\n two ONE \n", "a.py": "none\nx\none"})
     rows = textops.line_search(files, "ONE", 3).collect()
