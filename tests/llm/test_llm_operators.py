@@ -392,6 +392,60 @@ def test_site_template_goes(spark):
     assert extraction.extract(pages.limit(0)).count() == 0
 
 
+def test_templates_match_a_plain_count_of_places(spark):
+    """Flat pages: an element's place is its number among the elements of its class, from either end."""
+    rows, plain = [], {}
+    for i in range(40):
+        parts = [("top", "Best site"), ("story", f"Story {i}"), ("story", "Shared passage" if i % 3 else f"Own {i}")]
+        parts += [("box", "Join us")] * (i < 12) + [("end", "Bye" if i % 4 else "Good bye")]
+        html = "".join(f'<p class="{c}">{t}</p>' for c, t in parts)
+        rows.append((i, f"http://h{i % 2}.example/{i}", f"<body>{html}</body>"))
+        plain[i] = parts
+    placed, fills = {}, {}
+    for i, parts in plain.items():
+        for k, (name, text) in enumerate(parts):
+            front = sum(c == name for c, _ in parts[:k])
+            for place in (front, front - sum(c == name for c, _ in parts)):
+                placed.setdefault((i % 2, name, place), set()).add(i)
+                fills.setdefault((i % 2, name, place, text), set()).add(i)
+    gone = {(h, c, t) for (h, c, p, t), at in fills.items() if len(at) >= 5 and 2 * len(at) >= len(placed[h, c, p])}
+    expected = {i: "\n\n".join(t for c, t in parts if (i % 2, c, t) not in gone) for i, parts in plain.items()}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extraction.extract(pages).collect()} == expected
+    assert {t for _, _, t in gone} >= {"Best site", "Join us", "Bye"}
+    found = extraction.templates(pages)
+    assert found.filter("2 * n < pages or n < 5").count() == 0
+    assert found.select("host", "subtree").distinct().count() == sum(
+        len(at) >= 5 and 2 * len(at) >= len(placed[key[:3]]) for key, at in fills.items()
+    )
+
+
+def test_a_box_in_few_articles_goes_and_a_repeated_passage_stays(spark):
+    def page(i):
+        box = '<div class="lead">Read our letter</div>' if i % 3 == 0 else ""
+        return f"<article>{box}<p>Story {i}</p><p>{'Under the licence.' if i % 2 else f'End {i}'}</p></article>"
+
+    rows = [(i, "http://h.example/", page(i)) for i in range(60)]
+    got = {r.page_id: r.text for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i}\n\n" + ("Under the licence." if i % 2 else f"End {i}") for i in range(60)}
+
+
+def test_article_parts_with_common_class_names_stay_and_hidden_ones_go():
+    assert page_text(
+        '<article><div class="post side">a</div><section class="article header">b</section><div class="search">c</div><p hidden>d</p>'
+        '<p aria-hidden="false" title="a hidden id=comments">e</p><div class="comments-list">f</div><div class="ad">g</div></article>'
+    ) == "a\n\nb\n\nc\n\ne"
+
+
+def test_deep_long_and_repeated_pages(spark):
+    deep = "<div>" * 60_000 + "<p>deep" + "<b>" * 20_000 + "<p></p>" * 20_000 + "</i>" * 20_000 + "end"
+    long = "<p>" + "word " * 400_000 + "</p>"
+    rows = [(1, "u", deep, "x", 1), (2, "u", long, "y", 2), (2, "u", long, "y", 2), (2, "u", "<p>other", None, 3), (None, None, "<p>n", None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, n long")
+    got = sorted((r.page_id or 0, len(r.text), r.text[:5]) for r in extraction.extract(pages).collect())
+    assert got == [(0, 1, "n"), (1, 9, "deep\n"), (2, 5, "other"), (2, 1_999_999, "word "), (2, 1_999_999, "word ")]
+
+
 def test_copies_of_an_article_are_no_template(spark):
     page = "<body><article><p>The same story</p></article></body>"
     pages = spark.createDataFrame([(i, "http://h.example/", page) for i in range(30)], "page_id long, url string, html string")
