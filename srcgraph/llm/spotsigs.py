@@ -1,7 +1,9 @@
 """Document fingerprints: SpotSigs.
 
 A spot is a common word; its signature is the word with the chain of the next ``CHAIN`` content words.
-In a text of at most ``SHORT`` words every word is a spot, since such texts can lack common ones.
+So that texts without common words and short ones have signatures too, each of the first ``HEAD`` words
+and every word whose hash is a multiple of ``EVERY`` is a spot as well. One rule holds for texts of all
+lengths and languages: which words are spots changes by as many words as an edit does.
 The fingerprint is the set of a text's signatures, written as base64 of the sorted 32-bit hashes, so
 no part of a text is left out. Two fingerprints are compared by Jaccard; the set lengths bound it and
 prune pairs before any signature is looked at. ``near_duplicates`` finds all pairs over a threshold:
@@ -13,7 +15,7 @@ range before it too, so one shuffle brings every document next to its successor,
 sorted ranges as a stream.
 
 Defined results: null text is empty; an empty text has an empty fingerprint, and two empty ones are
-alike (1.0); a text without a spot has one signature, the hash of all of it; equal doc_ids are ordered
+alike (1.0); a text too short for one whole chain has one signature, the hash of all of it; equal doc_ids are ordered
 by a hash of their texts; a null doc_id comes first; a lone document is its own successor; an empty
 table gives no rows; other columns are ignored.
 """
@@ -35,7 +37,7 @@ from srcgraph.llm.components import components
 from srcgraph.llm.ngram_join import links
 
 CHAIN = 2
-SHORT = 32
+HEAD, EVERY = 32, 8
 MEMO = 300_000
 MAX_RANGES, RANGE_CHARS = 65_536, 64_000_000
 
@@ -51,12 +53,13 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Words(dict):
-    """Word to its hash; the lowest bit tells a spot."""
+    """Word to its hash; the lowest bit tells a common word, the next one another spot."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO:
             self.clear()
-        h = xxhash.xxh3_64_intdigest(word) & ~1 | (word.decode("utf-8", "replace") in SPOTS)
+        h = xxhash.xxh3_64_intdigest(word)
+        h = h & ~3 | (h // 4 % EVERY == 0) << 1 | (word.decode("utf-8", "replace") in SPOTS)
         self[word] = h
         return h
 
@@ -65,16 +68,15 @@ def signatures(text: str, words: _Words) -> np.ndarray:
     """Sorted distinct 32-bit signatures of the whole text."""
     tokens = text.lower().encode("utf-8", "surrogatepass").translate(None, _PUNCTUATION).split()
     hashes = np.array([words[t] for t in tokens], dtype=np.uint64)
-    spot = (hashes & np.uint64(1)).astype(bool)
-    if len(hashes) <= SHORT:
-        # Every word is a spot, and the words after it its chain, as far as the text goes.
-        padded = np.concatenate((hashes, np.zeros(CHAIN, np.uint64)))
-        content, ahead, spot = padded, np.arange(1, len(hashes) + 1), slice(None)
-    else:
-        content, ahead = hashes[~spot], np.cumsum(~spot)[spot]
+    common = (hashes & np.uint64(1)).astype(bool)
+    spot = (hashes & np.uint64(3)).astype(bool)
+    spot[:HEAD] = True
+    # Where the content words after each spot begin.
+    content, ahead = hashes[~common], np.cumsum(~common)[spot]
     inside = ahead + CHAIN <= len(content)
     ahead = ahead[inside]
-    h = hashes[spot][inside]
+    # Mixed first: a spot can be equal to the word that follows it.
+    h = hashes[spot][inside] * _MIX
     for k in range(CHAIN):
         h = (h ^ content[ahead + k]) * _MIX
         h ^= h >> np.uint64(31)

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from srcgraph.llm import (
@@ -300,6 +301,49 @@ def test_spotsigs_against_plain_python(documents, odd, empty):
             assert r.near_next == pytest.approx(len(mine & after) / len(mine | after) if mine | after else 1.0)
 
 
+def plain_signatures(text):
+    """Chains as tuples of words, from the rule as it is written."""
+    words = [w for w in ("".join(c for c in t if c.isalnum() or ord(c) > 126) for t in text.lower().split()) if w]
+    found = set()
+    for k, word in enumerate(words):
+        sampled = xxhash.xxh3_64_intdigest(word.encode()) // 4 % spotsigs.EVERY == 0
+        if word in spotsigs.SPOTS or sampled or k < spotsigs.HEAD:
+            chain = [w for w in words[k + 1 :] if w not in spotsigs.SPOTS][: spotsigs.CHAIN]
+            if len(chain) == spotsigs.CHAIN:
+                found.add((word, *chain))
+    return found
+
+
+def test_spotsigs_likeness_is_that_of_plain_signatures(documents):
+    words, texts = spotsigs._Words(), [r.text or "" for r in documents.orderBy("doc_id").collect()]
+    for a, b in zip(texts, texts[1:]):
+        changed = a[: len(a) // 2] + b[: len(a) // 4]
+        first, second = plain_signatures(a), plain_signatures(changed)
+        if first and second:
+            got = spotsigs.likeness(spotsigs.signatures(a, words), spotsigs.signatures(changed, words))
+            assert got == pytest.approx(len(first & second) / len(first | second), abs=1e-3)
+
+
+def test_spotsigs_of_one_more_word_are_alike_at_every_length():
+    words = spotsigs._Words()
+    with_common = [f"w{k * k % 97}" if k % 3 else "the" for k in range(400)]
+    without = [f"x{k * k % 89}" for k in range(400)]
+    for source in (with_common, without):
+        for n in range(20, 80):
+            one, two = (spotsigs.signatures(" ".join(source[:m]), words) for m in (n, n + 1))
+            assert spotsigs.likeness(one, two) >= 0.7, n
+            front = spotsigs.signatures("zeta " + " ".join(source[:n]), words)
+            assert spotsigs.likeness(one, front) >= 0.7, n
+    assert len(spotsigs.signatures("a b", words)) == 1 and len(spotsigs.signatures("", words)) == 0
+
+
+def test_spotsigs_of_repeated_ids_follow_each_other(spark):
+    rows = [(7, "one two three"), (7, "one two three"), (7, "four five six seven"), (None, None), (None, "x y z"), (9, "last of all the words")]
+    got = spotsigs.compared(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in got) == sorted((i or 0, len(t or "")) for i, t in rows)
+    assert sum(r.near_next == 1.0 for r in got) >= 1
+
+
 def test_spotsigs_groups(spark):
     rows = variants()
     text = {i: " the ".join(t.split()) for i, t in rows}
