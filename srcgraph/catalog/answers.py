@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcgraph.catalog import query
-from srcgraph.catalog.code import CODE, _expr
+from srcgraph.catalog.code import CODE, DESIGN_SECTION, PATTERN_SECTION, RESOLUTION, _expr
 from srcgraph.catalog.incremental import manifest
 from srcgraph.catalog.retrieval import _chunks
 from srcgraph.catalog.shared import code_index
@@ -40,12 +40,18 @@ def _asked(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _tables(spark: SparkSession, folder: str) -> answering.Index:
+    index = code_index(spark, folder)
+    return answering.Index(
+        index.extents, index.entities, index.edges, index.chunks, index.analyses, index.patterns, pieces=index.pieces
+    )
+
+
 def _answers(spark: SparkSession, folder: str) -> DataFrame:
     """Answered once per session, like the other tables of the index."""
     index = code_index(spark, folder)
     if "answers" not in vars(index):
-        tables = answering.Index(index.files, index.entities, index.edges, index.chunks, index.facts, pieces=index.pieces)
-        index.answers = cut_lineage(answering.answer(_asked(spark, folder), tables))
+        index.answers = cut_lineage(answering.answer(_asked(spark, folder), _tables(spark, folder)))
     return index.answers
 
 
@@ -68,6 +74,130 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Question forms: everything of a file is asked by name; the parent is the class it inherits from.
+_FORMS = {
+    "index": ("Please reindex C", "id", ""),
+    "lookup": ("Where is `C", "id", "`"),
+    "outgoing": ("What calls does `helper_", "id", "` make"),
+    "incoming": ("What depends on `C", "id", "`"),
+    "design": ("Which design pattern does `C", "id", "` use"),
+    "decorators": ("Which decorator does `C", "id", "` use"),
+    "resolved": ("Tell me about `C", "id", "`"),
+    "comparison": ("Compare `C", "id", "` versus `C", "parent", "`"),
+}
+_NONE = "'No matching graph entity was found.'"
+_UNSEEN = "'repository: A prior graph entity result is required for source verification'"
+_GAP = " || chr(10) || chr(10) || "
+_PARENT_FOUND = _expr("pkg.m{parent}.C{parent} (class) at pkg/m{parent}.py:{pe+7}-{pe+25}")
+_OWN_FOUND = _expr("{module}.C{id} (class) at {path}:{e+7}-{e+25}")
+_PARENT_ANSWER = _expr(
+    _ANSWER.replace("{size}", "{psize}").replace("{path}", "pkg/m{parent}.py").replace("{id}", "{parent}").replace("{e+", "{pe+")
+)
+_COMPARED = _expr(
+    "Compared C{id} with C{parent}; found 3 similarities and 2 differences.\n"
+    "Similarities: Both entities are classs. Shared decorators: register. "
+    "They expose the same named parameter interface.\n"
+    "Differences: Their implementations construct or call different collaborators: C{id} uniquely uses helper_{id}, "
+    "while C{parent} uniquely uses helper_{parent}. Their documented roles differ: C{id} — Class {id}; C{parent} — "
+    "Class {parent}."
+)
+_WALKS = f"""
+, edge AS (SELECT DISTINCT repo, kind, source, target FROM (
+    SELECT repository_id AS repo, kind, source_name AS source, target_qualified_name AS target FROM ({RESOLUTION}) WHERE resolved
+    UNION ALL SELECT repo, 'IMPORTS', module, module || '.__import__.' || (e + k) || '.0' FROM good, range(1, 5) AS r(k)
+    UNION ALL SELECT repo, 'IMPORTS', module || '.helper_' || id, module || '.helper_' || id || '.__import__.' || (e + 28) || '.0' FROM good
+    UNION ALL SELECT repo, 'DEPENDS_ON', module, 'pkg.m' || parent || suffix FROM file, LATERAL (VALUES (''), ('.C' || parent)) v(suffix)
+    WHERE parent_ok)),
+step AS (SELECT 'outgoing' AS form, source AS near, target AS far, * FROM edge
+  UNION ALL SELECT 'incoming', target, source, * FROM edge),
+n0 AS (SELECT repo, id, 'outgoing' AS form, module || '.helper_' || id AS node, 1 AS depth FROM good
+  UNION ALL SELECT repo, id, 'incoming', module || '.C' || id, 1 FROM good),
+n1 AS (SELECT DISTINCT repo, id, form, far AS node, 2 AS depth FROM n0 JOIN step USING (repo, form) WHERE near = node),
+n2 AS (SELECT DISTINCT repo, id, form, far AS node, 3 AS depth FROM n1 JOIN step USING (repo, form) WHERE near = node),
+near_node AS (SELECT repo, id, form, node, min(depth) AS depth
+  FROM (FROM n0 UNION ALL FROM n1 UNION ALL FROM n2) GROUP BY ALL),
+walked AS (SELECT repo, id, form, string_agg('- ' || source || ' ' || kind || ' ' || target, chr(10) ORDER BY place) AS lines
+  FROM (SELECT *, row_number() OVER (PARTITION BY repo, id, form ORDER BY depth, source, kind, target) AS place
+    FROM near_node JOIN step USING (repo, form) WHERE near = node) WHERE place <= 10 GROUP BY ALL)
+"""
+
+
+def _form_sql(form: str, answer: str, agents: str, partial: str = "broken", warnings: str = f"CASE WHEN broken THEN {_UNSEEN} ELSE '' END") -> str:
+    return (
+        f"SELECT repo, path, '{form}' AS form, {answer} AS answer, {agents} AS agents_used, {partial} AS partial, "
+        f"{warnings} AS warnings FROM asked"
+    )
+
+
+def _plans_sql() -> str:
+    """What each question form must be answered with, from the documents alone."""
+
+    def seen(section: str) -> str:
+        return f"CASE WHEN broken THEN {_NONE} ELSE {_FOUND}{_GAP}{section} END"
+
+    source = "CASE WHEN broken THEN 'graph' ELSE 'graph,repository,code_analyst' END"
+    walk = "CASE WHEN broken THEN 'graph: A prior graph entity result is required' ELSE '' END"
+    at = {"incoming": _FOUND, "outgoing": _expr("Resolved: {module}.helper_{id} (function) at {path}:{e+27}-{e+31}.")}
+
+    def walked(form: str) -> str:
+        section = f"coalesce('Graph relationships:' || chr(10) || {form}_lines, 'No matching graph relationships were found.')"
+        return f"CASE WHEN broken THEN {_NONE} ELSE {at[form]}{_GAP}{section} END"
+
+    both, one = "NOT broken AND other_ok", "NOT broken OR parent_good"
+    shown = f"CASE WHEN NOT broken AND (other_ok OR NOT parent_good OR parent = id) THEN {_OWN_FOUND} || CASE WHEN other_ok THEN '; ' ELSE '' END ELSE '' END"
+    named = f"'Resolved: ' || {shown} || CASE WHEN parent_good AND parent <> id THEN {_PARENT_FOUND} ELSE '' END || '.'"
+    compared = f"{named} || CASE WHEN {both} THEN {_GAP[4:]}{_COMPARED} || chr(10) || {_expr(_ANSWER)} || chr(10) || {_PARENT_ANSWER} ELSE '' END"
+    selects = [
+        _form_sql(
+            "index", "'I could not gather repository evidence for: Please reindex C' || id", "''", "true",
+            "'indexer: Indexer routing requires an explicit repository path from the gateway'",
+        ),
+        _form_sql("lookup", f"CASE WHEN broken THEN {_NONE} ELSE {_FOUND} END", "'graph'", "false", "''"),
+        _form_sql("outgoing", walked("outgoing"), "'graph'", warnings=walk),
+        _form_sql("incoming", walked("incoming"), "'graph'", warnings=walk),
+        _form_sql("design", seen(DESIGN_SECTION), source),
+        _form_sql("decorators", seen(PATTERN_SECTION), source),
+        _form_sql("resolved", seen(_expr(_ANSWER)), source),
+        _form_sql(
+            "comparison", f"CASE WHEN {one} THEN {compared} ELSE {_NONE} END",
+            f"CASE WHEN {both} THEN 'graph,repository,code_analyst' WHEN {one} THEN 'graph,repository' ELSE 'graph' END",
+            f"NOT ({both})",
+            f"CASE WHEN {both} THEN '' WHEN {one} THEN 'code_analyst: Two resolved graph entities are required for comparison' "
+            f"ELSE {_UNSEEN} END",
+        ),
+    ]
+    asked = """, asked AS (SELECT c.*, p.e AS pe, p.size AS psize, p.id IS NOT NULL AS parent_good,
+    NOT c.broken AND p.id IS NOT NULL AND p.id <> c.id AS other_ok, o.lines AS outgoing_lines, i.lines AS incoming_lines
+  FROM code c LEFT JOIN good p ON p.repo = c.repo AND p.id = c.parent
+  LEFT JOIN walked o ON o.repo = c.repo AND o.id = c.id AND o.form = 'outgoing'
+  LEFT JOIN walked i ON i.repo = c.repo AND i.id = c.id AND i.form = 'incoming')
+"""
+    return CODE + _WALKS + asked + " UNION ALL ".join(selects)
+
+
+@query("answer_plans", _plans_sql())
+def answer_plans(spark: SparkSession, folder: str) -> DataFrame:
+    """Eight questions per file, one for each plan that names what it asks for, dependencies both ways."""
+    number = F.regexp_extract("file_path", "m(\\d+)\\.py$", 1)
+    values = {"id": number, "parent": F.expr("cast(regexp_extract(file_path, 'm([0-9]+)[.]py$', 1) AS bigint) div 2").cast("string")}
+
+    def spoken(form: tuple) -> Column:
+        return F.concat(*[values[part] if part in values else F.lit(part) for part in form])
+
+    forms = F.array(*[F.struct(F.lit(name).alias("form"), spoken(parts).alias("query")) for name, parts in _FORMS.items()])
+    asked = code_index(spark, folder).files.select(
+        "repository_id", "revision", "file_path", F.explode(forms).alias("asked")
+    ).select(
+        F.concat_ws("/", "repository_id", "file_path", "asked.form").alias("query_id"), "asked.query", "repository_id", "revision"
+    )
+    made = answering.answer(asked, _tables(spark, folder))
+    return made.select(
+        F.col("repository_id").alias("repo"), F.regexp_extract("query_id", "/(.+)/", 1).alias("path"),
+        F.substring_index("query_id", "/", -1).alias("form"), "answer",
+        F.array_join("agents_used", ",").alias("agents_used"), "partial", F.array_join("warnings", ",").alias("warnings"),
+    )
+
+
 @query(
     "turn_log",
     CODE

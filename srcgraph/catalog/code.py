@@ -349,7 +349,10 @@ def _strategy() -> object:
     return F.coalesce(F.col("metadata")["resolution_strategy"], F.lit("")).alias("strategy")
 
 
-@query("resolve_repository", _resolution_sql())
+RESOLUTION = _resolution_sql()
+
+
+@query("resolve_repository", RESOLUTION)
 def resolve_repository(spark: SparkSession, folder: str) -> DataFrame:
     """Calls and bases after both passes, with the strategy of the corpus-wide pass."""
     return (
@@ -609,40 +612,44 @@ def entity_summary(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+PATTERN_SECTION = """('Detected 2 decorators.' || chr(10) || '- decorator: C' || id
+  || ' — Uses decorator register. (line ' || (e + 6) || ')' || chr(10)
+  || '- decorator: run — Uses decorator cached(limit). (line ' || (e + 11) || ')')"""
+
+
 @query(
     "pattern_text",
-    CODE
-    + """
-SELECT repo AS repository_id, path AS file_path, 'Detected 2 decorators.' || chr(10) || '- decorator: C' || id
-  || ' — Uses decorator register. (line ' || (e + 6) || ')' || chr(10)
-  || '- decorator: run — Uses decorator cached(limit). (line ' || (e + 11) || ')' AS section FROM good""",
+    CODE + f"SELECT repo AS repository_id, path AS file_path, {PATTERN_SECTION} AS section FROM good",
 )
 def pattern_text(spark: SparkSession, folder: str) -> DataFrame:
     found = facts.patterns(code_index(spark, folder).facts)
     return responses.pattern_text(found, ["repository_id", "file_path"], decorators_only=True)
 
 
+DESIGN_SECTION = f"""({_expr(
+    "Source-grounded core pattern observations:"
+)} || chr(10) || chr(10) || {_expr(
+    "1. **Inheritance-based framework extension:** C{id} Inherits from Base, sibling.Mixin. This lets "
+    "FastAPI reuse Starlette's ASGI foundation while layering API-specific behavior on top. "
+    "[{path}:{e+7}]"
+)} || chr(10) || chr(10) || {_expr(
+    "2. **Decorator-based API evolution:** C{id} Uses decorator register. Decorators attach lifecycle or "
+    "compatibility policy without changing the wrapped callable's core role. [{path}:{e+6}]"
+)} || chr(10) || chr(10) || {_expr(
+    "3. **Asynchronous orchestration (execution model):** Async entry points include step "
+    "[{path}:{e+20}]. This supports non-blocking ASGI request handling; it is an execution style "
+    "rather than a Gang-of-Four design pattern."
+)} || chr(10) || chr(10) || {_expr(
+    "This is a conservative AST-based view of the selected core module, not an exhaustive claim about "
+    "every architectural pattern in the repository."
+)})"""
+
+
 @query(
     "design_pattern_text",
     CODE
-    + f"""
-SELECT repo AS repository_id, path AS file_path, length(section) AS characters, section FROM (SELECT *, {_expr(
-        "Source-grounded core pattern observations:"
-    )} || chr(10) || chr(10) || {_expr(
-        "1. **Inheritance-based framework extension:** C{id} Inherits from Base, sibling.Mixin. This lets "
-        "FastAPI reuse Starlette's ASGI foundation while layering API-specific behavior on top. "
-        "[{path}:{e+7}]"
-    )} || chr(10) || chr(10) || {_expr(
-        "2. **Decorator-based API evolution:** C{id} Uses decorator register. Decorators attach lifecycle or "
-        "compatibility policy without changing the wrapped callable's core role. [{path}:{e+6}]"
-    )} || chr(10) || chr(10) || {_expr(
-        "3. **Asynchronous orchestration (execution model):** Async entry points include step "
-        "[{path}:{e+20}]. This supports non-blocking ASGI request handling; it is an execution style "
-        "rather than a Gang-of-Four design pattern."
-    )} || chr(10) || chr(10) || {_expr(
-        "This is a conservative AST-based view of the selected core module, not an exhaustive claim about "
-        "every architectural pattern in the repository."
-    )} AS section FROM good)""",
+    + f"""SELECT repo AS repository_id, path AS file_path, length(section) AS characters, section
+FROM (SELECT *, {DESIGN_SECTION} AS section FROM good)""",
 )
 def design_pattern_text(spark: SparkSession, folder: str) -> DataFrame:
     found = facts.patterns(code_index(spark, folder).facts)

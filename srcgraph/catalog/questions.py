@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from srcgraph.catalog import query
 from srcgraph.catalog.code import CODE
 from srcgraph.catalog.shared import code_index
-from srcgraph.operators import facts, questions, responses
+from srcgraph.operators import facts, questions, responses, textops
 from srcgraph.sources.adapters import _fill, table, text_files
 
 _LIFE = (
@@ -439,7 +439,7 @@ def verified_hits(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("r1").alias("revision"),
         F.concat("lang", F.lit("/"), "doc_id", suffix).alias("file_path"),
     )
-    return responses.verified_hits(hits, text_files(spark, folder)).select(
+    return responses.verified_hits(hits, textops.file_extents(text_files(spark, folder))).select(
         "query_id", "file_path", "verified_hash", F.col("last_line").cast("bigint").alias("last_line")
     )
 

@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from srcgraph.operators import extract, facts, postings, resolve, vectors
+from srcgraph.operators import extract, facts, postings, resolve, textops, vectors
 from srcgraph.session import cut_lineage
 from srcgraph.sources import adapters
 
@@ -41,6 +41,14 @@ class CodeIndex:
     def analyses(self) -> DataFrame:
         return cut_lineage(facts.analyses(self.facts))
 
+    @cached_property
+    def patterns(self) -> DataFrame:
+        return cut_lineage(facts.patterns(self.facts))
+
+    @cached_property
+    def extents(self) -> DataFrame:
+        return cut_lineage(textops.file_extents(self.files))
+
     @cached_property
     def chunks(self) -> DataFrame:
         return cut_lineage(vectors.index_chunks(self.entities, self.files))

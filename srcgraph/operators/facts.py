@@ -171,8 +171,8 @@ def analyses(facts: DataFrame) -> DataFrame:
 def locate(defined: DataFrame, requests: DataFrame) -> DataFrame:
     """Find definitions by simple or in-file name: found, missing or ambiguous per request.
 
-    ``requests``: request_id, FILE, name, allowed (``class``, ``function`` or ``any``). Only
-    definitions nested directly in one another can be named. Many requests may ask for one name, so
+    ``defined``: rows of ``definitions`` or of stored ``analyses``. ``requests``: request_id, FILE, name,
+    allowed (``class``, ``function`` or ``any``). Only definitions nested directly in one another can be named. Many requests may ask for one name, so
     they are spread by request.
     """
     # A top-level definition has one name, a nested one two.

@@ -24,6 +24,11 @@ def has_reference(question: Column) -> Column:
     return F.lower(question).rlike(rules.REFERENCE_WORDS)
 
 
+def asks_incoming(question: Column) -> Column:
+    """Whether a dependency question asks for what depends on the entity, not for what it depends on."""
+    return F.lower(question).rlike(rules.INCOMING_WORDS)
+
+
 def _names(found: Column) -> Column:
     """Drop stop words, normalise the framework's name, keep first occurrences."""
     kept = F.filter(found, lambda name: ~name.isin(*rules.STOP_WORDS))

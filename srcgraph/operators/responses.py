@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from srcgraph import rules
 from srcgraph.functions import text
-from srcgraph.operators.textops import readable
 from srcgraph.session import SCOPE, lookup_join, top_per
 
 # How much of each list a rendered answer shows.
@@ -51,19 +50,15 @@ def enrich_provenance(evidence: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
-def verified_hits(
-    hits: DataFrame, files: DataFrame, limit: int = VERIFIED_HITS, maximum_bytes: int | None = None
-) -> DataFrame:
+def verified_hits(hits: DataFrame, extents: DataFrame, limit: int = VERIFIED_HITS) -> DataFrame:
     """First hits per question joined to their file: whole-file location and hash.
 
-    Files of any size are verified unless a bound is given.
+    ``extents``: hash and last line of every file (``textops.file_extents``), stored by the index job, so
+    that no source text is read to answer.
     """
     first = top_per(hits, ["query_id"], [F.col("position")], limit).drop("rank")
-    located = readable(files, maximum_bytes).select(
-        *SCOPE,
-        "file_path",
-        F.col("content_hash").alias("verified_hash"),
-        F.greatest(F.lit(1), F.size(text.lines(F.col("content")))).alias("last_line"),
+    located = extents.select(
+        *SCOPE, "file_path", F.col("content_hash").alias("verified_hash"), "last_line"
     )
     # A popular file is hit by many questions; its rows are spread by question.
     return lookup_join(first, located, [*SCOPE, "file_path"], ["query_id", "position"], "left")

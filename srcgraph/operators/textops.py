@@ -39,6 +39,17 @@ def unreadable(files: DataFrame, maximum_bytes: int | None = rules.MAXIMUM_FILE_
     )
 
 
+def file_extents(files: DataFrame, maximum_bytes: int | None = None) -> DataFrame:
+    """Hash and last line of every readable file: what verifying a hit needs of its source.
+
+    Files of any size are measured unless a bound is given.
+    """
+    return readable(files, maximum_bytes).select(
+        *FILE, "content_hash",
+        F.greatest(F.lit(1), F.size(text.lines(F.col("content")))).alias("last_line"),
+    )
+
+
 def safe_paths(files: DataFrame) -> DataFrame:
     return files.filter(safe_relative(F.col("file_path")))
 

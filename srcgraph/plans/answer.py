@@ -32,16 +32,29 @@ CANDIDATES, SEARCH_HITS, DEPTH, ANALYSED, ANSWER = 10, 10, 3, 6, 5_000
 
 @dataclass(frozen=True)
 class Index:
-    """Tables a question is answered from (see plans.index); ``facts`` are the syntax facts, ``pieces`` the stored name index."""
+    """Tables a question is answered from, as the index job stores them (see plans.index).
 
-    files: DataFrame
+    Source text is not among them: ``extents`` has hash and last line of every file, ``analyses`` and
+    ``patterns`` what the structural analysis says of each definition and file. ``pieces`` is the stored
+    name index; without it one is built.
+    """
+
+    extents: DataFrame
     entities: DataFrame
     edges: DataFrame
     chunks: DataFrame
-    facts: DataFrame
+    analyses: DataFrame
+    patterns: DataFrame
     preferred_prefix: str = ""
     pieces: PieceIndex | None = None
 
+    @classmethod
+    def stored(cls, tables: dict[str, DataFrame], preferred_prefix: str = "") -> Index:
+        """The index of published tables (``plans.index.load``), all revisions in it."""
+        names = ("extents", "entities", "edges", "chunks", "analyses", "patterns")
+        pieces = PieceIndex(tables["names"], tables["postings"])
+        return cls(*[tables[name] for name in names], preferred_prefix=preferred_prefix, pieces=pieces)
+
 
 def _hits(analysed: DataFrame, index: Index, plans: set[str]) -> DataFrame:
     """Graph hits in order per question (query_id, position, entity columns, requested_name)."""
@@ -101,7 +114,7 @@ def _located(hits: DataFrame, index: Index) -> DataFrame:
         "request_id", "query_id", F.col("rank").alias("position"), *FILE,
         F.col("requested_name").alias("name"), F.lit("any").alias("allowed"),
     )
-    return analysis.locate(analysis.definitions(index.facts), requests)
+    return analysis.locate(index.analyses, requests)
 
 
 def _explained(located: DataFrame, analyses: DataFrame) -> DataFrame:
@@ -128,7 +141,7 @@ def _pattern_sections(hits: DataFrame, analysed: DataFrame, index: Index) -> Dat
     """Pattern text of the file of each question's first hit."""
     first = top_per(hits, ["query_id"], [F.col("position"), F.col("id")], 1).select("query_id", *FILE)
     asked = first.join(analysed.select("query_id", F.lower("query").alias("lowered")), "query_id")
-    found = asked.join(analysis.patterns(index.facts), FILE)
+    found = asked.join(index.patterns, FILE)
     design = F.contains("lowered", F.lit("design pattern"))
     decorator = F.contains("lowered", F.lit("decorator"))
     keys = ["query_id", "file_path"]
@@ -177,22 +190,18 @@ def answer(asked: DataFrame, index: Index) -> DataFrame:
     """Responses for questions (query_id, query, repository_id, revision and optional session
     context: active_entities, recalled_entities)."""
     analysed = cut_lineage(
-        questions.analyse(asked).withColumn(
-            "plan", questions.plan_name(F.col("intent"), F.col("entities"))
-        )
+        questions.analyse(asked)
+        .withColumn("plan", questions.plan_name(F.col("intent"), F.col("entities")))
+        .withColumn("incoming", questions.asks_incoming(F.col("query")))
     )
-    # At most nine plans exist; branches no question needs are not built at all.
+    # At most nine plans in two directions exist; branches no question needs are not built at all.
     traced = responses.wants_stage_trace(F.col("query"))
-    kinds = analysed.groupBy("plan").agg(F.bool_or(traced).alias("traced")).collect()
+    kinds = analysed.groupBy("plan", "incoming").agg(F.bool_or(traced).alias("traced")).collect()
     plans = {row.plan for row in kinds}
     hits = cut_lineage(_hits(analysed, index, plans))
     located = cut_lineage(_located(hits, index))
-    wanted = located.select(*FILE, "definition").filter(F.col("definition").isNotNull()).distinct()
-    analyses = cut_lineage(
-        analysis.analyses(
-            index.facts.join(wanted.select(*FILE).distinct(), FILE, "left_semi")
-        )
-    )
+    wanted = located.filter(F.col("definition").isNotNull()).select(*FILE, "definition").distinct()
+    analyses = cut_lineage(index.analyses.join(wanted, [*FILE, "definition"], "left_semi"))
 
     searching = F.col("plan").isin("discovery", "search")
     scoped = F.col("repository_id").isNotNull() & F.col("revision").isNotNull()
@@ -221,12 +230,13 @@ def answer(asked: DataFrame, index: Index) -> DataFrame:
     ]
 
     if "traverse" in plans:
-        outputs.append(_walked(base, hits, index))
+        ways = sorted({row.incoming for row in kinds if row.plan == "traverse"})
+        outputs.append(_walked(base, hits, index, ways))
 
     sourced = base.filter(
         F.col("found") & ~F.col("plan").isin("index", "lookup", "traverse")
     )
-    verified = responses.verified_hits(hits, index.files)
+    verified = responses.verified_hits(hits, index.extents)
     missing = verified.groupBy("query_id").agg(
         F.bool_and(F.col("verified_hash").isNotNull()).alias("verified")
     )
@@ -281,24 +291,28 @@ def answer(asked: DataFrame, index: Index) -> DataFrame:
     )
 
 
-def _walked(base: DataFrame, hits: DataFrame, index: Index) -> DataFrame:
-    """Output rows of the dependency walk from each question's first hit."""
+def _walked(base: DataFrame, hits: DataFrame, index: Index, ways: list[bool]) -> DataFrame:
+    """Output rows of the dependency walk from each question's first hit, against the edges where ``incoming``."""
     walked = base.filter("plan = 'traverse' and found")
     first = top_per(hits, ["query_id"], [F.col("position"), F.col("id")], 1)
     # An id is the same in every revision, so nodes carry their revision and walks stay inside it.
     def node(column: str) -> Column:
         return F.concat_ws("|", "revision", column)
 
-    roots = first.join(walked.select("query_id"), "query_id", "left_semi").select(
-        "query_id", node("id").alias("root")
+    roots = first.join(walked.select("query_id", "incoming"), "query_id").select(
+        "query_id", "incoming", node("id").alias("root")
     )
     edges = index.edges.withColumns(
         {"source_id": node("source_id"), "target_id": node("target_id")}
     )
-    relations = traverse.dependencies(edges, roots.select("root").distinct(), DEPTH)
+    found = []
+    for incoming in ways:
+        walk = traverse.dependents if incoming else traverse.dependencies
+        asked = roots.filter(F.col("incoming") == incoming)
+        found.append(walk(edges, asked.select("root").distinct(), DEPTH).join(asked, "root"))
     names = index.entities.select(node("id").alias("id"), "qualified_name")
     relations = (
-        relations.join(roots, "root")
+        reduce(DataFrame.unionByName, found)
         .join(names.toDF("source_id", "source_name"), "source_id")
         .join(names.toDF("target_id", "target_name"), "target_id")
         .withColumn("position", F.struct("depth", "source_name", "kind", "target_name"))
@@ -332,9 +346,9 @@ def _traces(analysed: DataFrame, located: DataFrame, analyses: DataFrame) -> Dat
     return responses.stage_trace(shown).withColumnRenamed("answer", "trace")
 
 
-def evidence(responses_made: DataFrame, hits: DataFrame, files: DataFrame) -> DataFrame:
+def evidence(responses_made: DataFrame, hits: DataFrame, extents: DataFrame) -> DataFrame:
     """Graph and source evidence of each question's hits, without repeats."""
-    verified = responses.verified_hits(hits, files).filter(F.col("verified_hash").isNotNull())
+    verified = responses.verified_hits(hits, extents).filter(F.col("verified_hash").isNotNull())
     graph = hits.select(
         F.col("query_id").alias("response_id"), F.col("position"), F.lit("graph").alias("kind"),
         F.col("id").alias("entity_id"), F.lit(None).cast("string").alias("file_path"),

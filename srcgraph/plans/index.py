@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from srcgraph import rules
 from srcgraph.functions import ids
-from srcgraph.operators import extract, incremental, postings, resolve, textops, upsert, vectors
+from srcgraph.operators import extract, facts as structure, incremental, postings, resolve, textops, upsert, vectors
 from srcgraph.session import SCOPE, cut_lineage
 from srcgraph.sources import tables
 
@@ -70,6 +70,9 @@ def index_revision(
     Only changed files are parsed and embedded. References of every file are resolved again, since
     a definition elsewhere may have come, gone or become ambiguous. A repository with a file that
     does not parse keeps its stored state; only its failed job row is published.
+
+    Extents, analyses and patterns of every file are published too: what answering needs of source text
+    (see plans.answer). Those of unchanged files are carried; a full job writes all of them anew.
     """
     safe = textops.safe_paths(files)
     good = textops.readable(safe, None)
@@ -102,6 +105,13 @@ def index_revision(
         _with(fresh_references, _carried(stored("references"), kept))
     )
     edges = resolve.resolve(references, entities)
+    definitions = {
+        "extents": _with(
+            textops.file_extents(good.join(pending, PATH, "left_semi")), _carried(stored("extents"), kept)
+        ),
+        "analyses": _with(structure.analyses(facts), _carried(stored("analyses"), kept)),
+        "patterns": _with(structure.patterns(facts), _carried(stored("patterns"), kept)),
+    }
 
     stored_chunks = stored("chunks")
     same_content = diff.filter("same_content").select(*PATH, "source_revision").join(
@@ -144,7 +154,8 @@ def index_revision(
     )
     _publish(
         spark, root, request, done,
-        {"entities": entities, "references": references, "edges": edges, "chunks": chunks, "issues": issues},
+        {"entities": entities, "references": references, "edges": edges, "chunks": chunks, "issues": issues}
+        | definitions,
     )
     _publish_state(spark, root, request, done, jobs, upsert.put_manifest(manifest, entries, gone), markers)
     return jobs

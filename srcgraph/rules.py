@@ -50,6 +50,13 @@ INTENT_PHRASES = [
 ]
 DEFAULT_INTENT = "general"
 
+# Direction of a dependency question: those that match ask what points at the named entity.
+INCOMING_WORDS = (
+    r"\b(?:what|who|everything that|(?:which|all) \w+(?: that)?)\s+"
+    r"(?:depends?\s+on|calls?|imports?|inherits?\s+from)\s+(?!(?:does|do|is|are)\b)"
+    r"|\b(?:dependents|callers|importers|subclasses)\s+of\b"
+)
+
 # Capitalised words that are not symbols, and the framework name in its usual spelling.
 STOP_WORDS = [
     "What", "Where", "How", "Show", "Find", "Explain", "Compare", "Python", "HTTP",

@@ -21,6 +21,9 @@ LAYOUT = {
     "references": (SCOPE, ["file_path"]),
     "edges": (SCOPE, ["source_id"]),
     "chunks": (SCOPE, ["file_path"]),
+    "extents": (SCOPE, ["file_path"]),
+    "analyses": (SCOPE, ["file_path", "definition"]),
+    "patterns": (SCOPE, ["file_path"]),
     "names": (SCOPE, ["number"]),
     "postings": (SCOPE, ["piece", "block"]),
     "issues": (SCOPE, []),

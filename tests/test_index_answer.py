@@ -1,14 +1,16 @@
 """Indexing job and answering plan end to end."""
 
+import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from srcgraph.operators import extract, questions, upsert
-from srcgraph.operators.postings import PieceIndex
+from srcgraph.operators import extract, facts as structure, questions, resolve, textops, upsert
+from srcgraph.operators.vectors import index_chunks
 from srcgraph.plans import answer as answering
 from srcgraph.plans import index as indexing
+from srcgraph.session import cut_lineage
 from srcgraph.sources import tables
 
 FIRST = {
@@ -146,18 +148,15 @@ QUESTIONS = [
     (5, "how are things built"),
     (6, "please reindex all"),
     (7, "Show the implementation of Nothing"),
+    (8, "What depends on `Base`"),
+    (9, "Who calls `helper`?"),
+    (10, "What calls `open`"),
 ]
 
 
-def test_answers(spark, make_files, indexed):
-    files = make_files(SECOND, revision="two")
-    current = indexing.load(spark, indexed[0])
-    here = F.col("revision") == "two"
-    index = answering.Index(
-        files=files, entities=current["entities"].filter(here), edges=current["edges"].filter(here),
-        chunks=current["chunks"].filter(here), facts=extract.syntax_facts(files),
-        pieces=PieceIndex(current["names"].filter(here), current["postings"].filter(here)),
-    )
+def test_answers(spark, indexed):
+    """From the published tables alone, with both revisions in them."""
+    index = answering.Index.stored(indexing.load(spark, indexed[0]))
     asked = spark.createDataFrame(
         [(i, q, "demo", "two") for i, q in QUESTIONS],
         "query_id int, query string, repository_id string, revision string",
@@ -171,6 +170,11 @@ def test_answers(spark, make_files, indexed):
     assert "Inheritance-based framework extension" in got[3].answer
     assert "- app.shop.Shop.open CALLS app.base.build" in got[4].answer
     assert "- app.shop.Shop.open CALLS app.extra.helper" in got[4].answer
+    # What points at the entity, and nothing that it points at.
+    assert "- app.shop.Shop INHERITS_FROM app.base.Base" in got[8].answer and got[8].plan == "traverse"
+    assert "CALLS" not in got[8].answer
+    assert "- app.shop.Shop.open CALLS app.extra.helper" in got[9].answer and "build" not in got[9].answer
+    assert got[10].answer.endswith("No matching graph relationships were found.")
     assert got[5].plan == "discovery" and got[5].answer.startswith("Resolved: ")
     assert got[6].partial and got[6].answer == "I could not gather repository evidence for: please reindex all"
     assert got[7].partial and "repository: A prior graph entity result is required for source verification" in got[7].warnings
@@ -185,11 +189,58 @@ def test_answers(spark, make_files, indexed):
         ),
         answers,
     )
-    assert log["turns"].count() == 16
+    assert log["turns"].count() == 22
     assert "query" not in log["audits"].columns
     assert log["episodes"].filter("partial").count() == 2
 
 
+def test_stored_definitions_equal_those_of_the_source(spark, make_files, indexed):
+    """Carried and fresh rows together are what the revision's files say."""
+    files = make_files(SECOND, revision="two")
+    facts = extract.syntax_facts(files)
+    made = {"extents": textops.file_extents(files), "analyses": structure.analyses(facts), "patterns": structure.patterns(facts)}
+    current = indexing.load(spark, indexed[0])
+    for name, want in made.items():
+        columns = sorted(want.columns)
+        assert content(current[name].filter("revision = 'two'"), columns) == content(want, columns), name
+
+
+def test_answering_reads_no_source_text(spark, make_files, monkeypatch):
+    """Every plan that is cut or returned, on an index that was made from files."""
+    files = make_files(SECOND)
+    facts = extract.syntax_facts(files)
+    entities = resolve.distinct_entities(extract.entities(facts))
+    edges = resolve.resolve(extract.references(facts), entities)
+    chunks = index_chunks(entities, files)
+    index = answering.Index(
+        *map(cut_lineage, (textops.file_extents(files), entities, edges, chunks, structure.analyses(facts), structure.patterns(facts)))
+    )
+    plans = []
+
+    def spied(frame):
+        plans.append(frame._jdf.queryExecution().toString())
+        return cut_lineage(frame)
+
+    monkeypatch.setattr(answering, "cut_lineage", spied)
+    asked = spark.createDataFrame(
+        [(i, q, "demo", "one") for i, q in QUESTIONS], "query_id int, query string, repository_id string, revision string"
+    )
+    plans.append(answering.answer(asked, index)._jdf.queryExecution().toString())
+    assert len(plans) > 4 and not any(re.search(r"\bcontent#", plan) for plan in plans)
+
+
+@pytest.mark.parametrize(
+    ("text", "incoming"),
+    [
+        ("What depends on Widget?", True), ("which modules import `os`", True), ("Which classes inherit from `Base`?", True),
+        ("Who calls run?", True), ("list the callers of `run`", True), ("What calls does `run` make", False),
+        ("What does Widget depend on?", False), ("Which imports does `app` have", False), ("show imports of `app`", False),
+    ],
+)
+def test_direction(spark, text, incoming):
+    assert spark.range(1).select(questions.asks_incoming(F.lit(text))).first()[0] == incoming
+
+
 @pytest.mark.parametrize(
     ("text", "intent"),
     [
