@@ -673,7 +673,7 @@ def _body(kind: str, name: str, first: int, last: int) -> str:
     )
 
 
-_BODIES = " UNION ALL ".join(_body(*row) for row in _DEFINITIONS)
+BODIES = " UNION ALL ".join(_body(*row) for row in _DEFINITIONS)
 
 
 @query(
@@ -681,7 +681,7 @@ _BODIES = " UNION ALL ".join(_body(*row) for row in _DEFINITIONS)
     CODE
     + f"""
 SELECT repo AS repository_id, path AS file_path, kind, qualified_name, length(body) AS characters,
-       sha256(body) AS text_hash FROM ({_BODIES})""",
+       sha256(body) AS text_hash FROM ({BODIES})""",
 )
 def chunk_text(spark: SparkSession, folder: str) -> DataFrame:
     """Embedding text of every definition of each file."""
@@ -712,7 +712,7 @@ def file_results(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "embed_chunks",
     CODE
-    + f""", chunk AS ({_BODIES}),
+    + f""", chunk AS ({BODIES}),
 slot AS (SELECT repo, path, kind, qualified_name, ('0x' || substr(md5(token), 1, 4))::INTEGER % 64 AS slot, count(*) AS c
   FROM (SELECT *, unnest(regexp_extract_all(lower(body), '[a-z_][a-z0-9_]*|[0-9]+')) AS token FROM chunk) GROUP BY ALL)
 SELECT repo AS repository_id, path AS file_path, kind, qualified_name, 64 AS dimension,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcgraph.catalog import query
+from srcgraph.catalog.code import BODIES, ENTITY_CTE
 from srcgraph.functions import ids
 from srcgraph.operators import cells, hybrid, lookup, vectors
 from srcgraph.session import cut_lineage
@@ -338,7 +339,39 @@ def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("hybrid_search")
+# Vectors are stored as 32-bit floats, so SQL rounds them likewise; scores tie at nine places.
+_HYBRID = (
+    ENTITY_CTE
+    + f""", asked AS (SELECT eid AS query_id, repo, qualified_name AS query FROM entity WHERE kind = 'class'),
+chunk AS (SELECT eid, repo, qualified_name, body FROM ({BODIES}) JOIN entity USING (repo, path, kind, qualified_name)),
+token AS (SELECT 'c' AS side, eid AS k, repo, unnest(regexp_extract_all(lower(body), '[a-z_][a-z0-9_]*|[0-9]+')) AS t FROM chunk
+  UNION ALL SELECT 'q', query_id, repo, unnest(regexp_extract_all(lower(query), '[a-z_][a-z0-9_]*|[0-9]+')) FROM asked),
+counted AS (SELECT side, k, repo, ('0x' || substr(md5(t), 1, 4))::INTEGER % 64 AS slot, count(*) AS c FROM token GROUP BY ALL),
+scaled AS (SELECT side, k, repo, slot, (c / sqrt(sum(c * c) OVER (PARTITION BY side, k)))::FLOAT::DOUBLE AS x FROM counted),
+vector AS (SELECT side, k, repo, list_transform(range(64), lambda i: coalesce(map_from_entries(list((slot, x)))[i::INTEGER], 0.0::DOUBLE)) AS v
+  FROM scaled GROUP BY side, k, repo),
+near AS (SELECT * FROM (SELECT q.k AS query_id, c.k AS entity_id, round(list_cosine_similarity(q.v, c.v), 9) AS score,
+    row_number() OVER (PARTITION BY q.k ORDER BY round(list_cosine_similarity(q.v, c.v), 9) DESC, c.k) AS place
+  FROM vector q JOIN vector c USING (repo) WHERE q.side = 'q' AND c.side = 'c') WHERE place <= 50),
+name AS (SELECT DISTINCT query_id, lower(w) AS w FROM (SELECT query_id, unnest(regexp_extract_all(query, '[A-Za-z_][A-Za-z0-9_]+')) AS w FROM asked)
+  WHERE length(w) > 3),
+relevant AS (SELECT near.query_id, entity_id, score, count(w) FILTER (contains(lower(qualified_name || ' ' || body), w)) AS relevance
+  FROM near JOIN chunk ON chunk.eid = entity_id LEFT JOIN name USING (query_id) GROUP BY ALL),
+part AS (
+  SELECT query_id, entity_id, 1 AS position, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, score DESC, entity_id) AS rank FROM relevant
+  UNION ALL FROM (SELECT query_id, eid AS entity_id, 0 AS position, row_number() OVER (PARTITION BY query_id ORDER BY
+      CASE WHEN qualified_name = query THEN 0 WHEN name = query THEN 1 ELSE 2 END, qualified_name, eid) AS rank
+    FROM asked JOIN entity USING (repo) WHERE contains(lower(qualified_name), lower(query)) OR contains(lower(name), lower(query))) WHERE rank <= 10),
+fused AS (SELECT query_id, entity_id, min(position * 1000 + rank) AS seen,
+    string_agg(CASE position WHEN 0 THEN 'exact' ELSE 'semantic' END, '+' ORDER BY position) AS sources,
+    coalesce(sum(1.0::DOUBLE / (60 + rank)) FILTER (position = 0), 0) + coalesce(sum(1.0::DOUBLE / (60 + rank)) FILTER (position = 1), 0) AS total
+  FROM part GROUP BY ALL)
+SELECT query_id, entity_id, round(total, 6) AS score, sources, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+  ORDER BY total DESC, seen, entity_id) AS rank FROM fused) WHERE rank <= 5"""
+)
+
+
+@query("hybrid_search", _HYBRID)
 def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     """End to end over the code corpus: every class name asked of its own repository."""
     from srcgraph.catalog.shared import code_index
@@ -350,5 +383,5 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     found = hybrid.hybrid_search(index.entities, index.chunks, questions, 5, pieces=index.pieces)
     return found.select(
         "query_id", "entity_id", F.round("score", 6).alias("score"),
-        F.array_join("sources", "+").alias("sources"), "rank",
+        F.array_join("sources", "+").alias("sources"), F.col("rank").cast("bigint").alias("rank"),
     )

@@ -182,10 +182,8 @@ def _publish(spark: SparkSession, root: str, request: IndexRequest, done: DataFr
     fresh["graph_edges"] = cut_lineage(upsert.upsert_edges(links.limit(0), links, graph, external))
     member = ids.revision_id(F.col("repository_id"), F.col("revision"))
     fresh["memberships"] = fresh["entities"].select(*SCOPE, F.col("id").alias("entity_id"), member.alias("revision_id")).distinct()
-    for name, frame in fresh.items():
-        tables.replace(spark, root, name, frame, done, request.job_id)
-    tables.replace(spark, root, "graph_entities", graph, done, request.job_id)
-    tables.replace(spark, root, "external", external, done, request.job_id)
+    fresh |= {"graph_entities": graph, "external": external}
+    tables.replace_all(spark, root, fresh, done, request.job_id)
 
 
 def _publish_state(
@@ -198,8 +196,7 @@ def _publish_state(
     }
     stored = tables.get(spark, root, "jobs", jobs)
     every = cut_lineage(jobs if stored is None else upsert.merge_by_key(stored, jobs, ["id", *SCOPE]))
-    for name, frame in state.items():
-        tables.replace(spark, root, name, frame, done, request.job_id)
+    tables.replace_all(spark, root, state, done, request.job_id)
     tables.replace(spark, root, "jobs", every, jobs, request.job_id)
 
 

@@ -8,6 +8,9 @@ replaces partitions that have become empty and tells a replayed stream batch fro
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +38,8 @@ LAYOUT = {
     "revisions": (REPOSITORY, []),
     "jobs": (REPOSITORY, []),
 }
+#: Tables written at a time: each write is a few short stages, which leave most of a cluster idle.
+WRITERS = 4
 PART, BATCH, LIVE = "_part", "_batch", "_live"
 
 
@@ -93,6 +98,15 @@ def replace(
     )
 
 
+def replace_all(
+    spark: SparkSession, root: str, rows: dict[str, DataFrame], scopes: DataFrame, batch: str = ""
+) -> None:
+    """``replace`` of several tables whose writes do not wait for each other; returns when all are written."""
+    write = inheritable_thread_target(lambda name: replace(spark, root, name, rows[name], scopes, batch))
+    with ThreadPoolExecutor(WRITERS) as pool:
+        list(pool.map(write, rows))
+
+
 def written_by(spark: SparkSession, root: str, name: str, batch: str) -> DataFrame | None:
     """Partitions that ``batch`` wrote last."""
     stored = _stored(spark, root, name)
