@@ -102,7 +102,7 @@ def replace_all(
     spark: SparkSession, root: str, rows: dict[str, DataFrame], scopes: DataFrame, batch: str = ""
 ) -> None:
     """``replace`` of several tables whose writes do not wait for each other; returns when all are written."""
-    write = inheritable_thread_target(lambda name: replace(spark, root, name, rows[name], scopes, batch))
+    write = inheritable_thread_target(spark)(lambda name: replace(spark, root, name, rows[name], scopes, batch))
     with ThreadPoolExecutor(WRITERS) as pool:
         list(pool.map(write, rows))
 
