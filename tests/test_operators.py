@@ -182,6 +182,29 @@ def test_find_entity_by_brute_force(spark):
         assert got.get(query, []) == [i for _, _, i in want], name
 
 
+def test_longer_names_read_no_postings(spark):
+    """Names of four letters and more are found by their ends: with empty postings, at every length, hot or in one scope."""
+    from dataclasses import replace
+
+    from srcgraph.operators import postings
+
+    names = [f"part_{i % 7}_of_{'x' * (i % 40)}{i}" for i in range(300)]
+    rows = [(f"e{i:03d}", "class", n, f"pkg.{n}" if i % 2 else None, f"r{i % 2}", "one") for i, n in enumerate(names)]
+    columns = "id string, kind string, name string, qualified_name string, repository_id string, revision string"
+    entities = spark.createDataFrame(rows, columns).cache()
+    asked = ["PART", "part_1", "pkg.", "xxxxx29", "of_" + "x" * 30, names[39], f"pkg.{names[199]}", "x" * 39, "no part_1", names[7][:-1] + "?"]
+    queries = spark.createDataFrame([(f"q{i}", n, f"r{i % 2}", "one") for i, n in enumerate(asked)], "query_id string, name string, repository_id string, revision string")
+    index = postings.build(entities)
+    index = replace(index, postings=index.postings.limit(0))
+    for scoped in (False, True):
+        got = {(r.q, r.id) for r in lookup.contains_matches(index, queries, scoped).select("query.query_id", "id").toDF("q", "id").collect()}
+        want = {
+            (f"q{k}", i) for k, n in enumerate(asked) for i, _, name, qualified, repository, _ in rows
+            if (n.lower() in name or n.lower() in (qualified or "")) and (not scoped or repository == f"r{k % 2}")
+        }
+        assert got == want
+
+
 def test_cells_find_what_exact_search_finds(spark, monkeypatch):
     """Clustered vectors need few cells for the wanted recall, all cells give the exact result, a hot cell is cut to blocks."""
     monkeypatch.setattr(vectors, "CHUNK_BLOCK", 40)
