@@ -205,6 +205,23 @@ def test_longer_names_read_no_postings(spark):
         assert got == want
 
 
+def test_block_hits_carry_no_ids(spark):
+    """What blocks shuffle are numbers: long ids of any type cost nothing there, and ties still go by id."""
+    rows = [("r", "one", f"{'long' * 40}{i:03d}", [1.0, float(i % 2)]) for i in range(40)]
+    chunks = spark.createDataFrame(rows, "repository_id string, revision string, entity_id string, embedding array<float>")
+    asked = chunks.limit(3).select(F.struct("entity_id").alias("query_id"), "repository_id", "revision", "embedding")
+    found = vectors.cosine_top_k(chunks, asked, 4)
+    shown = found._jdf.queryExecution().optimizedPlan().toString()
+    grouped = next(line for line in shown.splitlines() if "FlatMapCoGroupsInPandas" in line)
+    assert "entity_id" not in grouped and "query_id" not in grouped
+    got = {}
+    for r in found.orderBy("rank").collect():
+        got.setdefault(r.query_id.entity_id, []).append(r.entity_id)
+    assert len(got) == 3
+    for query, hits in got.items():
+        assert hits == [e for _, _, e, _ in rows if int(e[-3:]) % 2 == int(query[-3:]) % 2][:4]
+
+
 def test_cells_find_what_exact_search_finds(spark, monkeypatch):
     """Clustered vectors need few cells for the wanted recall, all cells give the exact result, a hot cell is cut to blocks."""
     monkeypatch.setattr(vectors, "CHUNK_BLOCK", 40)
