@@ -112,7 +112,7 @@ FROM ({_rows(_MODULE_IMPORTS, _EDGE_COLUMNS)})""",
 def trace_imports(spark: SparkSession, folder: str) -> DataFrame:
     """Import edges reached from every module of the code corpus."""
     index = code_index(spark, folder)
-    modules = index.entities.filter(F.col("kind") == "module").select(
+    modules = index.entities_of("module").select(
         F.col("qualified_name").alias("module")
     )
     found = traverse.trace_imports(index.edges, index.entities, modules, 3)
@@ -141,7 +141,7 @@ FROM walk w JOIN link l ON l.repo = w.repo AND l.id = w.id WHERE w.d < 5 GROUP B
 def class_ancestry(spark: SparkSession, folder: str) -> DataFrame:
     """Base classes of every class, five steps, over the resolved code graph."""
     index = code_index(spark, folder)
-    classes = index.entities.filter(F.col("kind") == "class")
+    classes = index.entities_of("class")
     found = traverse.find_related(
         index.edges, classes.select(F.col("id").alias("root")), "INHERITS_FROM", 5
     )

@@ -377,7 +377,7 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     from srcgraph.catalog.shared import code_index
 
     index = code_index(spark, folder)
-    questions = index.entities.filter(F.col("kind") == "class").select(
+    questions = index.entities_of("class").select(
         F.col("id").alias("query_id"), "repository_id", "revision", F.col("qualified_name").alias("query")
     )
     found = hybrid.hybrid_search(index.entities, index.chunks, questions, 5, pieces=index.pieces)
