@@ -18,6 +18,7 @@ repeated rows are packed each; an empty table gives no rows; other columns are i
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,6 +34,9 @@ WINDOW = 4096
 END = 2
 MEMO = 300_000
 TOKENIZER = "word_bpe_49k.json"
+#: Latin letters and signs after them: the vocabulary takes each of the two as one word, so their ids can be joined.
+_LETTERS = re.compile("([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+_END_OF_WORD = "</w>"
 
 PIECES = (
     "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -52,7 +56,9 @@ class _Ids:
 
     Runs seen so far are kept: ``known`` has the newest, ``old`` those before, each up to a bound, so
     that frequent runs stay. New runs are encoded many at a time, with a special token between them
-    that no run contains.
+    that no run contains. That token makes the tokenizer start anew for each run. Runs of letters, with or
+    without signs after them, are most: their letters are encoded with spaces between, and the ids are cut
+    after those that end a word.
     """
 
     def __init__(self, path: str):
@@ -66,8 +72,51 @@ class _Ids:
         self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items() if t.special}
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.ends = np.zeros(65_536, dtype=bool)
+        self.ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith(_END_OF_WORD)]] = True
 
     def _learn(self, runs: list[bytes]) -> None:
+        """Make new runs known: those of letters and signs by these parts, the others whole."""
+        words: set[bytes] = set()
+        split: list[tuple[bytes, bytes, bytes]] = []
+        whole: list[bytes] = []
+        for run in runs:
+            found = _LETTERS.fullmatch(run.decode("utf-8", "replace"))
+            if found is None:
+                whole.append(run)
+                continue
+            signs = found[2].encode()
+            word = run[: len(run) - len(signs)]
+            words.add(word)
+            if signs:
+                split.append((run, word, signs))
+        for word in words:
+            if word not in self.known and word in self.old:
+                self.known[word] = self.old[word]
+        whole += self._learn_words([w for w in words if w not in self.known])
+        whole += {signs for _, _, signs in split if signs not in self.known}
+        self._learn_whole(whole)
+        for run, word, signs in split:
+            self.known[run] = self.known[word] + self.known[signs]
+
+    def _learn_words(self, words: list[bytes]) -> list[bytes]:
+        """Make words of letters known; those that could not be told apart in the ids are returned."""
+        left: list[bytes] = []
+        for i in range(0, len(words), 2_000):
+            part = words[i : i + 2_000]
+            (found,) = self.encode([b" ".join(part).decode()], add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part) or cuts[-1] != len(ids):
+                left += part
+                continue
+            data, start = ids.tobytes(), 0
+            for word, end in zip(part, (4 * cuts).tolist()):
+                self.known[word] = data[start:end]
+                start = end
+        return left
+
+    def _learn_whole(self, runs: list[bytes]) -> None:
         between = min(self.special)
         for i in range(0, len(runs), 2_000):
             part = runs[i : i + 2_000]
@@ -85,14 +134,13 @@ class _Ids:
                 self.known[run] = data[start:end]
                 start = end + 4
 
-    def _meet(self, runs: set[bytes]) -> None:
-        """Make all of the runs known."""
-        if len(self.known) + len(runs) > MEMO:
+    def _meet(self, fresh: set[bytes]) -> None:
+        """Make runs known that are not."""
+        if len(self.known) + len(fresh) > MEMO:
             self.old, self.known = self.known, {}
-        fresh = runs.difference(self.known)
-        again = fresh.intersection(self.old)
-        self.known.update((r, self.old[r]) for r in again)
-        self._learn(list(fresh - again))
+        again = {r: self.old[r] for r in fresh if r in self.old}
+        self.known.update(again)
+        self._learn([r for r in fresh if r not in again])
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers, the end token last."""
@@ -101,10 +149,13 @@ class _Ids:
         held = 0
 
         def settle() -> None:
-            self._meet(set().union(*(runs for _, runs in waiting)))
-            ids = self.known.__getitem__
-            for k, runs in waiting:
-                out[k].append(b"".join(map(ids, runs)))
+            found = [list(map(self.known.get, runs)) for _, runs in waiting]
+            gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
+            self._meet({runs[i] for (_, runs), places in zip(waiting, gaps) for i in places})
+            for (k, runs), ids, places in zip(waiting, found, gaps):
+                for i in places:
+                    ids[i] = self.known[runs[i]]
+                out[k].append(b"".join(ids))
             waiting.clear()
 
         for k, text in enumerate(texts):

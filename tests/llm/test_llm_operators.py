@@ -557,3 +557,25 @@ def test_rows_of_a_stored_table_need_no_second_copy(spark, odd, tmp_path):
     key = lambda rows: sorted([(r.doc_id, r.text) for r in rows.collect()], key=str)
     assert stored.columns == docs.columns and key(stored) == key(plain)
     assert key(ngram_join.one_of_each(odd, stored=True)) == key(ngram_join.one_of_each(odd))
+
+
+def test_packing_encodes_words_of_letters_together():
+    import pytest
+    from srcgraph.llm import packing
+
+    pytest.importorskip("tokenizers")
+    ids = packing._Ids(packing.tokenizer_path())
+    tokenizer = __import__("tokenizers").Tokenizer.from_file(packing.tokenizer_path())
+    texts = [
+        "Grün grün, grün!! größe's don't 'save \"so\" a.b a1b2 x_y ÀÉ àé\u0301 \u0130x ﬁn K\u212a µm ªº \u00a0x\u2003y",
+        " ".join(f"wort{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}é." for i in range(5_000)),
+        "new words, of letters; only (here) and### there&&&", "", None,
+    ]
+    for text in texts:
+        assert np.frombuffer(ids.text(text), "<u4").tolist()[:-1] == tokenizer.encode(text or "", add_special_tokens=False).ids
+    calls = []
+    encode = ids.encode
+    ids.encode = lambda given, **options: calls.append(given[0]) or encode(given, **options)
+    ids.text("unerhört unerhört. unerhört, ungesehen!")
+    # Each word once, whatever signs follow it, with spaces between.
+    assert sorted(calls[0].split(" ")) == ["unerhört", "ungesehen"]
