@@ -30,7 +30,7 @@ from srcgraph.llm.common import shuffle_partitions, table, word_count
 
 ORDER = 3
 BACKOFF = 0.4
-BATCH_DOCS, BATCH_WORDS = 20_000, 1_000_000
+BATCH_DOCS, BATCH_WORDS = 20_000, 2_000_000  # fewer, larger batches send an n-gram less often
 BLOCK_WORDS = 4_000_000
 
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]

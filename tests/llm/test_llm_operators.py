@@ -579,3 +579,11 @@ def test_packing_encodes_words_of_letters_together():
     ids.text("unerhört unerhört. unerhört, ungesehen!")
     # Each word once, whatever signs follow it, with spaces between.
     assert sorted(calls[0].split(" ")) == ["unerhört", "ungesehen"]
+
+
+def test_lm_scoring_sends_a_batch_of_one_and_a_half_million_words_as_one(spark):
+    from srcgraph.llm import lm_scoring
+
+    docs = spark.createDataFrame([(i, "a b c d e f g h i j " * 50_000) for i in range(3)], "doc_id long, text string").coalesce(1)
+    rows = lm_scoring.packed(docs, 3, 2, texts=True).select("batch", "ids").collect()
+    assert [row.ids for row in rows] == [[0, 1, 2]]
