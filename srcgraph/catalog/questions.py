@@ -9,6 +9,7 @@ from srcgraph.catalog import query
 from srcgraph.catalog.code import CODE
 from srcgraph.catalog.shared import code_index
 from srcgraph.operators import facts, questions, responses, textops
+from srcgraph.session import dealt
 from srcgraph.sources.adapters import _fill, table, text_files
 
 _LIFE = (
@@ -320,9 +321,9 @@ def relation_text(spark: SparkSession, folder: str) -> DataFrame:
   WHERE rank <= 3 GROUP BY l_orderkey""",
 )
 def location_text(spark: SparkSession, folder: str) -> DataFrame:
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     hits = (
-        table(spark, folder, "lineitem")
-        .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+        dealt(lines, ["l_orderkey"], lines.count())
         .distinct()
         .select(
             F.col("l_orderkey").alias("query_id"),

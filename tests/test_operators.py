@@ -520,3 +520,15 @@ def test_upserts_are_idempotent(spark):
     want = [("a", "last", 2), ("b", "old", 0), ("c", "new", 1)]
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect())) == want
     assert upsert.duplicate_keys(new, ["id"]).first().copies == 2
+
+
+def test_location_text_deals_more_tasks_to_more_rows_in_one_shuffle(spark, monkeypatch):
+    from srcgraph import catalog, session
+
+    catalog.load()
+    monkeypatch.setattr(session, "DEALT_ROWS", 100)
+    found = catalog.QUERIES["location_text"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert found.rdd.getNumPartitions() == -(-rows // 100)
