@@ -256,8 +256,9 @@ def idempotency(spark: SparkSession, folder: str) -> DataFrame:
             F.col("ts").alias("created_at"),
         )
     )
-    claimed = incremental.claim_jobs(requests.select("identity", "job_id", "created_at"))
-    return claimed.drop("created_at")
+    # Digests go as bytes: as hex text they were most of what the rounds shuffle and write.
+    claimed = incremental.claim_jobs(requests.select(F.unhex("identity").alias("identity"), "job_id", "created_at"))
+    return claimed.withColumn("identity", F.lower(F.hex("identity"))).drop("created_at")
 
 
 @query(

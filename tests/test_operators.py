@@ -532,3 +532,15 @@ def test_location_text_deals_more_tasks_to_more_rows_in_one_shuffle(spark, monke
     assert plan.count("Exchange") == 1
     rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
     assert found.rdd.getNumPartitions() == -(-rows // 100)
+
+
+def test_idempotency_claims_by_bytes_of_the_digest(spark, monkeypatch):
+    from srcgraph import catalog
+    from srcgraph.operators import incremental
+
+    catalog.load()
+    claim_jobs, kinds = incremental.claim_jobs, []
+    monkeypatch.setattr(incremental, "claim_jobs", lambda df: kinds.append(dict(df.dtypes)) or claim_jobs(df))
+    found = catalog.QUERIES["idempotency"](spark, "/root/testdata/sf0.001")
+    assert kinds[0]["identity"] == "binary"
+    assert found.filter(F.length("identity") != 64).isEmpty() and dict(found.dtypes)["identity"] == "string"
