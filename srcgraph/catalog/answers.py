@@ -40,18 +40,11 @@ def _asked(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _tables(spark: SparkSession, folder: str) -> answering.Index:
-    index = code_index(spark, folder)
-    return answering.Index(
-        index.extents, index.entities, index.edges, index.chunks, index.analyses, index.patterns, pieces=index.pieces
-    )
-
-
 def _answers(spark: SparkSession, folder: str) -> DataFrame:
     """Answered once per session, like the other tables of the index."""
     index = code_index(spark, folder)
     if "answers" not in vars(index):
-        index.answers = cut_lineage(answering.answer(_asked(spark, folder), _tables(spark, folder)))
+        index.answers = cut_lineage(answering.answer(_asked(spark, folder), index))
     return index.answers
 
 
@@ -190,7 +183,7 @@ def answer_plans(spark: SparkSession, folder: str) -> DataFrame:
     ).select(
         F.concat_ws("/", "repository_id", "file_path", "asked.form").alias("query_id"), "asked.query", "repository_id", "revision"
     )
-    made = answering.answer(asked, _tables(spark, folder))
+    made = answering.answer(asked, code_index(spark, folder))
     return made.select(
         F.col("repository_id").alias("repo"), F.regexp_extract("query_id", "/(.+)/", 1).alias("path"),
         F.substring_index("query_id", "/", -1).alias("form"), "answer",

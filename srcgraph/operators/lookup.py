@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,19 +30,21 @@ def contains_matches(index: PieceIndex, queries: DataFrame, scoped: bool = False
     """
     columns = ["id", "kind", F.col("name").alias("entity_name"), "qualified_name"]
     found = ["query", *SCOPE, "id", "kind", "entity_name", "qualified_name"]
-    short = (
-        postings.candidates(index, queries, scoped)
-        .join(index.names.withColumnRenamed("name", "entity_name"), [*SCOPE, "number"])
-        .filter(F.contains(postings.haystack("entity_name"), F.lower("query.name")))
-        .select(*found)
-    )
+    parts = []
+    if index.postings is not None:
+        short = postings.candidates(index, queries, scoped).join(
+            index.names.withColumnRenamed("name", "entity_name"), [*SCOPE, "number"]
+        )
+        parts.append(
+            short.filter(F.contains(postings.haystack("entity_name"), F.lower("query.name"))).select(*found)
+        )
     near = postings.candidate_runs(index, queries, scoped)
-    if near is None:
-        return short
-    holds = lambda row: F.contains(postings.haystack(row["entity_name"], row["qualified_name"]), F.lower("query.name"))
-    rows = postings.runs(index.names, F.struct(*columns))
-    long = near.join(rows, [*SCOPE, "run"]).select("query", *SCOPE, F.explode(F.filter("rows", holds)).alias("row"))
-    return short.unionByName(long.select("query", *SCOPE, "row.*").select(*found))
+    if near is not None:
+        holds = lambda row: F.contains(postings.haystack(row["entity_name"], row["qualified_name"]), F.lower("query.name"))
+        rows = postings.runs(index.names, F.struct(*columns))
+        long = near.join(rows, [*SCOPE, "run"]).select("query", *SCOPE, F.explode(F.filter("rows", holds)).alias("row"))
+        parts.append(long.select("query", *SCOPE, "row.*").select(*found))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def find_entities(

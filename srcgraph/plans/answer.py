@@ -190,7 +190,9 @@ def _comparison_sections(located: DataFrame, analyses: DataFrame) -> DataFrame:
 
 def answer(asked: DataFrame, index: Index) -> DataFrame:
     """Responses for questions (query_id, query, repository_id, revision and optional session
-    context: active_entities, recalled_entities)."""
+    context: active_entities, recalled_entities).
+
+    ``index`` may be any object with the attributes of ``Index``; tables are read only where a plan needs them."""
     analysed = cut_lineage(
         questions.analyse(asked)
         .withColumn("plan", questions.plan_name(F.col("intent"), F.col("entities")))

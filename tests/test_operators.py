@@ -205,6 +205,27 @@ def test_longer_names_read_no_postings(spark):
         assert got == want
 
 
+def test_names_of_any_length_need_no_postings(spark):
+    """An index that only numbers its entities finds names of one to three letters by runs, in one scope or all."""
+    from srcgraph.operators import postings
+
+    names = [f"C{i}" for i in range(200)]
+    rows = [(f"e{i:03d}", "class", n, f"pkg.m{i}.{n}", f"r{i % 2}", "one") for i, n in enumerate(names)]
+    columns = "id string, kind string, name string, qualified_name string, repository_id string, revision string"
+    asked = ["", "C", "c7", "C19", "m1", ".", "zz", "C190", "pkg.m7."]
+    queries = spark.createDataFrame([(f"q{i}", n, f"r{i % 2}", "one") for i, n in enumerate(asked)], "query_id string, name string, repository_id string, revision string")
+    index = postings.number(spark.createDataFrame(rows, columns))
+    assert index.postings is None
+    for queries_, known in ((queries, asked), (queries.filter("name = ''"), [""])):
+        for scoped in (False, True):
+            got = {(r.q, r.id) for r in lookup.contains_matches(index, queries_, scoped).select("query.query_id", "id").toDF("q", "id").collect()}
+            want = {
+                (f"q{k}", i) for k, n in enumerate(known) for i, _, name, qualified, repository, _ in rows
+                if n and (n.lower() in name.lower() or n.lower() in qualified.lower()) and (not scoped or repository == f"r{k % 2}")
+            }
+            assert got == want
+
+
 def test_block_hits_carry_no_ids(spark):
     """What blocks shuffle are numbers: long ids of any type cost nothing there, and ties still go by id."""
     rows = [("r", "one", f"{'long' * 40}{i:03d}", [1.0, float(i % 2)]) for i in range(40)]
