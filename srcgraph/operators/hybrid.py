@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from srcgraph import rules
 from srcgraph.functions import text
+from srcgraph.operators import postings, vectors
 from srcgraph.operators.cells import Cells
-from srcgraph.operators.lookup import check_limit, find_entities
+from srcgraph.operators.lookup import check_limit, ranked_matches
 from srcgraph.operators.postings import PieceIndex
-from srcgraph.operators.vectors import search
-from srcgraph.session import SCOPE, top_per
+from srcgraph.session import SCOPE, staged, top_per
 
 RANK_CONSTANT = 60  # fixed value
 
@@ -31,15 +31,23 @@ def expand_query(query: Column) -> Column:
     )
 
 
+def _haystack() -> Column:
+    return text.fold(F.concat_ws(" ", "qualified_name", "text"))
+
+
+def _relevance(tokens: Column, haystack: Column) -> Column:
+    """Identifiers that the haystack holds, snake-case ones counted thrice."""
+    weight = lambda token: F.when(F.contains(token, F.lit("_")), 3).otherwise(1)
+    held = lambda token: F.when(F.contains(haystack, token), weight(token)).otherwise(0)
+    return F.aggregate(tokens, F.lit(0), lambda total, token: total + held(token))
+
+
 def rerank(hits: DataFrame) -> DataFrame:
     """Order each query's hits by shared identifiers, snake-case ones thrice, then by score.
 
     ``hits``: query_id, query, entity_id, qualified_name, text, score. Adds relevance and rank.
     """
-    haystack = text.fold(F.concat_ws(" ", "qualified_name", "text"))
-    shared = F.filter(text.identifiers(F.col("query")), lambda token: F.contains(haystack, token))
-    compound = F.filter(shared, lambda token: F.contains(token, F.lit("_")))
-    scored = hits.withColumn("relevance", F.size(shared) + 2 * F.size(compound))
+    scored = hits.withColumn("relevance", _relevance(text.identifiers(F.col("query")), _haystack()))
     order = [F.col("relevance").desc(), F.col("score").desc(), F.col("entity_id")]
     return top_per(scored, ["query_id"], order, 100)
 
@@ -93,17 +101,32 @@ def hybrid_search(
     """
     check_limit(limit)
     names = questions.withColumnRenamed("query", "name")
-    exact = find_entities(
-        entities, names, min(limit * 2, 100), scoped=not rank_before_filter, index=pieces
-    ).filter(
+    pieces = pieces or postings.build(entities)
+    exact = ranked_matches(pieces, names, min(limit * 2, 100), scoped=not rank_before_filter).filter(
         (F.col("query.repository_id") == F.col("repository_id"))
         & (F.col("query.revision") == F.col("revision"))
     )
-    expanded = questions.withColumn("query", expand_query(F.col("query")))
-    near = search(chunks, expanded, min(max(limit * 8, 50), 100), embedder, index).drop("rank")
-    described = (
-        near.join(expanded, "query_id")
-        .join(chunks.select(*SCOPE, "entity_id", "qualified_name", "text"), [*SCOPE, "entity_id"])
+    exact = staged(exact.select("query_id", F.col("id").alias("entity_id"), "rank"))
+    expanded = vectors.embedded(questions.withColumn("query", expand_query(F.col("query"))), embedder)
+    rows, found = vectors.nearest(chunks, expanded, min(max(limit * 8, 50), 100), index)
+    described = found.join(chunks.select(*SCOPE, "entity_id", _haystack().alias("haystack")), [*SCOPE, "entity_id"])
+    named = exact.groupBy("query_id").agg(F.collect_set("entity_id").alias("named"))
+    asked = rows.select("query_id", "asked", "salt", text.identifiers(F.col("query")).alias("tokens"))
+    near = vectors.with_hits(
+        asked.join(named, "query_id", "left"), described, F.struct("entity_id", "score", "haystack")
     )
-    exact = exact.withColumnRenamed("id", "entity_id")
-    return fuse(exact, rerank(described), limit)
+    # As rerank orders them. Texts stay with the vector, whose hits are the same for all its queries.
+    ordered = F.sort_array(
+        F.transform(
+            "hits",
+            lambda hit: F.struct(
+                (-_relevance(F.col("tokens"), hit["haystack"])).alias("relevance"), (-hit["score"]).alias("score"),
+                hit["entity_id"].alias("entity_id"),
+            ),
+        )
+    )
+    ranked = F.transform(ordered, lambda hit, at: F.struct(hit["entity_id"].alias("entity_id"), (at + 1).alias("rank")))
+    # A vector hit after the first ``limit`` is among the fused only if it is a name match as well.
+    wanted = lambda hit: (hit["rank"] <= limit) | F.array_contains("named", hit["entity_id"])
+    semantic = near.select("query_id", F.explode(F.filter(ranked, wanted)).alias("hit")).select("query_id", "hit.*")
+    return fuse(exact, semantic, limit)

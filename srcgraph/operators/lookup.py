@@ -47,6 +47,25 @@ def contains_matches(index: PieceIndex, queries: DataFrame, scoped: bool = False
     return reduce(DataFrame.unionByName, parts)
 
 
+def ranked_matches(index: PieceIndex, queries: DataFrame, limit: int, scoped: bool = False) -> DataFrame:
+    """(query_id, query, SCOPE, id, rank) of the first ``limit`` matches per query; see ``find_entities``."""
+    if "kind" not in queries.columns:
+        queries = queries.withColumn("kind", F.lit(None).cast("string"))
+    hits = contains_matches(index, queries, scoped).filter(
+        F.col("query.kind").isNull() | (F.col("query.kind") == F.col("kind"))
+    )
+    name = F.col("query.name")
+    closeness = (
+        F.when(F.col("qualified_name") == name, 0).when(F.col("entity_name") == name, 1).otherwise(2)
+    )
+    return top_per(
+        hits.withColumn("query_id", F.col("query.query_id")).withColumn("closeness", closeness),
+        ["query_id"],
+        [F.col("closeness"), F.col("qualified_name"), F.col("id")],
+        limit,
+    ).drop("entity_name", "qualified_name", "kind")
+
+
 def find_entities(
     entities: DataFrame,
     queries: DataFrame,
@@ -65,23 +84,9 @@ def find_entities(
     qualified name and id.
     """
     check_limit(limit)
-    if "kind" not in queries.columns:
-        queries = queries.withColumn("kind", F.lit(None).cast("string"))
     if index is None:
         index = postings.build(entities)
-    hits = contains_matches(index, queries, scoped).filter(
-        F.col("query.kind").isNull() | (F.col("query.kind") == F.col("kind"))
-    )
-    name = F.col("query.name")
-    closeness = (
-        F.when(F.col("qualified_name") == name, 0).when(F.col("entity_name") == name, 1).otherwise(2)
-    )
-    ranked = top_per(
-        hits.withColumn("query_id", F.col("query.query_id")).withColumn("closeness", closeness),
-        ["query_id"],
-        [F.col("closeness"), F.col("qualified_name"), F.col("id")],
-        limit,
-    ).drop("entity_name", "qualified_name", "kind")
+    ranked = ranked_matches(index, queries, limit, scoped)
     key = [c for c in (*SCOPE, "id") if c in entities.columns]
     ranked = entities.withColumnRenamed("name", "entity_name").join(
         ranked.drop(*[c for c in SCOPE if c not in key]), key

@@ -243,6 +243,35 @@ def test_block_hits_carry_no_ids(spark):
         assert hits == [e for _, _, e, _ in rows if int(e[-3:]) % 2 == int(query[-3:]) % 2][:4]
 
 
+def test_equal_vectors_are_searched_once(spark, monkeypatch):
+    """Queries of one vector share its search, in tasks of a few queries; each scope has its own."""
+    searched = []
+    block_hits = vectors._block_hits
+
+    def counted(chunks, queries, *rest):
+        searched.append(queries.count())
+        return block_hits(chunks, queries, *rest)
+
+    monkeypatch.setattr(vectors, "_block_hits", counted)
+    monkeypatch.setattr(vectors, "QUERIES_TOGETHER", 4)
+    chooser = np.random.default_rng(5)
+    columns = "repository_id string, revision string, {} string, embedding array<float>"
+    rows = [(f"r{i % 2}", "one", f"c{i:02d}", chooser.normal(size=3).tolist()) for i in range(20)]
+    points = [[1.0, 0.0, 0.0], [0.0, 1.0, 1.0], [0.0, 0.0, 1.0]]
+    asked = [(f"r{i % 2}", "one", f"q{i:02d}", points[i % 7 // 3]) for i in range(40)]
+    found = vectors.cosine_top_k(
+        spark.createDataFrame(rows, columns.format("entity_id")), spark.createDataFrame(asked, columns.format("query_id")), 3
+    )
+    got = {}
+    for r in found.orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.entity_id)
+    assert searched == [6]
+    unit = lambda v: np.asarray(v, np.float32).astype(float) / np.linalg.norm(np.asarray(v, np.float32).astype(float))
+    for repository, _, query, vector in asked:
+        near = sorted((-float(unit(vector) @ unit(v)), e) for r, _, e, v in rows if r == repository)[:3]
+        assert got[query] == [e for _, e in near]
+
+
 def test_cells_find_what_exact_search_finds(spark, monkeypatch):
     """Clustered vectors need few cells for the wanted recall, all cells give the exact result, a hot cell is cut to blocks."""
     monkeypatch.setattr(vectors, "CHUNK_BLOCK", 40)
