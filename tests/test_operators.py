@@ -272,6 +272,39 @@ def test_equal_vectors_are_searched_once(spark, monkeypatch):
         assert got[query] == [e for _, e in near]
 
 
+def test_names_are_looked_up_once(spark, monkeypatch):
+    """Questions of one scope that mention the same name share its lookup."""
+    from types import SimpleNamespace
+
+    from srcgraph.operators import postings
+    from srcgraph.plans import answer
+
+    looked_up = []
+    find = lookup.find_entities
+
+    def counted(entities, queries, *rest, **named):
+        looked_up.append(queries.count())
+        return find(entities, queries, *rest, **named)
+
+    monkeypatch.setattr(answer.lookup, "find_entities", counted)
+    rows = [(f"r{i % 2}", "one", f"C{i}", f"e{i}", "class", f"m{i}.C{i}", f"m{i}.py", 1, 2) for i in range(6)]
+    entities = spark.createDataFrame(
+        rows, "repository_id string, revision string, name string, id string, kind string, qualified_name string, file_path string, start_line int, end_line int"
+    )
+    asked = [(f"q{i}", f"r{i % 2}", "one", "resolved", [("C0",), (f"C{i % 4}",)]) for i in range(12)]
+    analysed = spark.createDataFrame(
+        asked, "query_id string, repository_id string, revision string, plan string, entities array<struct<name: string>>"
+    )
+    index = SimpleNamespace(entities=entities, pieces=postings.number(entities), preferred_prefix="")
+    got = {(r.query_id, r.position, r.requested_name, r.id) for r in answer._hits(analysed, index, {"resolved"}).collect()}
+    want = {
+        (query, place, name, f"e{name[1:]}")
+        for query, repository, _, _, names in asked for place, (name,) in enumerate(names)
+        if f"r{int(name[1:]) % 2}" == repository
+    }
+    assert looked_up == [5] and got == want
+
+
 def test_cells_find_what_exact_search_finds(spark, monkeypatch):
     """Clustered vectors need few cells for the wanted recall, all cells give the exact result, a hot cell is cut to blocks."""
     monkeypatch.setattr(vectors, "CHUNK_BLOCK", 40)
